@@ -1,34 +1,31 @@
-"""Instants, milliseconds and day keys."""
+"""Instants, milliseconds and day keys. The session time zone is UTC."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def to_millis(ts: Column) -> Column:
+def to_millis(ts: str) -> str:
     """Cut to whole milliseconds, the precision of the stored tables."""
-    return F.date_trunc("millisecond", ts)
+    return f"date_trunc('millisecond', {ts})"
 
 
-def day_key(ts: Column) -> Column:
-    return F.to_date(ts)
+def day_key(ts: str) -> str:
+    return f"to_date({ts})"
 
 
-def rfc3339(ts: Column) -> Column:
+def rfc3339(ts: str) -> str:
     """UTC text such as ``2024-01-01T00:00:07.179Z``; whole seconds carry no fraction."""
-    seconds = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    millis = F.date_format(ts, ".SSS")
-    return F.concat(seconds, F.when(millis == ".000", "").otherwise(millis), F.lit("Z"))
+    seconds = f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    fraction = f"CASE WHEN date_format({ts}, 'SSS') = '000' THEN '' ELSE date_format({ts}, '.SSS') END"
+    return f"concat({seconds}, {fraction}, 'Z')"
 
 
 # A time prefix as container runtimes write it, then one space, then the text.
 _TIME_PREFIX = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})) "
 
 
-def line_time(line: Column) -> Column:
+def line_time(line: str) -> str:
     """The event time a line starts with, or null."""
-    return F.try_to_timestamp(F.nullif(F.regexp_extract(line, _TIME_PREFIX, 1), F.lit("")))
+    return f"try_to_timestamp(nullif(regexp_extract({line}, r'{_TIME_PREFIX}', 1), ''))"
 
 
-def line_text(line: Column) -> Column:
+def line_text(line: str) -> str:
     """The line without its time prefix."""
-    return F.regexp_replace(line, _TIME_PREFIX, "")
+    return f"regexp_replace({line}, r'{_TIME_PREFIX}', '')"

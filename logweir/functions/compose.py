@@ -1,8 +1,5 @@
 """Service names in compose file text."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from logweir.functions.text import trim_unicode
 
 # What follows a top-level ``services:`` up to the next line that is not indented.
@@ -10,20 +7,22 @@ _SERVICES_BLOCK = r"(?ms)^services:[ \t]*(?:#[^\n]*)?\r?$(.*?)(?=^[^\s#]|\z)"
 _SERVICE_KEY = r"^  ([^\s#:][^:]*?)\s*:\s*(?:#.*)?$"
 
 
-def services_loose(content: Column) -> Column:
+def _distinct_names(names: str) -> str:
+    return f"array_distinct(filter({names}, name -> name != ''))"
+
+
+def services_loose(content: str) -> str:
     """Every line indented by two spaces that holds a colon, cut to its text.
 
     This takes nested settings such as ``image: nginx`` for services too.
     """
-    lines = F.filter(
-        F.split(content, "\n"), lambda x: x.startswith("  ") & x.contains(":")
+    lines = (
+        f"filter(split({content}, '\\n'), line -> startswith(line, '  ') AND contains(line, ':'))"
     )
-    names = F.transform(lines, lambda x: F.rtrim(trim_unicode(x), F.lit(":")))
-    return F.array_distinct(F.filter(names, lambda x: x != ""))
+    return _distinct_names(f"transform({lines}, line -> rtrim(':', {trim_unicode('line')}))")
 
 
-def services(content: Column) -> Column:
+def services(content: str) -> str:
     """The keys indented by exactly two spaces under ``services:``."""
-    block = F.split(F.regexp_extract(content, _SERVICES_BLOCK, 1), "\n")
-    names = F.transform(block, lambda x: F.regexp_extract(x, _SERVICE_KEY, 1))
-    return F.array_distinct(F.filter(names, lambda x: x != ""))
+    lines = f"split(regexp_extract({content}, r'{_SERVICES_BLOCK}', 1), '\\n')"
+    return _distinct_names(f"transform({lines}, line -> regexp_extract(line, r'{_SERVICE_KEY}', 1))")

@@ -1,28 +1,25 @@
 """Container attributes."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed value: the label that names a container's compose project.
 PROJECT_LABEL = "com.docker.compose.project"
 # Fixed value: the file name that log rows carry.
 COMPOSE_FILE = "docker-compose.yml"
 
 
-def stack_of(labels: Column) -> Column:
+def stack_of(labels: str) -> str:
     """The stack a container is labelled with, or null."""
-    return F.try_element_at(labels, F.lit(PROJECT_LABEL))
+    return f"try_element_at({labels}, '{PROJECT_LABEL}')"
 
 
-def strip_slashes(name: Column) -> Column:
-    return F.ltrim(name, F.lit("/"))
+def strip_slashes(name: str) -> str:
+    return f"ltrim('/', {name})"
 
 
-def is_up(status: Column) -> Column:
+def is_up(status: str) -> str:
     """Running as lists report it, in any case."""
-    return F.lower(status).contains("up")
+    return f"contains(lower({status}), 'up')"
 
 
-def is_collected(status: Column) -> Column:
+def is_collected(status: str) -> str:
     """Running as collection reads it: ``Up``, case-sensitive."""
-    return status.contains("Up")
+    return f"contains({status}, 'Up')"

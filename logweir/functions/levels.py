@@ -1,10 +1,7 @@
 """Log level and output stream, from stored text and from message text."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from logweir.functions import patterns
-from logweir.functions.text import contains_any
+from logweir.functions.patterns import matches
+from logweir.functions.text import contains_any, first_case
 
 # Level names and the spellings read as each of them.
 LEVEL_SPELLINGS = {
@@ -26,52 +23,41 @@ INGEST_DEFAULT = "INFO"
 STDERR_PREFIX = "stderr"
 
 
-def _chain(pairs, default: str) -> Column:
-    (first, value), *rest = pairs
-    out = F.when(first, value)
-    for condition, value in rest:
-        out = out.when(condition, value)
-    return out.otherwise(default)
-
-
-def normalize_level(text: Column) -> Column:
-    upper = F.upper(text)
-    return _chain(
-        [(upper.isin(spellings), level) for level, spellings in LEVEL_SPELLINGS.items()],
-        UNKNOWN_LEVEL,
-    )
+def normalize_level(level: str) -> str:
+    spelled = {
+        f"upper({level}) IN ({', '.join(repr(s) for s in spellings)})": name
+        for name, spellings in LEVEL_SPELLINGS.items()
+    }
+    return first_case(spelled, UNKNOWN_LEVEL)
 
 
-def normalize_source(text: Column) -> Column:
-    return F.when(F.upper(text) == "STDERR", "STDERR").otherwise("STDOUT")
+def normalize_source(source: str) -> str:
+    return first_case({f"upper({source}) = 'STDERR'": "STDERR"}, "STDOUT")
 
 
-def ingest_level(message: Column) -> Column:
+def ingest_level(message: str) -> str:
     """Level by plain substring, any case: ``terror`` counts as an error."""
-    upper = F.upper(message)
-    return _chain(
-        [(contains_any(upper, words), level) for level, words in INGEST_WORDS.items()],
-        INGEST_DEFAULT,
-    )
+    found = {
+        contains_any(f"upper({message})", words): level for level, words in INGEST_WORDS.items()
+    }
+    return first_case(found, INGEST_DEFAULT)
 
 
-def ingest_source(message: Column) -> Column:
-    return F.when(message.startswith(STDERR_PREFIX), "STDERR").otherwise("STDOUT")
+def ingest_source(message: str) -> str:
+    return first_case({f"startswith({message}, '{STDERR_PREFIX}')": "STDERR"}, "STDOUT")
 
 
-def extract_level(message: Column) -> Column:
+def extract_level(message: str) -> str:
     """Level by whole words. Outer whitespace cannot change the result, so none is cut."""
-    return _chain(
-        [
-            (patterns.matches(message, "error"), "ERROR"),
-            (patterns.matches(message, "warning"), "WARN"),
-            (patterns.matches(message, "debug"), "DEBUG"),
-            (patterns.matches(message, "stack_start"), "ERROR"),
-        ],
-        "INFO",
-    )
+    found = {
+        matches(message, "error"): "ERROR",
+        matches(message, "warning"): "WARN",
+        matches(message, "debug"): "DEBUG",
+        matches(message, "stack_start"): "ERROR",
+    }
+    return first_case(found, "INFO")
 
 
-def display_level(level: Column) -> Column:
+def display_level(level: str) -> str:
     """The mixed-case name used in JSON and CSV: ``Error``, ``Unknown``."""
-    return F.initcap(level)
+    return f"initcap({level})"

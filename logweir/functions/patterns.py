@@ -2,9 +2,6 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from logweir.functions.text import contains_any, fold_case
 
 # The patterns. The flags give Java the Unicode reading of \w \s \d \b and of
@@ -32,19 +29,19 @@ _NEEDS = {
 }
 
 
-def matches(message: Column, name: str) -> Column:
+def matches(message: str, name: str) -> str:
     """Whether the named pattern occurs anywhere in ``message``."""
     if name == "stack_frame":
-        gate = message.endswith(")")
+        gate = f"endswith({message}, ')')"
     elif name == "http_error":
-        gate = message.contains("HTTP/")
+        gate = f"contains({message}, 'HTTP/')"
     else:
         gate = contains_any(fold_case(message), _NEEDS[name])
-    return gate & message.rlike(REGEXES[name])
+    return f"({gate} AND {message} RLIKE r'{REGEXES[name]}')"
 
 
-def is_stack_trace(message: Column) -> Column:
-    return matches(message, "stack_start") | matches(message, "stack_frame")
+def is_stack_trace(message: str) -> str:
+    return f"({matches(message, 'stack_start')} OR {matches(message, 'stack_frame')})"
 
 
 # Tags in the order they are listed, with the pattern behind each.
@@ -66,25 +63,30 @@ TAG_TYPES = {
 }
 
 
-def pattern_tags(message: Column) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(matches(message, p), F.lit(tag)) for tag, p in TAGS.items()])
-    )
+def _names_of(conditions: dict[str, str]) -> str:
+    """The names whose condition holds, in order."""
+    entries = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in conditions.items())
+    return f"array_compact(array({entries}))"
 
 
-def pattern_types(message: Column) -> Column:
-    conditions = {
-        "StackTrace": is_stack_trace(message),
-        "HttpError": matches(message, "http_error"),
-        "SqlError": matches(message, "sql_error"),
-        "JsonError": matches(message, "json_error"),
-    }
-    return F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in conditions.items()]))
+def pattern_tags(message: str) -> str:
+    return _names_of({tag: matches(message, pattern) for tag, pattern in TAGS.items()})
+
+
+def pattern_types(message: str) -> str:
+    return _names_of(
+        {
+            "StackTrace": is_stack_trace(message),
+            "HttpError": matches(message, "http_error"),
+            "SqlError": matches(message, "sql_error"),
+            "JsonError": matches(message, "json_error"),
+        }
+    )
 
 
-def tag_type(tag: Column) -> Column:
-    named = F.create_map(*[F.lit(v) for pair in TAG_TYPES.items() for v in pair])
-    return F.coalesce(F.try_element_at(named, tag), F.concat(F.lit("Custom("), tag, F.lit(")")))
+def tag_type(tag: str) -> str:
+    named = " ".join(f"WHEN '{t}' THEN '{kind}'" for t, kind in TAG_TYPES.items())
+    return f"CASE {tag} {named} ELSE concat('Custom(', {tag}, ')') END"
 
 
 @dataclass(frozen=True)
@@ -106,10 +108,10 @@ FILTER_KINDS = {
 }
 
 
-def filter_conditions(message: Column) -> dict[str, Column]:
+def filter_conditions(message: str) -> dict[str, str]:
     """The condition that each suggested filter counts."""
     return {
-        "errors": matches(message, "error") | matches(message, "stack_start"),
+        "errors": f"({matches(message, 'error')} OR {matches(message, 'stack_start')})",
         "warnings": matches(message, "warning"),
         "stack_traces": is_stack_trace(message),
         "http_errors": matches(message, "http_error"),

@@ -1,39 +1,24 @@
 """CPU, memory and network figures."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def cpu_percent(
-    cpu: Column, prev_cpu: Column, system: Column, prev_system: Column, cpus: Column
-) -> Column:
+def cpu_percent(cpu: str, prev_cpu: str, system: str, prev_system: str, cpus: str) -> str:
     """Share of the system's CPU time between two samples, times the CPU count.
 
     Missing system counters count as 0 and a missing CPU count as 1; no system progress
     gives 0.
     """
-    cpu_delta = cpu.cast("double") - prev_cpu.cast("double")
-    system_delta = F.coalesce(system, F.lit(0)).cast("double") - F.coalesce(
-        prev_system, F.lit(0)
-    ).cast("double")
-    share = cpu_delta / F.nullif(system_delta, F.lit(0.0))
-    used = share * F.coalesce(cpus, F.lit(1)).cast("double") * F.lit(100.0)
-    return F.when(system_delta > 0, used).otherwise(F.lit(0.0))
+    used = f"(double({cpu}) - double({prev_cpu}))"
+    passed = f"(double(coalesce({system}, 0L)) - double(coalesce({prev_system}, 0L)))"
+    share = f"try_divide({used}, {passed}) * double(coalesce({cpus}, 1L)) * 100D"
+    return f"CASE WHEN {passed} > 0D THEN {share} ELSE 0D END"
 
 
-def memory_percent(usage: Column, limit: Column) -> Column:
+def memory_percent(usage: str, limit: str) -> str:
     """Usage in percent of the limit; null where the limit is 0."""
-    ratio = F.try_divide(
-        F.coalesce(usage, F.lit(0)).cast("double"), F.coalesce(limit, F.lit(1)).cast("double")
-    )
-    return ratio * F.lit(100.0)
+    return f"try_divide(double(coalesce({usage}, 0L)), double(coalesce({limit}, 1L))) * 100D"
 
 
-def network_total(networks: Column, field: str) -> Column:
+def network_total(networks: str, field: str) -> str:
     """Bytes over all interfaces of one sample; 0 when it lists none."""
-    total = F.aggregate(
-        F.map_values(networks),
-        F.lit(0).cast("long"),
-        lambda acc, net: acc + F.coalesce(net[field], F.lit(0).cast("long")),
-    )
-    return F.coalesce(total, F.lit(0).cast("long"))
+    total = f"aggregate(map_values({networks}), 0L, (sum, net) -> sum + coalesce(net.{field}, 0L))"
+    return f"coalesce({total}, 0L)"

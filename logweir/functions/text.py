@@ -1,46 +1,44 @@
 """Text helpers."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Leading or trailing whitespace in the Unicode sense. The lookbehind starts the second
 # branch only at the head of a run, so long inner runs stay linear.
 _OUTER_SPACE = r"(?U)^\s+|(?<!\s)\s+\z"
 
 
-def trim_unicode(text: Column) -> Column:
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+def trim_unicode(text: str) -> str:
+    return f"regexp_replace({text}, r'{_OUTER_SPACE}', '')"
 
 
-def fold_case(text: Column) -> Column:
+def fold_case(text: str) -> str:
     """Fold case so that every character that regexes treat as an ASCII letter becomes it.
 
     Upper-casing first folds the long s, lower-casing then folds the Kelvin sign.
     """
-    return F.lower(F.upper(text))
+    return f"lower(upper({text}))"
+
+
+def contains_any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{word}')" for word in words) + ")"
 
 
-def contains_any(text: Column, words) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+def first_case(cases: dict[str, str], default: str) -> str:
+    """The value of the first condition that holds, else ``default``."""
+    whens = " ".join(f"WHEN {condition} THEN '{value}'" for condition, value in cases.items())
+    return f"CASE {whens} ELSE '{default}' END"
 
 
-def format_count(n: Column) -> Column:
+def format_count(n: str) -> str:
     """``1.2M``, ``3.4K`` or the plain number, half away from zero as browsers round.
 
     ``format_number`` rounds exact halves to even. A half is exact only at a quarter of the
     unit, where a hundredth is added first.
     """
 
-    def scaled(unit: int) -> Column:
-        is_half = n % F.lit(unit // 2) == F.lit(unit // 4)
-        value = n / F.lit(float(unit)) + F.when(is_half, 0.01).otherwise(0.0)
-        return F.call_function("format_number", value, F.lit("0.0"))
+    def scaled(unit: int) -> str:
+        nudge = f"CASE WHEN {n} % {unit // 2} = {unit // 4} THEN 0.01D ELSE 0D END"
+        return f"format_number({n} / {unit}D + {nudge}, '0.0')"
 
     return (
-        F.when(n >= 1_000_000, F.concat(scaled(1_000_000), F.lit("M")))
-        .when(n >= 1_000, F.concat(scaled(1_000), F.lit("K")))
-        .otherwise(n.cast("string"))
+        f"CASE WHEN {n} >= 1000000 THEN concat({scaled(1_000_000)}, 'M') "
+        f"WHEN {n} >= 1000 THEN concat({scaled(1_000)}, 'K') ELSE string({n}) END"
     )

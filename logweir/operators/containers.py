@@ -9,24 +9,19 @@ from logweir.functions.container import is_up, stack_of, strip_slashes
 def project_listing(listing: DataFrame) -> DataFrame:
     """Snapshot rows from a daemon's listing, with '' and 0 for what it leaves out."""
     # Port types print in upper case, and an empty one as EMPTY.
-    kind = lambda p: F.when(p.port_type == "", "EMPTY").otherwise(F.upper(p.port_type))
-    ports = F.transform(
-        F.coalesce("ports", F.array().cast(listing.schema["ports"].dataType)),
-        lambda p: F.struct(
-            p.private_port.alias("private_port"),
-            p.public_port.alias("public_port"),
-            F.coalesce(kind(p), F.lit("")).alias("port_type"),
-        ),
+    kind = "coalesce(CASE WHEN p.port_type = '' THEN 'EMPTY' ELSE upper(p.port_type) END, '')"
+    port = (
+        "named_struct('private_port', p.private_port, 'public_port', p.public_port, "
+        f"'port_type', {kind})"
     )
-    no_labels = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return listing.select(
-        F.coalesce("id", F.lit("")).alias("id"),
-        F.coalesce(strip_slashes(F.get("names", F.lit(0))), F.lit("")).alias("name"),
-        F.coalesce("image", F.lit("")).alias("image"),
-        F.coalesce("status", F.lit("")).alias("status"),
-        F.coalesce("created", F.lit(0).cast("long")).alias("created"),
-        F.coalesce("labels", no_labels).alias("labels"),
-        ports.alias("ports"),
+    return listing.selectExpr(
+        "coalesce(id, '') AS id",
+        f"coalesce({strip_slashes('get(names, 0)')}, '') AS name",
+        "coalesce(image, '') AS image",
+        "coalesce(status, '') AS status",
+        "coalesce(created, 0L) AS created",
+        "coalesce(labels, CAST(map() AS map<string, string>)) AS labels",
+        f"coalesce(transform(ports, p -> {port}), array()) AS ports",
     )
 
 
@@ -42,12 +37,12 @@ def filter_containers(
     ``search`` is a substring of name or image in any case.
     """
     if stack is not None:
-        containers = containers.filter(stack_of(F.col("labels")) == stack)
+        containers = containers.filter(F.expr(stack_of("labels")) == stack)
     wanted = (status or "").lower()
     if wanted == "running":
-        containers = containers.filter(is_up(F.col("status")))
+        containers = containers.filter(is_up("status"))
     elif wanted == "stopped":
-        containers = containers.filter(~is_up(F.col("status")))
+        containers = containers.filter(f"NOT {is_up('status')}")
     if search is not None:
         text = search.lower()
         containers = containers.filter(
@@ -58,11 +53,13 @@ def filter_containers(
 
 def stack_rollup(containers: DataFrame) -> DataFrame:
     """Containers in all, running and stopped, per labelled stack."""
-    running, total = F.col("running_count"), F.col("container_count")
     return (
-        containers.select(stack_of(F.col("labels")).alias("name"), is_up(F.col("status")).alias("up"))
-        .filter(F.col("name").isNotNull())
+        containers.selectExpr(f"{stack_of('labels')} AS name", f"{is_up('status')} AS up")
+        .filter("name IS NOT NULL")
         .groupBy("name")
-        .agg(F.count("*").alias("container_count"), F.count_if("up").alias("running_count"))
-        .select("name", total, running, (total - running).alias("stopped_count"))
+        .agg(
+            F.expr("count(*) AS container_count"),
+            F.expr("count_if(up) AS running_count"),
+            F.expr("count_if(NOT up) AS stopped_count"),
+        )
     )

@@ -1,7 +1,6 @@
 """From landed lines and samples to the rows of the stored tables."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from logweir import schemas
 from logweir.functions import levels
@@ -14,17 +13,16 @@ def ingest_rows(lines: DataFrame, containers: DataFrame) -> DataFrame:
 
     Every step but the lookup of container attributes is a projection.
     """
-    message = F.col("message")
-    parsed = lines.select(
-        F.coalesce("id", F.lit(0).cast("long")).alias("id"),
-        to_millis(line_time(F.col("line"))).alias("timestamp"),
+    parsed = lines.selectExpr(
+        "coalesce(id, 0L) AS id",
+        f"{to_millis(line_time('line'))} AS timestamp",
         "container_id",
-        line_text(F.col("line")).alias("message"),
+        f"{line_text('line')} AS message",
     )
-    classified = parsed.select(
+    classified = parsed.selectExpr(
         "*",
-        levels.ingest_level(message).alias("level"),
-        levels.ingest_source(message).alias("source"),
-        F.lit("").alias("metadata"),
+        f"{levels.ingest_level('message')} AS level",
+        f"{levels.ingest_source('message')} AS source",
+        "'' AS metadata",
     )
     return enrich(classified, containers).select(*schemas.LOGS.fieldNames())

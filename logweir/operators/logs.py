@@ -39,9 +39,9 @@ def newest_first() -> list[Column]:
 
 def encode_logs(logs: DataFrame) -> DataFrame:
     """Rows ready to store: whole milliseconds, id 0 and metadata '' where missing."""
-    return logs.select(
-        F.coalesce("id", F.lit(0).cast("long")).alias("id"),
-        to_millis(F.col("timestamp")).alias("timestamp"),
+    return logs.selectExpr(
+        "coalesce(id, 0L) AS id",
+        f"{to_millis('timestamp')} AS timestamp",
         "container_id",
         "container_name",
         "compose_project",
@@ -49,13 +49,13 @@ def encode_logs(logs: DataFrame) -> DataFrame:
         "message",
         "level",
         "source",
-        F.coalesce("metadata", F.lit("")).alias("metadata"),
+        "coalesce(metadata, '') AS metadata",
     )
 
 
 def decode_logs(rows: DataFrame) -> DataFrame:
     """Stored rows as entries: known level and source names, '' metadata as null."""
-    return rows.select(
+    return rows.selectExpr(
         "id",
         "timestamp",
         "container_id",
@@ -63,9 +63,9 @@ def decode_logs(rows: DataFrame) -> DataFrame:
         "compose_project",
         "compose_file",
         "message",
-        levels.normalize_level(F.col("level")).alias("level"),
-        levels.normalize_source(F.col("source")).alias("source"),
-        F.nullif(F.col("metadata"), F.lit("")).alias("metadata"),
+        f"{levels.normalize_level('level')} AS level",
+        f"{levels.normalize_source('source')} AS source",
+        "nullif(metadata, '') AS metadata",
     )
 
 
@@ -112,17 +112,13 @@ def filter_logs(
 
 def logs_of_stack(logs: DataFrame, containers: DataFrame, stack: str) -> DataFrame:
     """Logs of the containers that carry the stack's label."""
-    ids = containers.filter(stack_of(F.col("labels")) == stack).select(
-        F.col("id").alias("container_id")
-    )
+    ids = containers.filter(F.expr(stack_of("labels")) == stack).selectExpr("id AS container_id")
     return logs.join(broadcast_if_small(ids), "container_id", "left_semi")
 
 
 def running_logs(logs: DataFrame, containers: DataFrame) -> DataFrame:
     """Logs of the containers that collection would read now."""
-    ids = containers.filter(is_collected(F.col("status"))).select(
-        F.col("id").alias("container_id")
-    )
+    ids = containers.filter(is_collected("status")).selectExpr("id AS container_id")
     return logs.join(broadcast_if_small(ids), "container_id", "left_semi")
 
 
@@ -234,11 +230,8 @@ def log_stats(
     """
     rows = _stats_input(logs, container_id, stack, sample_limit)
     return rows.agg(
-        F.count("*").alias("total"),
-        *[
-            F.count_if(F.col("level") == level).alias(f"{level.lower()}_count")
-            for level in COUNTED_LEVELS
-        ],
+        F.expr("count(*) AS total"),
+        *[F.expr(f"count_if(level = '{v}') AS {v.lower()}_count") for v in COUNTED_LEVELS],
     )
 
 
@@ -255,11 +248,11 @@ def log_stats_by_container(
     """
     rows = _stats_input(logs, container_id, stack, sample_limit)
     per_name = rows.groupBy("container_id", "container_name").agg(
-        F.count("*").alias("rows"), F.max("timestamp").alias("newest")
+        F.expr("count(*) AS rows"), F.expr("max(timestamp) AS newest")
     )
     return per_name.groupBy("container_id").agg(
-        F.max_by("container_name", F.struct("newest", "container_name")).alias("container_name"),
-        F.sum("rows").alias("count"),
+        F.expr("max_by(container_name, struct(newest, container_name)) AS container_name"),
+        F.expr("sum(rows) AS count"),
     )
 
 
@@ -270,9 +263,9 @@ def level_distribution(logs: DataFrame) -> DataFrame:
 def stack_levels(logs: DataFrame) -> DataFrame:
     """Per stack, how many logs, errors and warnings it has."""
     return logs.groupBy("compose_project").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("level") == "ERROR").alias("error_count"),
-        F.count_if(F.col("level") == "WARN").alias("warn_count"),
+        F.expr("count(*) AS total"),
+        F.expr("count_if(level = 'ERROR') AS error_count"),
+        F.expr("count_if(level = 'WARN') AS warn_count"),
     )
 
 
@@ -281,16 +274,14 @@ def stack_levels(logs: DataFrame) -> DataFrame:
 
 def enrich(lines: DataFrame, containers: DataFrame) -> DataFrame:
     """Lines with their container's name and stack: the id and '' where unknown."""
-    attributes = containers.select(
-        F.col("id").alias("container_id"),
-        F.col("name").alias("_name"),
-        stack_of(F.col("labels")).alias("_stack"),
+    attributes = containers.selectExpr(
+        "id AS container_id", "name AS _name", f"{stack_of('labels')} AS _stack"
     )
-    return lines.join(broadcast_if_small(attributes), "container_id", "left").select(
+    return lines.join(broadcast_if_small(attributes), "container_id", "left").selectExpr(
         *lines.columns,
-        F.coalesce("_name", "container_id").alias("container_name"),
-        F.coalesce("_stack", F.lit("")).alias("compose_project"),
-        F.lit(COMPOSE_FILE).alias("compose_file"),
+        "coalesce(_name, container_id) AS container_name",
+        "coalesce(_stack, '') AS compose_project",
+        f"'{COMPOSE_FILE}' AS compose_file",
     )
 
 

@@ -15,25 +15,20 @@ MAX_LIMIT = 1_000
 
 def metric_samples(samples: DataFrame) -> DataFrame:
     """Samples with their CPU and memory share and their bytes over all interfaces."""
-    return samples.select(
+    cpu = resources.cpu_percent(
+        "cpu_total", "precpu_total", "system_cpu", "presystem_cpu", "online_cpus"
+    )
+    return samples.selectExpr(
         "id",
         "timestamp",
         "container_id",
-        strip_slashes(F.col("name")).alias("container_name"),
-        resources.cpu_percent(
-            F.col("cpu_total"),
-            F.col("precpu_total"),
-            F.col("system_cpu"),
-            F.col("presystem_cpu"),
-            F.col("online_cpus"),
-        ).alias("cpu_percent"),
-        F.coalesce("memory_usage", F.lit(0).cast("long")).alias("memory_usage"),
-        F.coalesce("memory_limit", F.lit(1).cast("long")).alias("memory_limit"),
-        resources.memory_percent(F.col("memory_usage"), F.col("memory_limit")).alias(
-            "memory_percent"
-        ),
-        resources.network_total(F.col("networks"), "rx_bytes").alias("network_rx"),
-        resources.network_total(F.col("networks"), "tx_bytes").alias("network_tx"),
+        f"{strip_slashes('name')} AS container_name",
+        f"{cpu} AS cpu_percent",
+        "coalesce(memory_usage, 0L) AS memory_usage",
+        "coalesce(memory_limit, 1L) AS memory_limit",
+        f"{resources.memory_percent('memory_usage', 'memory_limit')} AS memory_percent",
+        f"{resources.network_total('networks', 'rx_bytes')} AS network_rx",
+        f"{resources.network_total('networks', 'tx_bytes')} AS network_tx",
         "block_read",
         "block_write",
     )
@@ -46,13 +41,13 @@ def metric_rows(samples: DataFrame) -> DataFrame:
 
 def encode_metrics(metrics: DataFrame) -> DataFrame:
     """Rows ready to store: whole milliseconds, id 0 where missing, stored types."""
-    return metrics.select(
-        F.coalesce("id", F.lit(0).cast("long")).alias("id"),
-        to_millis(F.col("timestamp")).alias("timestamp"),
+    return metrics.selectExpr(
+        "coalesce(id, 0L) AS id",
+        f"{to_millis('timestamp')} AS timestamp",
         "container_id",
         "container_name",
-        F.col("cpu_percent").cast("float").alias("cpu_percent"),
-        F.col("memory_percent").cast("float").alias("memory_percent"),
+        "float(cpu_percent) AS cpu_percent",
+        "float(memory_percent) AS memory_percent",
         "memory_usage",
         "network_rx",
         "network_tx",
@@ -73,41 +68,35 @@ def metric_latest(
 def cpu_percent_from_counters(counters: DataFrame) -> DataFrame:
     """CPU share from cumulative counters; a container's first sample has none."""
     paired = previous_row(counters, "container_id", ["cpu_total", "system_cpu"])
-    return paired.filter(F.col("prev_cpu_total").isNotNull()).select(
-        "id",
-        "timestamp",
-        "container_id",
-        resources.cpu_percent(
-            F.col("cpu_total"),
-            F.col("prev_cpu_total"),
-            F.col("system_cpu"),
-            F.col("prev_system_cpu"),
-            F.col("online_cpus"),
-        ).alias("cpu_percent"),
+    cpu = resources.cpu_percent(
+        "cpu_total", "prev_cpu_total", "system_cpu", "prev_system_cpu", "online_cpus"
+    )
+    return paired.filter("prev_cpu_total IS NOT NULL").selectExpr(
+        "id", "timestamp", "container_id", f"{cpu} AS cpu_percent"
     )
 
 
-def _figures():
-    return [
-        F.count("*").alias("samples"),
-        F.avg("cpu_percent").alias("cpu_avg"),
-        F.max("cpu_percent").alias("cpu_max"),
-        F.min("cpu_percent").alias("cpu_min"),
-        F.avg("memory_usage").alias("memory_avg"),
-        F.max("memory_usage").alias("memory_max"),
-        F.min("memory_usage").alias("memory_min"),
-    ]
+# Figures per group of metric rows.
+_FIGURES = [
+    "count(*) AS samples",
+    "avg(cpu_percent) AS cpu_avg",
+    "max(cpu_percent) AS cpu_max",
+    "min(cpu_percent) AS cpu_min",
+    "avg(memory_usage) AS memory_avg",
+    "max(memory_usage) AS memory_max",
+    "min(memory_usage) AS memory_min",
+]
 
 
 def metric_summary(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("container_id").agg(*_figures())
+    return metrics.groupBy("container_id").agg(*map(F.expr, _FIGURES))
 
 
 def metric_history(metrics: DataFrame, width: str = "5 minutes") -> DataFrame:
     """The same figures per container and time slot."""
     return (
         metrics.groupBy(F.window("timestamp", width).alias("slot"), "container_id")
-        .agg(*_figures())
+        .agg(*map(F.expr, _FIGURES))
         .select(F.col("slot.start").alias("slot_start"), "*")
         .drop("slot")
     )

@@ -12,40 +12,28 @@ def pattern_counts(logs: DataFrame) -> DataFrame:
     All tags are counted in one pass to one row, which is then turned into rows; lines are
     neither multiplied nor shuffled.
     """
-    message = F.col("message")
-    ordinals = {tag: n for n, tag in enumerate(patterns.TAGS)}
-    hits = {tag: patterns.matches(message, p) for tag, p in patterns.TAGS.items()}
-    totals = []
-    for tag, hit in hits.items():
+    totals, entries = [], []
+    for ordinal, (tag, pattern) in enumerate(patterns.TAGS.items()):
+        hit = patterns.matches("message", pattern)
         totals += [
-            F.count_if(hit).alias(f"{tag}_count"),
-            F.min(F.when(hit, F.struct("timestamp", "id"))).alias(f"{tag}_first"),
-            F.max(F.when(hit, F.col("timestamp"))).alias(f"{tag}_last"),
+            f"count_if({hit}) AS {tag}_count",
+            f"min(CASE WHEN {hit} THEN struct(timestamp, id) END) AS {tag}_first",
+            f"max(CASE WHEN {hit} THEN timestamp END) AS {tag}_last",
         ]
-    entries = F.array(
-        *[
-            F.struct(
-                F.col(f"{tag}_first").alias("first"),
-                F.lit(ordinals[tag]).alias("ordinal"),
-                F.lit(tag).alias("pattern"),
-                patterns.tag_type(F.lit(tag)).alias("pattern_type"),
-                F.col(f"{tag}_count").alias("count"),
-                F.col(f"{tag}_last").alias("last_seen"),
-            )
-            for tag in patterns.TAGS
-        ]
-    )
-    seen = F.array_sort(F.filter(entries, lambda e: e["count"] > 0))
+        entries.append(
+            f"named_struct('first', {tag}_first, 'ordinal', {ordinal}, 'pattern', '{tag}', "
+            f"'count', {tag}_count, 'last', {tag}_last)"
+        )
     return (
-        logs.agg(*totals)
-        .select(seen.alias("seen"))
-        .select(F.size("seen").alias("detected_count"), F.explode("seen").alias("e"))
-        .select(
+        logs.agg(*map(F.expr, totals))
+        .selectExpr(f"array_sort(filter(array({', '.join(entries)}), e -> e.count > 0)) AS seen")
+        .selectExpr("size(seen) AS detected_count", "explode(seen) AS e")
+        .selectExpr(
             "e.pattern",
-            "e.pattern_type",
+            f"{patterns.tag_type('e.pattern')} AS pattern_type",
             "e.count",
-            F.col("e.first.timestamp").alias("first_seen"),
-            "e.last_seen",
+            "e.first.timestamp AS first_seen",
+            "e.last AS last_seen",
             "detected_count",
         )
     )
@@ -53,28 +41,16 @@ def pattern_counts(logs: DataFrame) -> DataFrame:
 
 def auto_filters(logs: DataFrame) -> DataFrame:
     """Suggested filters with their counts, largest first, ties in build order."""
-    conditions = patterns.filter_conditions(F.col("message"))
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.col(key)).alias("rank"),
-                F.lit(n).alias("ordinal"),
-                F.lit(kind.name).alias("name"),
-                F.lit(kind.query).alias("query"),
-                F.col(key).alias("count"),
-                F.lit(kind.filter_type).alias("filter_type"),
-            )
-            for n, (key, kind) in enumerate(patterns.FILTER_KINDS.items())
-        ]
-    )
-    found = F.array_sort(F.filter(entries, lambda e: e["count"] > 0))
+    conditions = patterns.filter_conditions("message")
+    entries = [
+        f"named_struct('rank', -{key}, 'ordinal', {n}, 'name', '{kind.name}', "
+        f"'query', '{kind.query}', 'count', {key}, 'filter_type', '{kind.filter_type}')"
+        for n, (key, kind) in enumerate(patterns.FILTER_KINDS.items())
+    ]
     return (
-        logs.agg(*[F.count_if(c).alias(key) for key, c in conditions.items()])
-        .select(F.explode(found).alias("e"))
-        .select("e.name", "e.query", "e.count", "e.filter_type")
+        logs.agg(*[F.expr(f"count_if({test}) AS {key}") for key, test in conditions.items()])
+        .selectExpr(
+            f"explode(array_sort(filter(array({', '.join(entries)}), e -> e.count > 0))) AS e"
+        )
+        .selectExpr("e.name", "e.query", "e.count", "e.filter_type")
     )
-
-
-def tagged(logs: DataFrame) -> DataFrame:
-    """One row per line and tag."""
-    return logs.withColumn("pattern", F.explode(patterns.pattern_tags(F.col("message"))))

@@ -29,39 +29,36 @@ def compose_stacks(
     ``files`` holds (path, content). A stack inside another stack's folder is left out.
     ``loose`` takes every two-space line with a colon for a service.
     """
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     found = (
-        files.select(
-            folder.alias("folder"),
-            F.substring_index("path", "/", -1).alias("file"),
+        files.selectExpr(
+            "regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder",
+            "substring_index(path, '/', -1) AS file",
             "content",
         )
         .filter(F.col("file").isin(COMPOSE_NAMES))
         .filter(~_excluded(F.col("folder"), excludes))
         .groupBy("folder")
-        .agg(F.min_by("content", (F.col("file") != COMPOSE_NAMES[0])).alias("content"))
+        .agg(F.min_by("content", F.col("file") != COMPOSE_NAMES[0]).alias("content"))
     )
-    parts = F.split("folder", "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    parts = "split(folder, '/')"
+    above = (
+        f"transform(sequence(1, size({parts}) - 1), n -> array_join(slice({parts}, 1, n), '/'))"
     )
-    folders = found.select("folder")
     nested = (
-        folders.select("folder", F.explode(above).alias("above"))
-        .join(folders.select(F.col("folder").alias("above")), "above", "left_semi")
+        found.selectExpr("folder", f"explode({above}) AS above")
+        .join(found.selectExpr("folder AS above"), "above", "left_semi")
         .select("folder")
     )
-    name = F.substring_index("folder", "/", -1)
-    names = compose.services_loose if loose else compose.services
+    services = compose.services_loose if loose else compose.services
     return (
         found.join(nested, "folder", "left_anti")
-        .select(
-            F.md5("folder").alias("id"),
-            name.alias("name"),
-            F.col("folder").alias("path"),
-            name.alias("project_name"),
-            names(F.col("content")).alias("containers"),
-            F.lit(False).alias("enabled"),
+        .selectExpr(
+            "md5(folder) AS id",
+            "substring_index(folder, '/', -1) AS name",
+            "folder AS path",
+            "substring_index(folder, '/', -1) AS project_name",
+            f"{services('content')} AS containers",
+            "false AS enabled",
         )
         .orderBy("path")
     )

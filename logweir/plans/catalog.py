@@ -34,12 +34,15 @@ CATALOG: dict[str, Registered] = {}
 
 def _plain_times(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as the checking engine has them."""
-    return df.select(
+    fields = df.schema.fields
+    if not any(isinstance(f.dataType, T.TimestampType) for f in fields):
+        return df
+    return df.selectExpr(
         *[
-            F.col(f.name).cast("timestamp_ntz").alias(f.name)
+            f"CAST(`{f.name}` AS timestamp_ntz) AS `{f.name}`"
             if isinstance(f.dataType, T.TimestampType)
-            else F.col(f.name)
-            for f in df.schema.fields
+            else f"`{f.name}`"
+            for f in fields
         ]
     )
 
@@ -143,7 +146,7 @@ def _(df):
     FROM logs""",
 )
 def _(df):
-    return df.select("id", "level_raw", levels.normalize_level(F.col("level_raw")).alias("level"))
+    return df.selectExpr("id", "level_raw", f"{levels.normalize_level('level_raw')} AS level")
 
 
 @log_query(
@@ -151,18 +154,18 @@ def _(df):
     "SELECT id, CASE WHEN level_raw = 'err' THEN 'STDERR' ELSE 'STDOUT' END AS source FROM logs",
 )
 def _(df):
-    spelled = F.concat(F.lit("Std"), F.col("level_raw"))
-    return df.select("id", levels.normalize_source(spelled).alias("source"))
+    spelled = "concat('Std', level_raw)"
+    return df.selectExpr("id", f"{levels.normalize_source(spelled)} AS source")
 
 
 @log_query("ingest_level", "SELECT id, level FROM logs")
 def _(df):
-    return df.select("id", levels.ingest_level(F.col("message")).alias("level"))
+    return df.selectExpr("id", f"{levels.ingest_level('message')} AS level")
 
 
 @log_query("ingest_source", "SELECT id, source FROM logs")
 def _(df):
-    return df.select("id", levels.ingest_source(F.col("message")).alias("source"))
+    return df.selectExpr("id", f"{levels.ingest_source('message')} AS source")
 
 
 @log_query(
@@ -175,11 +178,10 @@ def _(df):
     sql.MARKS,
 )
 def _(df):
-    message = F.col("message")
-    return df.select(
+    return df.selectExpr(
         "id",
-        levels.extract_level(message).alias("level"),
-        texts.trim_unicode(message).alias("clean_message"),
+        f"{levels.extract_level('message')} AS level",
+        f"{texts.trim_unicode('message')} AS clean_message",
     )
 
 
@@ -193,8 +195,8 @@ def _(df):
     sql.MARKS,
 )
 def _(df):
-    return df.select(
-        "id", F.array_join(patterns.pattern_tags(F.col("message")), ",").alias("tags")
+    return df.selectExpr(
+        "id", f"array_join({patterns.pattern_tags('message')}, ',') AS tags"
     )
 
 
@@ -207,8 +209,8 @@ def _(df):
     sql.MARKS,
 )
 def _(df):
-    return df.select(
-        "id", F.array_join(patterns.pattern_types(F.col("message")), ",").alias("types")
+    return df.selectExpr(
+        "id", f"array_join({patterns.pattern_types('message')}, ',') AS types"
     )
 
 
@@ -444,7 +446,9 @@ def _(df):
     FROM (SELECT id, id * 250 AS n FROM logs)""",
 )
 def _(df):
-    return df.select("id", texts.format_count(F.col("id") * 250).alias("shown"))
+    return df.selectExpr("id", "id * 250 AS n").selectExpr(
+        "id", f"{texts.format_count('n')} AS shown"
+    )
 
 
 # Patterns -------------------------------------------------------------------------------
@@ -585,24 +589,15 @@ def _(events):
 
 
 def _flat_containers(df: DataFrame) -> DataFrame:
-    port = F.transform(
-        "ports",
-        lambda p: F.concat(
-            p.private_port.cast("string"),
-            F.lit(":"),
-            F.coalesce(p.public_port.cast("string"), F.lit("-")),
-            F.lit("/"),
-            p.port_type,
-        ),
-    )
-    return df.select(
+    port = "concat(p.private_port, ':', coalesce(string(p.public_port), '-'), '/', p.port_type)"
+    return df.selectExpr(
         "id",
         "name",
         "image",
         "status",
         "created",
-        stack_of(F.col("labels")).alias("project"),
-        F.array_join(port, ",").alias("ports"),
+        f"{stack_of('labels')} AS project",
+        f"array_join(transform(ports, p -> {port}), ',') AS ports",
     )
 
 

@@ -5,7 +5,7 @@ one log line, one raw line and one resource sample per event, one container and
 file per user.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,29 +60,17 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/{{events.parquet}}")
 
 
-def _pick(values: list[str]) -> Column:
+def _pick(values: list[str]) -> str:
     """The entry of ``values`` at event_id modulo their number."""
-    index = (F.col("event_id") % len(values) + 1).cast("int")
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index)
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), int(event_id % {len(values)} + 1))"
 
 
-def _container_id() -> Column:
-    return F.concat(F.lit("c"), F.col("user_id").cast("string"))
-
-
-def _container_name() -> Column:
-    return F.concat(F.lit("svc-"), F.col("user_id").cast("string"))
-
-
-def _stack() -> Column:
-    """The user's stack, or null for the unlabelled."""
-    return F.when(
-        F.col("user_id") % 11 != 0, F.concat(F.lit("stack"), (F.col("user_id") % 10).cast("string"))
-    )
-
-
-def _cents() -> Column:
-    return F.round(F.col("value") * 100).cast("long")
+_CONTAINER_ID = "concat('c', user_id)"
+_CONTAINER_NAME = "concat('svc-', user_id)"
+# The user's stack, or null for the unlabelled.
+_STACK = "CASE WHEN user_id % 11 != 0 THEN concat('stack', user_id % 10) END"
+_CENTS = "bigint(round(value * 100))"
 
 
 def logs(events: DataFrame, exact_time: bool = False) -> DataFrame:
@@ -90,20 +78,19 @@ def logs(events: DataFrame, exact_time: bool = False) -> DataFrame:
 
     ``exact_time`` leaves the microseconds in.
     """
-    time = F.col("ts").cast("timestamp")
-    lines = events.select(
-        F.col("event_id").alias("id"),
-        (time if exact_time else to_millis(time)).alias("timestamp"),
-        _container_id().alias("container_id"),
-        _container_name().alias("container_name"),
-        F.coalesce(_stack(), F.lit("")).alias("compose_project"),
-        F.lit(COMPOSE_FILE).alias("compose_file"),
-        _pick(MESSAGES).alias("message"),
-        F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("props")).alias("metadata"),
-        _pick(RAW_LEVELS).alias("level_raw"),
+    time = "timestamp(ts)"
+    lines = events.selectExpr(
+        "event_id AS id",
+        f"{time if exact_time else to_millis(time)} AS timestamp",
+        f"{_CONTAINER_ID} AS container_id",
+        f"{_CONTAINER_NAME} AS container_name",
+        f"coalesce({_STACK}, '') AS compose_project",
+        f"'{COMPOSE_FILE}' AS compose_file",
+        f"{_pick(MESSAGES)} AS message",
+        "CASE WHEN event_id % 4 = 0 THEN '' ELSE props END AS metadata",
+        f"{_pick(RAW_LEVELS)} AS level_raw",
     )
-    message = F.col("message")
-    return lines.select(
+    return lines.selectExpr(
         "id",
         "timestamp",
         "container_id",
@@ -111,8 +98,8 @@ def logs(events: DataFrame, exact_time: bool = False) -> DataFrame:
         "compose_project",
         "compose_file",
         "message",
-        levels.ingest_level(message).alias("level"),
-        levels.ingest_source(message).alias("source"),
+        f"{levels.ingest_level('message')} AS level",
+        f"{levels.ingest_source('message')} AS source",
         "metadata",
         "level_raw",
     )
@@ -120,116 +107,92 @@ def logs(events: DataFrame, exact_time: bool = False) -> DataFrame:
 
 def raw_lines(events: DataFrame) -> DataFrame:
     """Lines as a shipper lands them: time prefix, space, text."""
-    return events.select(
-        F.col("event_id").alias("id"),
-        _container_id().alias("container_id"),
-        F.concat(rfc3339(F.col("ts").cast("timestamp")), F.lit(" "), _pick(MESSAGES)).alias("line"),
-    )
-
-
-def _users(events: DataFrame) -> DataFrame:
-    return events.select("user_id").distinct()
-
-
-def _status() -> Column:
-    return F.when(F.col("user_id") % 3 == 0, "Exited (0) 2 hours ago").otherwise("Up 3 hours")
-
-
-def _labels() -> Column:
-    label = F.create_map(F.lit(PROJECT_LABEL), _stack())
-    return F.when(_stack().isNotNull(), label).otherwise(
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return events.selectExpr(
+        "event_id AS id",
+        f"{_CONTAINER_ID} AS container_id",
+        f"concat({rfc3339('timestamp(ts)')}, ' ', {_pick(MESSAGES)}) AS line",
     )
 
 
-def _ports() -> Column:
-    def port(private: Column, public: Column, kind: str) -> Column:
-        return F.struct(
-            private.cast("int").alias("private_port"),
-            public.cast("int").alias("public_port"),
-            F.lit(kind).alias("port_type"),
-        )
-
-    return F.array(
-        port(F.lit(80), F.lit(8000) + F.col("user_id") % 1000, "tcp"),
-        port(F.lit(443), F.lit(None), "udp"),
-    )
+_STATUS = "CASE WHEN user_id % 3 = 0 THEN 'Exited (0) 2 hours ago' ELSE 'Up 3 hours' END"
+_IMAGE = "concat('img', user_id % 7, ':latest')"
+_LABELS = (
+    f"CASE WHEN user_id % 11 != 0 THEN map('{PROJECT_LABEL}', {_STACK}) "
+    "ELSE CAST(map() AS map<string, string>) END"
+)
+_PORTS = (
+    "array(named_struct('private_port', 80, 'public_port', int(8000 + user_id % 1000), "
+    "'port_type', 'tcp'), named_struct('private_port', 443, 'public_port', int(NULL), "
+    "'port_type', 'udp'))"
+)
 
 
-def _image() -> Column:
-    return F.concat(F.lit("img"), (F.col("user_id") % 7).cast("string"), F.lit(":latest"))
+def _users(events: DataFrame) -> DataFrame:
+    return events.select("user_id").distinct()
 
 
 def containers(events: DataFrame) -> DataFrame:
     """Container snapshot: one row per user."""
-    return _users(events).select(
-        _container_id().alias("id"),
-        _container_name().alias("name"),
-        _image().alias("image"),
-        _status().alias("status"),
-        (F.lit(1_700_000_000) + F.col("user_id")).alias("created"),
-        _labels().alias("labels"),
-        _ports().alias("ports"),
+    return _users(events).selectExpr(
+        f"{_CONTAINER_ID} AS id",
+        f"{_CONTAINER_NAME} AS name",
+        f"{_IMAGE} AS image",
+        f"{_STATUS} AS status",
+        "1700000000 + user_id AS created",
+        f"{_LABELS} AS labels",
+        f"{_PORTS} AS ports",
     )
 
 
 def container_listing(events: DataFrame) -> DataFrame:
     """The snapshot as a daemon lists it: slashed names, and fields that may be missing."""
-    user = F.col("user_id")
-    return _users(events).select(
-        _container_id().alias("id"),
-        F.when(user % 13 == 0, F.array().cast("array<string>"))
-        .when(user % 5 == 0, F.array(F.concat(F.lit("//"), _container_name()), F.lit("/alias")))
-        .otherwise(F.array(F.concat(F.lit("/"), _container_name())))
-        .alias("names"),
-        F.when(user % 7 != 0, _image()).alias("image"),
-        F.when(user % 17 != 0, _status()).alias("status"),
-        F.when(user % 19 != 0, F.lit(1_700_000_000) + user).alias("created"),
-        F.when(user % 11 != 0, _labels()).alias("labels"),
-        F.when(user % 4 != 0, _ports()).alias("ports"),
+    slashed = f"concat('/', {_CONTAINER_NAME})"
+    return _users(events).selectExpr(
+        f"{_CONTAINER_ID} AS id",
+        f"""CASE WHEN user_id % 13 = 0 THEN CAST(array() AS array<string>)
+                 WHEN user_id % 5 = 0 THEN array(concat('/', {slashed}), '/alias')
+                 ELSE array({slashed}) END AS names""",
+        f"CASE WHEN user_id % 7 != 0 THEN {_IMAGE} END AS image",
+        f"CASE WHEN user_id % 17 != 0 THEN {_STATUS} END AS status",
+        "CASE WHEN user_id % 19 != 0 THEN 1700000000 + user_id END AS created",
+        f"CASE WHEN user_id % 11 != 0 THEN {_LABELS} END AS labels",
+        f"CASE WHEN user_id % 4 != 0 THEN {_PORTS} END AS ports",
     )
 
 
 def stats_samples(events: DataFrame) -> DataFrame:
     """Resource samples with current and previous counters, some of them missing."""
-    event, user = F.col("event_id"), F.col("user_id")
-
-    def interface(rx: Column, tx: Column) -> Column:
-        return F.struct(rx.cast("long").alias("rx_bytes"), tx.cast("long").alias("tx_bytes"))
-
-    networks = F.create_map(
-        F.lit("eth0"),
-        interface(event % 1000 * 10, _cents()),
-        F.lit("eth1"),
-        interface(user, F.lit(7)),
+    networks = (
+        f"map('eth0', struct(event_id % 1000 * 10 AS rx_bytes, {_CENTS} AS tx_bytes), "
+        "'eth1', struct(user_id AS rx_bytes, 7L AS tx_bytes))"
     )
-    return events.select(
-        event.alias("id"),
-        to_millis(F.col("ts")).alias("timestamp"),
-        _container_id().alias("container_id"),
-        F.concat(F.lit("/"), _container_name()).alias("name"),
-        (event * 1000 + _cents()).alias("cpu_total"),
-        (event * 1000).alias("precpu_total"),
-        F.when(event % 13 != 0, event * 1000 + 50_000).alias("system_cpu"),
-        (event * 1000).alias("presystem_cpu"),
-        F.when(event % 7 != 0, F.lit(CPUS).cast("long")).alias("online_cpus"),
-        F.when(event % 17 != 0, event % 1000 * 1_048_576).alias("memory_usage"),
-        F.when(event % 19 != 0, F.lit(2_147_483_648)).alias("memory_limit"),
-        F.when(event % 23 != 0, networks).alias("networks"),
-        (event * 3).alias("block_read"),
-        (event * 5).alias("block_write"),
+    return events.selectExpr(
+        "event_id AS id",
+        f"{to_millis('timestamp(ts)')} AS timestamp",
+        f"{_CONTAINER_ID} AS container_id",
+        f"concat('/', {_CONTAINER_NAME}) AS name",
+        f"event_id * 1000 + {_CENTS} AS cpu_total",
+        "event_id * 1000 AS precpu_total",
+        "CASE WHEN event_id % 13 != 0 THEN event_id * 1000 + 50000 END AS system_cpu",
+        "event_id * 1000 AS presystem_cpu",
+        f"CASE WHEN event_id % 7 != 0 THEN {CPUS}L END AS online_cpus",
+        "CASE WHEN event_id % 17 != 0 THEN event_id % 1000 * 1048576 END AS memory_usage",
+        "CASE WHEN event_id % 19 != 0 THEN 2147483648L END AS memory_limit",
+        f"CASE WHEN event_id % 23 != 0 THEN {networks} END AS networks",
+        "event_id * 3 AS block_read",
+        "event_id * 5 AS block_write",
     )
 
 
 def counters(events: DataFrame) -> DataFrame:
     """Raw cumulative CPU counters: per container, the sum of cents so far."""
-    base = events.select(
-        F.col("event_id").alias("id"),
-        to_millis(F.col("ts")).alias("timestamp"),
-        _container_id().alias("container_id"),
-        _cents().alias("cents"),
-        (F.col("event_id") * 1000).alias("system_cpu"),
-        F.lit(CPUS).cast("long").alias("online_cpus"),
+    base = events.selectExpr(
+        "event_id AS id",
+        f"{to_millis('timestamp(ts)')} AS timestamp",
+        f"{_CONTAINER_ID} AS container_id",
+        f"{_CENTS} AS cents",
+        "event_id * 1000 AS system_cpu",
+        f"{CPUS}L AS online_cpus",
     )
     return running_sum(base, "container_id", "cents", "cpu_total").drop("cents")
 
@@ -240,37 +203,23 @@ def compose_files(events: DataFrame) -> DataFrame:
     Every fifth user also has a second file name, every seventh a nested project, and every
     ninth a project below an excluded folder.
     """
-    kinds = (
+    root = f"concat('/srv/', coalesce({_STACK}, 'misc'), '/app-', user_id)"
+    services = r"concat('  ', k, ':\n    image: img-', k, ':latest')"
+    return (
         events.select("user_id", "event_type")
         .distinct()
         .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list("event_type")).alias("kinds"))
-    )
-    user = F.col("user_id").cast("string")
-    services = F.array_join(
-        F.transform(
-            "kinds",
-            lambda k: F.concat(F.lit("  "), k, F.lit(":\n    image: img-"), k, F.lit(":latest")),
-        ),
-        "\n",
-    )
-    content = F.concat(
-        F.lit('version: "3"\nservices:\n'), services, F.lit("\nvolumes:\n  data:\n")
-    )
-    root = F.concat(F.lit("/srv/"), F.coalesce(_stack(), F.lit("misc")), F.lit("/app-"), user)
-    paths = F.array_compact(
-        F.array(
-            F.concat(root, F.lit("/docker-compose.yml")),
-            F.when(
-                F.col("user_id") % 5 == 0, F.concat(root, F.lit("/docker-compose.yaml"))
-            ),
-            F.when(
-                F.col("user_id") % 7 == 0, F.concat(root, F.lit("/sub/docker-compose.yml"))
-            ),
-            F.when(
-                F.col("user_id") % 9 == 0,
-                F.concat(root, F.lit("-web/node_modules/dep/docker-compose.yml")),
-            ),
+        .agg(F.expr("array_sort(collect_list(event_type)) AS kinds"))
+        .selectExpr(
+            f"""explode(array_compact(array(
+                concat({root}, '/docker-compose.yml'),
+                CASE WHEN user_id % 5 = 0 THEN concat({root}, '/docker-compose.yaml') END,
+                CASE WHEN user_id % 7 = 0 THEN concat({root}, '/sub/docker-compose.yml') END,
+                CASE WHEN user_id % 9 = 0
+                     THEN concat({root}, '-web/node_modules/dep/docker-compose.yml') END
+            ))) AS path""",
+            r"concat('version: \"3\"\nservices:\n', "
+            + f"array_join(transform(kinds, k -> {services}), '\\n'), "
+            + r"'\nvolumes:\n  data:\n') AS content",
         )
     )
-    return kinds.select(F.explode(paths).alias("path"), content.alias("content"))

@@ -34,17 +34,17 @@ CSV_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in CSV_C
 
 def display_rows(logs: DataFrame) -> DataFrame:
     """Log rows as clients see them: time as text, mixed-case names, empty metadata null."""
-    return logs.select(
+    return logs.selectExpr(
         "id",
-        rfc3339(F.col("timestamp")).alias("timestamp"),
+        f"{rfc3339('timestamp')} AS timestamp",
         "container_id",
         "container_name",
         "compose_project",
         "compose_file",
         "message",
-        display_level(F.col("level")).alias("level"),
-        F.initcap("source").alias("source"),
-        F.nullif(F.col("metadata"), F.lit("")).alias("metadata"),
+        f"{display_level('level')} AS level",
+        "initcap(source) AS source",
+        "nullif(metadata, '') AS metadata",
     )
 
 
@@ -67,9 +67,7 @@ def read_json_export(spark: SparkSession, path: str) -> DataFrame:
 
 def export_csv(logs: DataFrame, path: str) -> None:
     """Write the five CSV columns, every value quoted and quotes doubled."""
-    rows = display_rows(logs).select(
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CSV_COLUMNS]
-    )
+    rows = display_rows(logs).selectExpr(*[f"coalesce({c}, '') AS {c}" for c in CSV_COLUMNS])
     (
         rows.write.option("header", True)
         .option("quoteAll", True)

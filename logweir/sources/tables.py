@@ -44,9 +44,8 @@ def read_compose_files(spark: SparkSession, roots: list[str]) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "docker-compose.{yml,yaml}")
         .text(roots)
-        .select(
-            F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"),
-            F.col("value").alias("content"),
+        .selectExpr(
+            "regexp_replace(_metadata.file_path, '^file:/+', '/') AS path", "value AS content"
         )
     )
 
@@ -59,7 +58,7 @@ def _clustered(df: DataFrame) -> DataFrame:
     few containers each, and their min/max statistics skip the others.
     """
     return (
-        df.withColumn(schemas.DAY, day_key(F.col("timestamp")))
+        df.withColumn(schemas.DAY, F.expr(day_key("timestamp")))
         .repartitionByRange(schemas.DAY, "container_id", "timestamp")
         .sortWithinPartitions(schemas.DAY, "container_id", "timestamp")
     )
@@ -121,6 +120,6 @@ def drop_expired_days(
 
 
 def rows_per_day(df: DataFrame) -> DataFrame:
-    return df.groupBy(day_key(F.col("timestamp")).alias(schemas.DAY)).agg(
+    return df.groupBy(F.expr(day_key("timestamp")).alias(schemas.DAY)).agg(
         F.count("*").alias("count")
     )

@@ -25,7 +25,7 @@ DEDUP_DELAY = "10 minutes"
 
 def _append(rows: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     return (
-        rows.withColumn(schemas.DAY, day_key(F.col("timestamp")))
+        rows.withColumn(schemas.DAY, F.expr(day_key("timestamp")))
         .writeStream.format("parquet")
         .partitionBy(schemas.DAY)
         .option("checkpointLocation", checkpoint)
