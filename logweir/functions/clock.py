@@ -12,20 +12,28 @@ def day_key(ts: str) -> str:
 
 def rfc3339(ts: str) -> str:
     """UTC text such as ``2024-01-01T00:00:07.179Z``; whole seconds carry no fraction."""
-    seconds = f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\")"
-    fraction = f"CASE WHEN date_format({ts}, 'SSS') = '000' THEN '' ELSE date_format({ts}, '.SSS') END"
-    return f"concat({seconds}, {fraction}, 'Z')"
+    exact = f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
+    return f"concat(replace({exact}, '.000', ''), 'Z')"
 
 
-# A time prefix as container runtimes write it, then one space, then the text.
-_TIME_PREFIX = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})) "
+# The time that container runtimes put before a line and its first space.
+_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+
+
+def _first_word(line: str) -> str:
+    return f"substring_index({line}, ' ', 1)"
+
+
+def _is_timed(line: str) -> str:
+    return f"(contains({line}, ' ') AND {_first_word(line)} RLIKE r'{_TIME}')"
 
 
 def line_time(line: str) -> str:
     """The event time a line starts with, or null."""
-    return f"try_to_timestamp(nullif(regexp_extract({line}, r'{_TIME_PREFIX}', 1), ''))"
+    return f"CASE WHEN {_is_timed(line)} THEN try_to_timestamp({_first_word(line)}) END"
 
 
 def line_text(line: str) -> str:
     """The line without its time prefix."""
-    return f"regexp_replace({line}, r'{_TIME_PREFIX}', '')"
+    rest = f"substring({line}, length({_first_word(line)}) + 2)"
+    return f"CASE WHEN {_is_timed(line)} THEN {rest} ELSE {line} END"

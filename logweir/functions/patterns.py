@@ -64,9 +64,16 @@ TAG_TYPES = {
 
 
 def _names_of(conditions: dict[str, str]) -> str:
-    """The names whose condition holds, in order."""
-    entries = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in conditions.items())
-    return f"array_compact(array({entries}))"
+    """The names whose condition holds, in order.
+
+    Joined from one-entry arrays, as ``array_compact`` would take the conditions out of
+    generated code.
+    """
+    entries = ", ".join(
+        f"CASE WHEN {test} THEN array('{name}') ELSE array() END"
+        for name, test in conditions.items()
+    )
+    return f"concat({entries})"
 
 
 def pattern_tags(message: str) -> str:

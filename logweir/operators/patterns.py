@@ -12,20 +12,21 @@ def pattern_counts(logs: DataFrame) -> DataFrame:
     All tags are counted in one pass to one row, which is then turned into rows; lines are
     neither multiplied nor shuffled.
     """
+    hits = [f"{patterns.matches('message', p)} AS {tag}" for tag, p in patterns.TAGS.items()]
     totals, entries = [], []
-    for ordinal, (tag, pattern) in enumerate(patterns.TAGS.items()):
-        hit = patterns.matches("message", pattern)
+    for ordinal, tag in enumerate(patterns.TAGS):
         totals += [
-            f"count_if({hit}) AS {tag}_count",
-            f"min(CASE WHEN {hit} THEN struct(timestamp, id) END) AS {tag}_first",
-            f"max(CASE WHEN {hit} THEN timestamp END) AS {tag}_last",
+            f"count_if({tag}) AS {tag}_count",
+            f"min(CASE WHEN {tag} THEN struct(timestamp, id) END) AS {tag}_first",
+            f"max(CASE WHEN {tag} THEN timestamp END) AS {tag}_last",
         ]
         entries.append(
             f"named_struct('first', {tag}_first, 'ordinal', {ordinal}, 'pattern', '{tag}', "
             f"'count', {tag}_count, 'last', {tag}_last)"
         )
     return (
-        logs.agg(*map(F.expr, totals))
+        logs.selectExpr("timestamp", "id", *hits)
+        .agg(*map(F.expr, totals))
         .selectExpr(f"array_sort(filter(array({', '.join(entries)}), e -> e.count > 0)) AS seen")
         .selectExpr("size(seen) AS detected_count", "explode(seen) AS e")
         .selectExpr(

@@ -39,15 +39,15 @@ def read_stats_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_compose_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Every compose file below ``roots`` as (path, content), found and read by executors."""
-    return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "docker-compose.{yml,yaml}")
-        .text(roots)
-        .selectExpr(
-            "regexp_replace(_metadata.file_path, '^file:/+', '/') AS path", "value AS content"
-        )
+    files = spark.read.text(
+        roots,
+        wholetext=True,
+        recursiveFileLookup=True,
+        pathGlobFilter="docker-compose.{yml,yaml}",
     )
+    # File paths come percent-encoded, except for the plus sign.
+    encoded = "replace(regexp_replace(_metadata.file_path, '^file:/+', '/'), '+', '%2B')"
+    return files.selectExpr(f"url_decode({encoded}) AS path", "value AS content")
 
 
 def _clustered(df: DataFrame) -> DataFrame:
