@@ -8,7 +8,7 @@ from logweir.functions import levels
 from logweir.functions.clock import to_millis
 from logweir.functions.container import COMPOSE_FILE, is_collected, stack_of
 from logweir.session import broadcast_if_small
-from logweir.sources.tables import in_range
+from logweir.sources.tables import in_range, newest_days
 
 # Page limits, the rows that sampled statistics read, lines per tail.
 DEFAULT_LIMIT = 100
@@ -91,11 +91,17 @@ def filter_logs(
     search: str | None = None,
     since=None,
     until=None,
+    levels_in: list[str] | None = None,
+    source: str | None = None,
+    regex: str | None = None,
+    exclude: str | None = None,
 ) -> DataFrame:
     """Rows that pass every given filter.
 
-    ``level`` is compared in upper case and ``all`` means any; ``search`` is a literal,
-    case-sensitive substring; ``containers`` is a comma-separated id list, taken verbatim.
+    ``level`` is compared in upper case and ``all`` means any; ``levels_in`` takes several.
+    ``search`` is a literal, case-sensitive substring and ``exclude`` one that must not
+    occur; ``regex`` is a Java pattern found anywhere in the message. ``containers`` is a
+    comma-separated id list, taken verbatim.
     """
     if container_id is not None:
         logs = logs.filter(F.col("container_id") == container_id)
@@ -107,6 +113,14 @@ def filter_logs(
         logs = logs.filter(F.col("compose_project") == stack)
     if containers is not None:
         logs = logs.filter(F.col("container_id").isin(containers.split(",")))
+    if levels_in is not None:
+        logs = logs.filter(F.col("level").isin([v.upper() for v in levels_in]))
+    if source is not None:
+        logs = logs.filter(F.col("source") == source.upper())
+    if regex is not None:
+        logs = logs.filter(F.col("message").rlike(regex))
+    if exclude is not None:
+        logs = logs.filter(~F.col("message").contains(exclude))
     return in_range(logs, since, until)
 
 
@@ -160,6 +174,19 @@ def log_page(
     return page.limit(min(limit, MAX_LIMIT))
 
 
+def log_page_by_day(
+    logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters
+) -> DataFrame:
+    """The rows of :func:`log_page`, for a table stored by day.
+
+    Only the days that hold the page are sorted and read in full, and days that ``offset``
+    skips as a whole are never read.
+    """
+    limit = min(limit, MAX_LIMIT)
+    days, left = newest_days(filter_logs(logs, **filters), offset, limit)
+    return log_page(days, limit, left)
+
+
 def page_info(
     logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters
 ) -> DataFrame:

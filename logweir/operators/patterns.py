@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import patterns
+from logweir.operators.sequence import carry_forward
 
 
 def pattern_counts(logs: DataFrame) -> DataFrame:
@@ -55,3 +56,35 @@ def auto_filters(logs: DataFrame) -> DataFrame:
         )
         .selectExpr("e.name", "e.query", "e.count", "e.filter_type")
     )
+
+
+def trace_lines(logs: DataFrame) -> DataFrame:
+    """The lines of multi-line stack traces, each with the id of its trace's first line.
+
+    A trace is a line that announces one, and the frame lines that directly follow it in its
+    container. Traces may be of any length, so their lines stay rows.
+    """
+    frame, start = patterns.matches("message", "stack_frame"), patterns.matches("message", "stack_start")
+    # Every line but a frame ends the trace before it: with its own id, or with -1 for none.
+    heads = logs.withColumn(
+        "_head",
+        F.expr(f"CASE WHEN NOT {frame} THEN CASE WHEN {start} THEN id ELSE -1L END END"),
+    )
+    return (
+        carry_forward(heads, "container_id", "_head", "trace_id")
+        .filter("trace_id != -1")
+        .drop("_head")
+    )
+
+
+def stack_traces(logs: DataFrame) -> DataFrame:
+    """One row per stack trace: where and when it ran, and over how many lines."""
+    return (
+        trace_lines(logs)
+        .groupBy("container_id", "trace_id")
+        .agg(
+            F.expr("count(*) AS lines"),
+            F.expr("min(timestamp) AS first_time"),
+            F.expr("max(timestamp) AS last_time"),
+        )
+    )

@@ -2,7 +2,7 @@
 
 Rows of a key are cut into time buckets. A window runs inside each bucket, and one summary
 row per bucket carries the state across. A key then costs one task at most its rows of one
-bucket, plus one row for each bucket of the time span.
+bucket, plus one row for each bucket of the time span. Key and timestamp are never null.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -30,7 +30,7 @@ def running_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     )
     summed = cut.withColumn("_inside", F.sum(value).over(inside))
     return (
-        summed.join(carried, [key, "_bucket"], "left")
+        summed.join(carried, [key, "_bucket"])
         .withColumn(out, F.col("_carried") + F.col("_inside"))
         .select(*df.columns, out)
     )
@@ -58,4 +58,24 @@ def previous_row(df: DataFrame, key: str, columns: list[str], prefix: str = "pre
         .alias(f"{prefix}{c}")
         for c in columns
     ]
-    return marked.join(carried, [key, "_bucket"], "left").select(*df.columns, *values)
+    return marked.join(carried, [key, "_bucket"]).select(*df.columns, *values)
+
+
+def carry_forward(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """The key's latest non-null ``value`` up to this row, in order of (timestamp, id)."""
+    cut = df.withColumn("_bucket", F.date_trunc(BUCKET, "timestamp"))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*_ORDER)
+    marked = cut.select(
+        "*",
+        F.last(value, ignorenulls=True)
+        .over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        .alias("_inside"),
+        F.lead("id").over(inside).isNull().alias("_last"),
+    )
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.filter("_last").select(
+        key, "_bucket", F.last("_inside", ignorenulls=True).over(before).alias("_carried")
+    )
+    return marked.join(carried, [key, "_bucket"]).select(
+        *df.columns, F.coalesce("_inside", "_carried").alias(out)
+    )

@@ -260,6 +260,19 @@ def _(df):
     )
 
 
+@log_query(
+    "logs_by_pattern",
+    f"""{_ALL} WHERE regexp_matches(message, '[0-9]+s?$') AND message NOT LIKE '%HTTP%'
+         AND level IN ('INFO', 'WARN') AND source = 'STDOUT'""",
+)
+def _(df):
+    return _log_columns(
+        logs.filter_logs(
+            df, regex="[0-9]+s?$", exclude="HTTP", levels_in=["info", "warn"], source="stdout"
+        )
+    )
+
+
 @log_query(
     "live_filter",
     f"{_ALL} WHERE container_id IN ('c3', 'c13', 'c4') AND compose_project = 'stack3'",
@@ -492,6 +505,36 @@ def _(df):
     return pattern_ops.auto_filters(df)
 
 
+_TRACE_LINES = """,
+heads AS (
+  SELECT *, last_value(CASE WHEN NOT is_frame THEN CASE WHEN is_start THEN id ELSE -1 END END
+                       IGNORE NULLS)
+              OVER (PARTITION BY container_id ORDER BY timestamp, id) AS trace_id
+  FROM marks
+)"""
+
+
+@log_query(
+    "trace_lines",
+    f"{_TRACE_LINES} SELECT id, container_id, message, trace_id FROM heads WHERE trace_id <> -1",
+    sql.MARKS,
+)
+def _(df):
+    return pattern_ops.trace_lines(df).select("id", "container_id", "message", "trace_id")
+
+
+@log_query(
+    "stack_traces",
+    f"""{_TRACE_LINES}
+    SELECT container_id, trace_id, count(*) AS lines, min(timestamp) AS first_time,
+           max(timestamp) AS last_time
+    FROM heads WHERE trace_id <> -1 GROUP BY ALL""",
+    sql.MARKS,
+)
+def _(df):
+    return pattern_ops.stack_traces(df)
+
+
 # Alerts ---------------------------------------------------------------------------------
 
 

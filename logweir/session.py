@@ -15,6 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Streaming state on local disk instead of the executor heap, checkpointed as changes.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Spares the driver a stack capture, and calls into the JVM, for every column expression.
     "spark.sql.dataFrameQueryContext.enabled": "false",
 }

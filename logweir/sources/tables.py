@@ -98,6 +98,26 @@ def in_range(df: DataFrame, since=None, until=None) -> DataFrame:
     return df
 
 
+def newest_days(df: DataFrame, skip: int, take: int) -> tuple[DataFrame, int]:
+    """The days of a stored table that hold its newest rows ``skip`` to ``skip + take``.
+
+    Returns those days' rows and how many of them still have to be skipped. Rows are counted
+    per day first, which reads only the columns that ``df`` was filtered by; the driver gets
+    one number per day.
+    """
+    days = df.groupBy(schemas.DAY).count().orderBy(F.desc(schemas.DAY)).collect()
+    before, wanted, left = 0, [], skip
+    for day, rows in days:
+        if before + rows <= skip:
+            left -= rows
+        elif before < skip + take:
+            wanted.append(day)
+        before += rows
+    if not wanted:
+        return df.limit(0), 0
+    return df.filter(F.col(schemas.DAY).between(wanted[-1], wanted[0])), left
+
+
 def retained(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows that are not yet older than ``days`` at ``as_of`` (a datetime)."""
     return in_range(df, since=as_of - dt.timedelta(days=days))

@@ -19,6 +19,9 @@ from logweir.sources.exports import as_json
 LOG_TRIGGER = {"processingTime": "5 seconds"}
 METRIC_TRIGGER = {"processingTime": "10 seconds"}
 
+# Folders that batches of pattern counts take turns in.
+PATTERN_TURNS = 10
+
 # How long a repeated line may lag behind its first copy and still be recognised.
 DEDUP_DELAY = "10 minutes"
 
@@ -65,11 +68,13 @@ def count_patterns(
 ) -> StreamingQuery:
     """Keep running pattern counts: one row of state, written whole after every batch.
 
-    Each batch goes to its own folder, so repeating a batch replaces what it wrote.
+    Batches take turns in a few folders. A batch that is repeated replaces what it wrote,
+    and the one before it stays readable meanwhile.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.withColumn("batch", F.lit(batch_id)).coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{path}/turn={batch_id % PATTERN_TURNS}")
 
     return (
         patterns.pattern_counts(log_stream)
@@ -85,7 +90,7 @@ def read_pattern_counts(spark: SparkSession, path: str) -> DataFrame:
     """The counts of the latest batch."""
     written = spark.read.parquet(path)
     latest = written.agg(F.max("batch").alias("batch"))
-    return written.join(F.broadcast(latest), "batch", "left_semi").drop("batch")
+    return written.join(F.broadcast(latest), "batch", "left_semi").drop("batch", "turn")
 
 
 def drop_repeated_lines(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logweir import schemas
 from logweir.operators import alerts, containers, logs, metrics, patterns, stacks
 from logweir.operators.ingest import ingest_rows
-from logweir.operators.sequence import previous_row, running_sum
+from logweir.operators.sequence import carry_forward, previous_row, running_sum
 from logweir.session import broadcast_if_small, scratch_path
 
 T0 = dt.datetime(2024, 1, 1)
@@ -338,6 +338,35 @@ def test_sequences_with_a_hot_key(spark):
     assert {r["id"]: r["prev_v"] for r in got} == previous and len(got) == 2_000
 
 
+def test_carry_forward_with_a_hot_key(spark):
+    random.seed(3)
+    rows = [(n, T0 + dt.timedelta(seconds=random.randrange(2_000)),
+             random.choice(["hot", "hot", f"k{n % 9}"]),
+             random.choice([None, None, None, None, n])) for n in range(2_000)]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp, k string, v long").repartition(11)
+    latest, want = {}, {}
+    for n, at, key, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        if v is not None:
+            latest[key] = v
+        want[n] = latest.get(key)
+    got = carry_forward(df, "k", "v", "seen").collect()
+    assert {r["id"]: r["seen"] for r in got} == want and len(got) == 2_000
+
+
+def test_stack_traces(spark):
+    frame = "\tat a.B.c(D.java:1)"
+    rows = table(spark, [
+        entry(0, frame), entry(1, "java.lang.Exception"), entry(2, frame), entry(3, frame, seconds=400),
+        entry(4, "done", seconds=401), entry(5, frame, seconds=402), entry(6, "Traceback", seconds=403),
+        entry(7, "Traceback", container="c2", seconds=2), entry(8, frame, container="c2", seconds=3),
+    ])
+    got = {r["trace_id"]: r["lines"] for r in patterns.stack_traces(rows).collect()}
+    assert got == {1: 3, 6: 1, 7: 2}
+    assert sorted((r["id"], r["trace_id"]) for r in patterns.trace_lines(rows).collect()) == [
+        (1, 1), (2, 1), (3, 1), (6, 6), (7, 7), (8, 7),
+    ]
+
+
 def test_metric_lookup_limits(spark):
     rows = spark.range(1_500).selectExpr(
         "id", "timestamp_millis(id) AS timestamp", "concat('c', id % 2) AS container_id"

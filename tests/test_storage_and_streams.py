@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from logweir import schemas
-from logweir.operators import alerts, patterns
+from logweir.operators import alerts, logs, patterns
 from logweir.sources import event_views as views
 from logweir.sources import exports, tables
 from logweir.streaming import jobs
@@ -39,6 +39,20 @@ def test_log_table_prunes_and_pushes_down(spark, tmp_path):
     assert found.count() == expected.count()
 
 
+def test_pages_read_only_their_days(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = [entry(n, seconds=86_400 * (n // 10) + n % 3, level="ERROR" if n % 2 else "INFO")
+            for n in range(60)]
+    tables.write_logs(table(spark, rows), path)
+    stored = tables.read_logs(spark, path)
+    for limit, offset, level in [(5, 0, "all"), (7, 8, "all"), (10, 10, "all"), (25, 13, "error"),
+                                 (5, 29, "error"), (5, 30, "error"), (100, 0, "all")]:
+        want = logs.log_page(stored, limit, offset, level=level).collect()
+        assert logs.log_page_by_day(stored, limit, offset, level=level).collect() == want
+    page = logs.log_page_by_day(stored, 5, 21)
+    assert "2024-01-04" in plan(page) and "2024-01-06" not in plan(page)
+
+
 def test_hot_container_is_spread_over_files(spark, tmp_path):
     path = str(tmp_path / "logs")
     rows = spark.range(20_000).selectExpr(
