@@ -6,7 +6,10 @@ _OUTER_SPACE = r"(?U)^\s+|(?<!\s)\s+\z"
 
 
 def trim_unicode(text: str) -> str:
-    return f"regexp_replace({text}, r'{_OUTER_SPACE}', '')"
+    """Cut outer whitespace. Only text that begins or ends with some goes to the regex."""
+    ends = f"concat(left({text}, 1), right({text}, 1))"
+    cut = f"regexp_replace({text}, r'{_OUTER_SPACE}', '')"
+    return f"CASE WHEN {ends} RLIKE r'(?U)\\s' THEN {cut} ELSE {text} END"
 
 
 def fold_case(text: str) -> str:

@@ -20,6 +20,8 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A long-lived session answers many kinds of query; it should not compile them anew.
+    "spark.sql.codegen.cache.maxEntries": "2000",
     # Spares the driver a stack capture, and calls into the JVM, for every column expression.
     "spark.sql.dataFrameQueryContext.enabled": "false",
 }
