@@ -7,6 +7,7 @@ from logweir.functions import resources
 from logweir.functions.clock import to_millis
 from logweir.functions.container import strip_slashes
 from logweir.operators.sequence import previous_row
+from logweir.sources.tables import newest_days
 
 # Rows of a metric lookup.
 DEFAULT_LIMIT = 100
@@ -65,6 +66,16 @@ def metric_latest(
     return metrics.orderBy(F.desc("timestamp"), F.desc("id")).limit(min(limit, MAX_LIMIT))
 
 
+def metric_latest_by_day(
+    metrics: DataFrame, container_id: str | None = None, limit: int = DEFAULT_LIMIT
+) -> DataFrame:
+    """The rows of :func:`metric_latest`, reading only the days that hold them."""
+    if container_id is not None:
+        metrics = metrics.filter(F.col("container_id") == container_id)
+    days, _ = newest_days(metrics, 0, min(limit, MAX_LIMIT))
+    return metric_latest(days, limit=limit)
+
+
 def cpu_percent_from_counters(counters: DataFrame) -> DataFrame:
     """CPU share from cumulative counters; a container's first sample has none."""
     paired = previous_row(counters, "container_id", ["cpu_total", "system_cpu"])

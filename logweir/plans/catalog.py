@@ -729,6 +729,18 @@ def _(events):
     return _log_columns(logs.running_logs(views.logs(events), views.containers(events)))
 
 
+@event_query(
+    "running_tail",
+    f"""WITH {sql.LOGS}, {sql.CONTAINERS}
+    SELECT id, timestamp, container_id, message FROM logs
+    WHERE container_id IN (SELECT id FROM containers WHERE status LIKE '%Up%')
+    QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY timestamp DESC, id DESC) <= 50""",
+)
+def _(events):
+    lines = views.logs(events).select("id", "timestamp", "container_id", "message")
+    return logs.tail(logs.running_logs(lines, views.containers(events)))
+
+
 # Lines of containers that no longer run find no attributes.
 _ENRICHED = """SELECT l.id, l.timestamp, l.container_id,
        coalesce(c.name, l.container_id) AS container_name,

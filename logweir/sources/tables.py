@@ -37,6 +37,16 @@ def read_stats_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.STATS_SAMPLES).parquet(path)
 
 
+def stream_rows(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
+) -> DataFrame:
+    """Rows of Parquet files as they land in ``path``; the limit bounds one batch's input."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
 def read_compose_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Every compose file below ``roots`` as (path, content), found and read by executors."""
     files = spark.read.text(
@@ -80,6 +90,27 @@ def _bound(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _create(spark: SparkSession, table: str, schema: T.StructType) -> None:
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _stored(schema).fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({schemas.DAY})"
+    )
+
+
+def create_tables(spark: SparkSession, logs: str = "logs", metrics: str = "metrics") -> None:
+    """Create the two catalog tables unless they exist."""
+    _create(spark, logs, schemas.LOGS)
+    _create(spark, metrics, schemas.METRICS)
+
+
+def insert_logs(logs: DataFrame, table: str = "logs") -> None:
+    _clustered(logs.select(*schemas.LOGS.fieldNames())).write.insertInto(table)
+
+
+def insert_metrics(metrics: DataFrame, table: str = "metrics") -> None:
+    _clustered(metrics.select(*schemas.METRICS.fieldNames())).write.insertInto(table)
+
+
 def in_range(df: DataFrame, since=None, until=None) -> DataFrame:
     """Rows with ``since <= timestamp < until``.
 

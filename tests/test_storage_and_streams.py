@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from logweir import schemas
-from logweir.operators import alerts, logs, patterns
+from logweir.operators import alerts, logs, metrics, patterns
 from logweir.sources import event_views as views
 from logweir.sources import exports, tables
 from logweir.streaming import jobs
@@ -77,10 +77,12 @@ def test_hot_container_is_spread_over_files(spark, tmp_path):
 
 def test_retention_drops_whole_days(spark):
     spark.sql("DROP TABLE IF EXISTS kept_logs")
-    rows = table(spark, [entry(n, seconds=86_400 * n) for n in range(10)])
-    rows.withColumn(schemas.DAY, F.to_date("timestamp")).write.partitionBy(schemas.DAY).saveAsTable(
-        "kept_logs"
-    )
+    spark.sql("DROP TABLE IF EXISTS kept_metrics")
+    for _ in range(2):
+        tables.create_tables(spark, "kept_logs", "kept_metrics")
+    tables.insert_logs(table(spark, [entry(n, seconds=86_400 * n) for n in range(6)]), "kept_logs")
+    tables.insert_logs(table(spark, [entry(n, seconds=86_400 * n) for n in range(6, 10)]), "kept_logs")
+    assert spark.table("kept_logs").count() == 10
     as_of = T0 + dt.timedelta(days=9, hours=1)
     dropped = tables.drop_expired_days(spark, "kept_logs", as_of)
     assert dropped == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
@@ -89,7 +91,20 @@ def test_retention_drops_whole_days(spark):
     # The day of the bound itself stays, and the filter takes its expired rows out.
     assert sorted(r["id"] for r in tables.retained(left, as_of).collect()) == list(range(3, 10))
     assert tables.drop_expired_days(spark, "kept_logs", as_of) == []
+    assert tables.drop_expired_days(spark, "kept_metrics", as_of) == []
     spark.sql("DROP TABLE kept_logs")
+    spark.sql("DROP TABLE kept_metrics")
+
+
+def test_metric_table(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = metrics.metric_rows(views.stats_samples(views.read_events(spark, SMALL)))
+    tables.write_metrics(rows, path)
+    stored = tables.read_metrics(spark, path)
+    assert stored.drop(schemas.DAY).exceptAll(rows).count() == 0 and stored.count() == 1_000
+    for container, limit in [(None, 100), ("c7", 40), ("c7", 5_000), ("none", 5)]:
+        want = metrics.metric_latest(stored, container, limit).collect()
+        assert metrics.metric_latest_by_day(stored, container, limit).collect() == want
 
 
 def test_hostile_text_survives_every_sink(spark, tmp_path):
@@ -137,7 +152,7 @@ def land(spark, path, rows):
 
 
 def stream(spark, path):
-    return spark.readStream.schema(schemas.LOGS).option("maxFilesPerTrigger", 1).parquet(path)
+    return tables.stream_rows(spark, path, schemas.LOGS, files_per_batch=1)
 
 
 def test_pattern_counts_go_on_after_a_restart(spark, tmp_path):
@@ -180,7 +195,7 @@ def test_ingest_stream_enriches(spark, tmp_path):
     lines = [(1, "c1", "2024-01-01T00:00:00.5Z stderr: fatal"), (2, "zz", "no time, no container")]
     spark.createDataFrame(lines, schemas.RAW_LINES).write.parquet(source)
     jobs.ingest_logs(
-        spark.readStream.schema(schemas.RAW_LINES).parquet(source),
+        tables.stream_rows(spark, source, schemas.RAW_LINES),
         spark.createDataFrame(SNAPSHOT, schemas.CONTAINERS), sink, check, ONCE,
     ).awaitTermination()
     rows = {r["id"]: r for r in tables.read_logs(spark, sink).collect()}
