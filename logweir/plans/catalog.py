@@ -87,6 +87,10 @@ def _log_columns(df: DataFrame) -> DataFrame:
     return df.select(*schemas.LOGS.fieldNames())
 
 
+def _utc(*parts: int) -> dt.datetime:
+    return dt.datetime(*parts, tzinfo=dt.timezone.utc)
+
+
 _ALL = f"SELECT {sql.LOG_COLUMNS} FROM logs"
 
 
@@ -255,7 +259,7 @@ def _(df):
 def _(df):
     return _log_columns(
         logs.filter_logs(
-            df, since=dt.datetime(2024, 1, 10, 6), until=dt.datetime(2024, 1, 12, 18, 30)
+            df, since=_utc(2024, 1, 10, 6), until=_utc(2024, 1, 12, 18, 30)
         )
     )
 
@@ -327,7 +331,7 @@ def _(df):
         ORDER BY timestamp DESC, id DESC LIMIT 200""",
 )
 def _(df):
-    before = (dt.datetime(2024, 1, 15), 0)
+    before = (_utc(2024, 1, 15), 0)
     return _log_columns(logs.log_page(df, 200, before=before, level="error"))
 
 

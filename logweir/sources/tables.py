@@ -112,7 +112,7 @@ def insert_metrics(metrics: DataFrame, table: str = "metrics") -> None:
 
 
 def in_range(df: DataFrame, since=None, until=None) -> DataFrame:
-    """Rows with ``since <= timestamp < until``.
+    """Rows with ``since <= timestamp < until``; datetimes without zone are local time.
 
     Bounds on ``timestamp`` alone prune no partition, so a stored table is bounded by its
     day column as well.
@@ -161,7 +161,7 @@ def drop_expired_days(
 
     Only the catalog's list of days is read; no row is.
     """
-    oldest_kept = (as_of - dt.timedelta(days=days)).date()
+    oldest_kept = (as_of.astimezone(dt.timezone.utc) - dt.timedelta(days=days)).date()
     listed = (row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect())
     expired = sorted(d for d in map(dt.date.fromisoformat, listed) if d < oldest_kept)
     if expired:

@@ -25,6 +25,20 @@ def test_query_equals_sql(spark, con, name):
     assert rows == wanted
 
 
+WRITES = ("stream_", "export_", "log_write", "metric_write")
+
+
+@pytest.mark.parametrize("name", [n for n in CATALOG if not n.startswith(WRITES)])
+def test_plan(spark, name):
+    """No Python in tasks, no nested loops, and no window over rows of one partition."""
+    plan = CATALOG[name].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "NestedLoop"):
+        assert unwanted not in plan
+    steps = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
+    for above, below in zip(steps, steps[1:]):
+        assert not (above.startswith("Sort [") and below.startswith("Exchange SinglePartition"))
+
+
 def counted(spark, name, column):
     df = CATALOG[name].run(spark, MEDIUM)
     return {r[column]: r["count"] for r in df.groupBy(column).count().collect()}

@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from logweir import schemas
 from logweir.operators import alerts, containers, logs, metrics, patterns, stacks
@@ -378,8 +377,3 @@ def test_metric_lookup_limits(spark):
 def test_scratch_path_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-
-
-def test_no_python_in_plans(spark):
-    df = logs.enrich(table(spark, [entry(1)]).select("container_id", "message"), snapshot(spark))
-    assert F.col is not None and "Python" not in df._jdf.queryExecution().executedPlan().toString()
