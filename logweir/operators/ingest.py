@@ -11,7 +11,8 @@ from logweir.operators.logs import enrich
 def ingest_rows(lines: DataFrame, containers: DataFrame) -> DataFrame:
     """Log rows from (id, container_id, line); the line's own time prefix is its event time.
 
-    A line without one is stamped with the time of the batch that reads it. Every step but the lookup of container attributes is a projection.
+    A line without one is stamped with the time of the batch that reads it. Every step but
+    the lookup of container attributes is a projection.
     """
     arrival = f"coalesce({line_time('line')}, current_timestamp())"
     parsed = lines.selectExpr(

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir import schemas
 from logweir.functions import levels
 from logweir.functions.clock import to_millis
 from logweir.functions.container import COMPOSE_FILE, is_collected, stack_of
@@ -27,8 +26,6 @@ COUNTED_LEVELS = ["ERROR", "WARN", "INFO", "DEBUG"]
 TAIL_SPREAD = 64
 
 
-
-
 def newest_first() -> list[Column]:
     """Times repeat, so the id decides among equals."""
     return [F.desc("timestamp"), F.desc("id")]

@@ -917,7 +917,10 @@ def _(events):
 # Stored tables and exports --------------------------------------------------------------
 
 
-@query("log_write_roundtrip", f"WITH {sql.LOGS} SELECT {sql.LOG_COLUMNS}, CAST(timestamp AS DATE) AS day FROM logs")
+@query(
+    "log_write_roundtrip",
+    f"WITH {sql.LOGS} SELECT {sql.LOG_COLUMNS}, CAST(timestamp AS DATE) AS day FROM logs",
+)
 def _(spark, sf_dir):
     path = scratch_path(spark, "logs")
     tables.write_logs(logs.encode_logs(views.logs(views.read_events(spark, sf_dir))), path)

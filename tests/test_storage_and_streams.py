@@ -170,7 +170,8 @@ def test_pattern_counts_go_on_after_a_restart(spark, tmp_path):
 def test_alert_stream_equals_batch(spark, tmp_path):
     source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     for k in range(3):
-        land(spark, source, [entry(n, "ERROR exception" if n % 2 else "exception") for n in range(k * 10, k * 10 + 10)])
+        numbers = range(k * 10, k * 10 + 10)
+        land(spark, source, [entry(n, "ERROR exception" if n % 2 else "exception") for n in numbers])
         jobs.raise_alerts(
             stream(spark, source), alerts.DEFAULT_RULES, sink, check, ONCE
         ).awaitTermination()
