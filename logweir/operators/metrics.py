@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import resources
 from logweir.functions.clock import to_millis
-from logweir.functions.container import strip_slashes
+from logweir.functions.container import stack_of, strip_slashes
 from logweir.operators.sequence import previous_row
 from logweir.sources.tables import newest_days
 
@@ -103,6 +103,32 @@ def metric_summary(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("container_id").agg(*map(F.expr, _FIGURES))
 
 
+def metric_by_stack(metrics: DataFrame, containers: DataFrame) -> DataFrame:
+    """CPU and memory figures per labelled stack.
+
+    Samples shrink to one row per container before they meet the containers.
+    """
+    per_container = metrics.groupBy("container_id").agg(
+        F.expr("count(*) AS samples"),
+        F.expr("sum(cpu_percent) AS cpu_sum"),
+        F.expr("max(cpu_percent) AS cpu_max"),
+        F.expr("sum(memory_usage) AS memory_sum"),
+        F.expr("max(memory_usage) AS memory_max"),
+    )
+    stacks = containers.selectExpr("id AS container_id", f"{stack_of('labels')} AS stack")
+    return (
+        per_container.join(stacks.filter("stack IS NOT NULL"), "container_id")
+        .groupBy("stack")
+        .agg(
+            F.expr("sum(samples) AS samples"),
+            F.expr("sum(cpu_sum) / sum(samples) AS cpu_avg"),
+            F.expr("max(cpu_max) AS cpu_max"),
+            F.expr("sum(memory_sum) / sum(samples) AS memory_avg"),
+            F.expr("max(memory_max) AS memory_max"),
+        )
+    )
+
+
 def metric_history(metrics: DataFrame, width: str = "5 minutes") -> DataFrame:
     """The same figures per container and time slot."""
     return (

@@ -893,6 +893,20 @@ def _(df):
     return _rounded(metrics.metric_history(metrics.metric_rows(df)))
 
 
+@event_query(
+    "metric_by_stack",
+    f"""WITH {sql.SAMPLES}, {sql.CONTAINERS}
+    SELECT project AS stack, count(*) AS samples, round(avg(cpu_percent), 4) AS cpu_avg,
+           max(cpu_percent) AS cpu_max, round(avg(memory_usage), 4) AS memory_avg,
+           max(memory_usage) AS memory_max
+    FROM metrics JOIN containers ON containers.id = container_id
+    WHERE project IS NOT NULL GROUP BY project""",
+)
+def _(events):
+    rows = metrics.metric_rows(views.stats_samples(events))
+    return _rounded(metrics.metric_by_stack(rows, views.containers(events)))
+
+
 @event_query(
     "cpu_percent_lag",
     f"""WITH {sql.SAMPLES},

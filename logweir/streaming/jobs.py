@@ -22,7 +22,7 @@ METRIC_TRIGGER = {"processingTime": "10 seconds"}
 # Folders that batches of pattern counts take turns in.
 PATTERN_TURNS = 10
 
-# How long a repeated line may lag behind its first copy and still be recognised.
+# How long after its first copy a repeated line may arrive and still be recognised.
 DEDUP_DELAY = "10 minutes"
 
 
@@ -96,9 +96,17 @@ def read_pattern_counts(spark: SparkSession, path: str) -> DataFrame:
 def drop_repeated_lines(
     log_stream: DataFrame, path: str, checkpoint: str, trigger=LOG_TRIGGER, delay=DEDUP_DELAY
 ) -> StreamingQuery:
-    """Append each (time, container, message) once; state is dropped ``delay`` later."""
-    unique = log_stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(
-        logs.DUPLICATE_KEY
+    """Append each (time, container, message) once.
+
+    A copy is recognised within ``delay`` of the first one's arrival, then its state goes.
+    The watermark is on arrival and not on the line's own time, so no line is ever too late
+    and none is lost.
+    """
+    unique = (
+        log_stream.withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", delay)
+        .dropDuplicatesWithinWatermark(logs.DUPLICATE_KEY)
+        .drop("_arrived")
     )
     return _append(unique, path, checkpoint, trigger)
 

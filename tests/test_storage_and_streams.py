@@ -191,6 +191,14 @@ def test_repeated_lines_across_batches(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(20))
 
 
+def test_late_lines_are_kept(spark, tmp_path):
+    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for batch in ([entry(1, seconds=900_000)], [entry(2, seconds=5), entry(3, seconds=5)]):
+        land(spark, source, batch)
+        jobs.drop_repeated_lines(stream(spark, source), sink, check, ONCE).awaitTermination()
+    assert spark.read.parquet(sink).count() == 2
+
+
 def test_ingest_stream_enriches(spark, tmp_path):
     source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     lines = [(1, "c1", "2024-01-01T00:00:00.5Z stderr: fatal"), (2, "zz", "no time, no container")]
