@@ -13,10 +13,11 @@ TASK_BYTES = 32 << 20
 def partitions(df: DataFrame, factor: float = 1.0) -> int:
     """Tasks for a shuffle of ``df``, from the bytes Spark knows of its files."""
     spark = df.sparkSession
-    # a plan without statistics reports more bytes than any table has
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = math.ceil(min(size, 1 << 60) * factor / TASK_BYTES)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size >= 1 << 60:  # what Spark reports of data it knows nothing about
+        return least
+    wanted = math.ceil(size * factor / TASK_BYTES)
     return max(least, min(wanted, 200_000))
 
 
