@@ -11,7 +11,7 @@ import numpy as np
 
 from logweir.llm import batches
 
-CACHED_CHUNKS = 1_500_000
+CACHED_CHUNKS = 1_000_000
 
 # Bytes that a chunk's space may not be followed by: white space, control characters, and first
 # bytes of white space beyond ASCII.
@@ -35,9 +35,9 @@ class Encoder:
 
     def forget(self) -> None:
         self.names = np.zeros(0, np.uint64)  # sorted
-        self.slots = np.zeros(0, np.int64)
+        self.slots = np.zeros(0, np.int32)
         self.firsts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -63,9 +63,9 @@ class Encoder:
         firsts = np.zeros(len(chunks), np.int64)
         ordered = counts[order]
         firsts[order] = len(self.ids) + np.cumsum(ordered) - ordered
-        slots = np.arange(len(self.firsts), len(self.firsts) + len(chunks))
+        slots = np.arange(len(self.firsts), len(self.firsts) + len(chunks), dtype=np.int32)
         self.firsts = np.concatenate((self.firsts, firsts))
-        self.counts = np.concatenate((self.counts, counts))
+        self.counts = np.concatenate((self.counts, counts.astype(np.int32)))
         self.ids = np.concatenate((self.ids, *ids))
         names, slots = np.concatenate((self.names, names)), np.concatenate((self.slots, slots))
         order = np.argsort(names, kind="stable")
@@ -96,7 +96,7 @@ class Encoder:
             self._learn(distinct[~known], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
             at = np.searchsorted(self.names, distinct)
         slot = self.slots[at][inverse]
-        counts = self.counts[slot]
+        counts = self.counts[slot].astype(np.int64)
         ids = self.ids[batches.gather(self.firsts[slot], counts)]
         total = np.concatenate(([0], np.cumsum(counts)))
         per_row = np.diff(total[np.searchsorted(starts, rows)])

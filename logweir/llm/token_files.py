@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from logweir.llm import batches, byte_bpe
 from logweir.llm.shares import partitions
 
-BLOCK_BYTES = 4 << 20  # raw bytes of frames per block, at least one document
+BLOCK_BYTES = 512 << 10  # raw bytes of frames per block, at least one document
 DICTIONARY_BYTES = 64 << 10
 SAMPLED_DOCUMENTS = 2_000  # expected number; only the size of frames depends on it
 SAMPLED_BYTES = 16 << 10  # the dictionary serves short documents and learns from them
@@ -208,7 +208,8 @@ def documents(spark: SparkSession, folder: str, doc_ids: list[int] | None = None
 
         reader = zstandard.ZstdDecompressor(dict_data=_dictionary(raw))
         for part in parts:
-            for r in part.to_pylist():
+            for at in range(part.num_rows):  # one block at a time
+                r = part.slice(at, 1).to_pylist()[0]
                 if r["dictionary_sha256"] != digest:
                     raise ValueError("block written under another dictionary")
                 found = sorted(r["docs"], key=lambda d: d["place"])
