@@ -24,6 +24,7 @@ from logweir.llm.shares import partitions, written
 from logweir.session import broadcast_if_small
 
 SHORTEST = 12  # words of the first level, at least, unless the window itself is shorter
+RUN = 6  # windows of a shared passage that are compared as one
 HOT = 10_000  # places of a fingerprint above which they are not gathered in one task
 
 
@@ -107,7 +108,7 @@ def _next_rows(docs: DataFrame, places: DataFrame, length: int, longer: int, win
     return _with_places(docs, places).mapInArrow(emit, "name long, doc long, place int")
 
 
-_CANDIDATES = "name long, doc long, first int, hot boolean, windows binary"
+_CANDIDATES = "name long, doc long, place int, first int, hot boolean, windows binary"
 
 
 def _candidates(docs: DataFrame, places: DataFrame, length: int, window: int) -> DataFrame:
@@ -132,6 +133,7 @@ def _candidates(docs: DataFrame, places: DataFrame, length: int, window: int) ->
                 {
                     "name": batches.signed(names[chosen[starts]]),
                     "doc": part.column("doc").take(pa.array(row)),
+                    "place": (chosen[starts] - w.first[row]).astype(np.int32),
                     "first": (live[starts] - w.first[row]).astype(np.int32),
                     "hot": crowded[chosen[starts]],
                     "windows": pa.array([raw[8 * s : 8 * e] for s, e in zip(starts, ends)], pa.binary()),
@@ -191,12 +193,55 @@ def _repeated(candidates: DataFrame, tasks: int) -> DataFrame:
         .mapInArrow(gathered, shape)
     )
 
+    hot = written(_cut(candidates.where("hot")), "hot-runs")
+    runs = hot.groupBy("windows").agg(F.count("*").alias("n"))
+    again = runs.where("n > 1").select("windows")
+    whole = hot.join(again, "windows").select(
+        "doc", "start", (F.col("start") + F.octet_length("windows") / 8).cast("int").alias("end")
+    )
+    # Windows of runs that occur once may still occur in other runs, each looked at once.
+    singles = _spread(runs.select(F.lit(0).cast("long").alias("doc"), F.lit(0).alias("start"), "windows"))
+    common = singles.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    alone = _spread(hot.join(again, "windows", "left_anti").select("doc", "start", "windows"))
+    rest = alone.join(common, "window").select("doc", "start", (F.col("start") + 1).alias("end"))
+    return cold.unionByName(whole).unionByName(rest)
+
+
+def _cut(candidates: DataFrame) -> DataFrame:
+    """Runs of at most ``RUN`` windows, cut at the same distances from their representative."""
+
+    def cut(parts):
+        for part in parts:
+            docs, starts, runs = [], [], []
+            columns = (part.column(c).to_pylist() for c in ("doc", "place", "first", "windows"))
+            for doc, place, first, raw in zip(*columns):
+                at, end = first, first + len(raw) // 8
+                while at < end:
+                    to = min(end, at + (place - at) % RUN + 1)
+                    docs.append(doc)
+                    starts.append(at)
+                    runs.append(raw[8 * (at - first) : 8 * (to - first)])
+                    at = to
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc": pa.array(docs, pa.int64()),
+                    "start": pa.array(starts, pa.int32()),
+                    "windows": pa.array(runs, pa.binary()),
+                }
+            )
+
+    return candidates.mapInArrow(cut, "doc long, start int, windows binary")
+
+
+def _spread(runs: DataFrame) -> DataFrame:
+    """One row per window of (doc, start, windows) rows."""
+
     def spread(parts):
         for part in parts:
             blobs = part.column("windows").to_pylist()
             sizes = np.array([len(b) for b in blobs], np.int64) // 8
             which = np.repeat(np.arange(len(blobs)), sizes)
-            first = part.column("first").to_numpy().astype(np.int64)
+            first = part.column("start").to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
                     "window": np.frombuffer(b"".join(blobs), np.int64),
@@ -205,10 +250,7 @@ def _repeated(candidates: DataFrame, tasks: int) -> DataFrame:
                 }
             )
 
-    hot = candidates.where("hot").mapInArrow(spread, "window long, doc long, start int")
-    counts = hot.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = hot.join(counts, "window").select("doc", "start", (F.col("start") + 1).alias("end"))
-    return cold.unionByName(hot)
+    return runs.mapInArrow(spread, "window long, doc long, start int")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
