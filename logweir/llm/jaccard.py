@@ -187,59 +187,63 @@ def joined(docs_one, sets_one, docs_two, sets_two, share: Fraction) -> list[tupl
     return out
 
 
-def _described(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, one, two): the size of each document's set and its fingerprints."""
+def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """(doc, n, one, two, names): the size of each document's set, its fingerprints and its groups.
+
+    A task gives the groups of a set once, however often the set occurs.
+    """
 
     def describe(parts):
+        classes, seen = Classes(share), set()
         for part in batches.slices(parts):
             w = batches.words(part.column("text"), lower=True)
             sets = list(shingle_sets(w, size))
-            names = [identity(s) for s in sets]
+            ids = [identity(s) for s in sets]
+            names = []
+            for own, one in zip(sets, ids):
+                new = len(own) > 0 and one not in seen
+                seen.add(one)
+                names.append(batches.signed(signatures(own, classes)) if new else None)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc": part.column("doc"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "one": pa.array([x[0] for x in names], pa.int64()),
-                    "two": pa.array([x[1] for x in names], pa.int64()),
+                    "one": pa.array([x[0] for x in ids], pa.int64()),
+                    "two": pa.array([x[1] for x in ids], pa.int64()),
+                    "names": pa.array(names, pa.list_(pa.int64())),
                 }
             )
 
-    return docs.mapInArrow(describe, "doc long, n long, one long, two long")
-
-
-def _signed(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """(name, one): the groups of each set; a set is named once per task however often it occurs."""
-
-    def emit(parts):
-        classes, seen = Classes(share), set()
-        for part in batches.slices(parts):
-            w = batches.words(part.column("text"), lower=True)
-            names, owners = [], []
-            for own in shingle_sets(w, size):
-                if not len(own):
-                    continue
-                one = identity(own)
-                if one in seen:
-                    continue
-                seen.add(one)
-                mine = signatures(own, classes)
-                names.append(mine)
-                owners.append(np.full(len(mine), one[0]))
-            if names:
-                yield pa.RecordBatch.from_pydict(
-                    {"name": batches.signed(np.concatenate(names)), "one": np.concatenate(owners)}
-                )
+    return docs.mapInArrow(describe, "doc long, n long, one long, two long, names array<long>")
 
-    return docs.mapInArrow(emit, "name long, one long")
 
-
-def _families(signed: DataFrame) -> DataFrame:
+def _families(described: DataFrame, tasks: int) -> DataFrame:
     """(one, family): sets strung together by shared groups; sets that share none are left out."""
-    # The least set of a group stands for it; counts and minima combine before the shuffle.
-    least = signed.groupBy("name").agg(F.min("one").alias("least"), F.max("one").alias("most"))
-    shared = written(least.where("least <> most").select("name", "least"), "shared-groups")
-    edges = signed.join(shared, "name").where("one <> least").selectExpr("one AS a", "least AS b")
-    return components(edges.distinct()).selectExpr("node AS one", "component AS family")
+
+    def stars(parts):
+        """Rows come sorted by name and set: each set is tied to the first of its group."""
+        name = least = None
+        for part in parts:
+            if not part.num_rows:
+                continue
+            names, ones = part.column("name").to_numpy(), part.column("one").to_numpy()
+            starts = np.concatenate(([True], np.diff(names) != 0))
+            first = ones[np.maximum.accumulate(np.where(starts, np.arange(len(ones)), 0))].copy()
+            if names[0] == name:
+                first[: int(np.searchsorted(names, name, "right"))] = least
+            name, least = names[-1], first[-1]
+            keep = first != ones
+            yield pa.RecordBatch.from_pydict({"a": ones[keep], "b": first[keep]})
+
+    # One row per set and group: a large family is spread over its many groups.
+    edges = (
+        described.where("names is not null")
+        .select("one", F.explode("names").alias("name"))
+        .repartition(tasks, "name")
+        .sortWithinPartitions("name", "one")
+        .mapInArrow(stars, "a long, b long")
+    )
+    return components(edges).selectExpr("node AS one", "component AS family")
 
 
 def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> DataFrame:
@@ -312,12 +316,12 @@ def near_copies(
     id is never the smallest, and alone it gives a null component. Empty tables give no rows.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    described = written(_described(plain, size), "sets")
+    described = written(_described(plain, size, share), "sets")
     whole = described.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("least"))
-    families = written(_families(_signed(plain, size, share)), "families")
+    families = _families(described, partitions(docs))
     chosen = whole.join(families, "one").where("least is not null").selectExpr("least AS doc", "family")
-    links = written(_links(plain, written(chosen, "family-documents"), size, share), "links")
-    found = written(components(links).selectExpr("node AS least", "component"), "components")
+    links = _links(plain, written(chosen, "family-documents"), size, share)
+    found = components(links).selectExpr("node AS least", "component")
     classes = whole.join(found, "least", "left").select(
         "one", "two", F.coalesce("component", "least").alias("component")
     )

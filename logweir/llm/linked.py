@@ -10,30 +10,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node in them.
 
     Each round joins neighbours to the smallest neighbour, first the larger ones and then the
-    smaller ones, until nothing changes; rounds grow with the logarithm of the longest path. A round's
-    minima are combined before the shuffle and written before they are joined, so that adaptive
-    execution can split the rows of a hub.
+    smaller ones, until nothing changes; rounds grow with the logarithm of the longest path. Minima
+    are combined before the shuffle.
     """
     now = written(
         edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges"
     )
     before = None
     while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            return now.selectExpr("a AS node", "b AS component").unionByName(
+                now.selectExpr("b AS node", "b AS component").distinct()
+            )
+        before = state
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
-        least = written(
-            both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least"
-        )
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
         large = both.where("b > a").join(least, "a").selectExpr("b AS a", "least AS b").where("a <> b")
         large = written(large.distinct(), "large-star")
-        low = written(large.groupBy("a").agg(F.min("b").alias("least")), "least")
+        low = large.groupBy("a").agg(F.min("b").alias("least"))
         small = (
             large.join(low, "a").where("b <> least").selectExpr("b AS a", "least AS b")
             .unionByName(low.selectExpr("a", "least AS b"))
         )
         now = written(small.distinct(), "small-star")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.selectExpr("a AS node", "b AS component").unionByName(
-                now.selectExpr("b AS node", "b AS component").distinct()
-            )
-        before = state
