@@ -16,7 +16,7 @@ THRESHOLD = "Threshold"
 CONTAINER_RESTART = "ContainerRestart"
 
 # The largest number of recent events kept.
-MAX_RECENT = 100
+RECENT = 100
 
 # Up to this many rules are unrolled into generated code; more are looped over per line.
 UNROLLED_RULES = 64
@@ -234,7 +234,7 @@ def alert_stats(events: DataFrame, rules: list[AlertRule]) -> DataFrame:
     )
 
 
-def recent_events(events: DataFrame, count: int) -> DataFrame:
-    """The newest events, at most as many as the history keeps."""
+def recent_events(events: DataFrame, count: int = RECENT) -> DataFrame:
+    """The newest ``count`` events."""
     newest = [F.desc("timestamp"), F.desc("log_id")]
-    return events.orderBy(*newest).limit(min(count, MAX_RECENT))
+    return events.orderBy(*newest).limit(count)

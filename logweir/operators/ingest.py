@@ -11,12 +11,13 @@ from logweir.operators.logs import enrich
 def ingest_rows(lines: DataFrame, containers: DataFrame) -> DataFrame:
     """Log rows from (id, container_id, line); the line's own time prefix is its event time.
 
-    A line without one is stamped with the time of the batch that reads it. Every step but
+    A line without one is stamped with the time of the batch that reads it. A line without an id
+    gets one from its container and content, the same whenever it is read. Every step but
     the lookup of container attributes is a projection.
     """
     arrival = f"coalesce({line_time('line')}, current_timestamp())"
     parsed = lines.selectExpr(
-        "coalesce(id, 0L) AS id",
+        "coalesce(id, xxhash64(container_id, line)) AS id",
         f"{to_millis(arrival)} AS timestamp",
         "container_id",
         f"{line_text('line')} AS message",

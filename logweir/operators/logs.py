@@ -11,7 +11,6 @@ from logweir.sources.tables import in_range, newest_days
 
 # Page limits, the rows that sampled statistics read, lines per tail.
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 1_000
 MAX_REQUESTED_LIMIT = 10_000
 STATS_SAMPLE = 10_000
 TAIL_LINES = 50
@@ -26,9 +25,13 @@ COUNTED_LEVELS = ["ERROR", "WARN", "INFO", "DEBUG"]
 TAIL_SPREAD = 64
 
 
+# What decides among rows of equal time, in this order.
+_TIES = ["id", "container_id", "message"]
+
+
 def newest_first() -> list[Column]:
-    """Times repeat, so the id decides among equals."""
-    return [F.desc("timestamp"), F.desc("id")]
+    """A total order, but for rows that are equal in all these columns."""
+    return [F.desc("timestamp"), *[F.desc(name) for name in _TIES]]
 
 
 # Rows as stored and as read -------------------------------------------------------------
@@ -154,33 +157,53 @@ def log_page(
 ) -> DataFrame:
     """The newest rows that pass the filters, after skipping ``offset`` of them.
 
-    Every filter is applied before the limit. Skipped rows still travel to the driver's
-    merge, so deep paging should pass ``before=(timestamp, id)`` of the last row seen: that
-    is a filter, and on a stored table it skips the later days.
+    Every filter is applied before the limit, and a limit is honoured or refused. Skipped rows
+    still travel to the driver's merge, so deep paging should pass ``before``, the
+    :func:`page_key` of the last row seen: that is a filter, and on a stored table it skips the
+    later days. ``(timestamp, id)`` alone is enough where no two rows share both.
     """
-    validate_query(limit, filters.get("container_id"), None)
-    if before is not None:
-        at, last_id = before
-        logs = in_range(logs, until=F.lit(at) + F.expr("INTERVAL 1 MILLISECOND")).filter(
-            (F.col("timestamp") < F.lit(at))
-            | ((F.col("timestamp") == F.lit(at)) & (F.col("id") < last_id))
-        )
-    page = filter_logs(logs, **filters).orderBy(*newest_first())
+    validate_query(limit, filters.get("container_id"), filters.get("level"))
+    page = filter_logs(_older(logs, before), **filters).orderBy(*newest_first())
     if offset:
         page = page.offset(offset)
-    return page.limit(min(limit, MAX_LIMIT))
+    return page.limit(limit)
+
+
+def page_key(row) -> tuple:
+    """What orders a row among all others, to page on from it."""
+    return row["timestamp"], row["id"], row["container_id"], row["message"]
+
+
+def _older(logs: DataFrame, before: tuple | None) -> DataFrame:
+    """Rows that follow ``before`` in the order of pages; a null value follows all others."""
+    if before is None:
+        return logs
+    at, *ties = before
+    older = F.lit(False)
+    for name, value in reversed(list(zip(_TIES, ties))):
+        lower = F.col(name).isNull() if value is not None else F.lit(False)
+        if value is not None:
+            lower = lower | (F.col(name) < F.lit(value))
+        older = lower | (F.col(name).eqNullSafe(F.lit(value)) & older)
+    return in_range(logs, until=F.lit(at) + F.expr("INTERVAL 1 MILLISECOND")).filter(
+        (F.col("timestamp") < F.lit(at)) | ((F.col("timestamp") == F.lit(at)) & older)
+    )
 
 
 def log_page_by_day(
-    logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters
+    logs: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    offset: int = 0,
+    before: tuple | None = None,
+    **filters,
 ) -> DataFrame:
     """The rows of :func:`log_page`, for a table stored by day.
 
     Only the days that hold the page are sorted and read in full, and days that ``offset``
     skips as a whole are never read.
     """
-    limit = min(limit, MAX_LIMIT)
-    days, left = newest_days(filter_logs(logs, **filters), offset, limit)
+    validate_query(limit, filters.get("container_id"), filters.get("level"))
+    days, left = newest_days(filter_logs(_older(logs, before), **filters), offset, limit)
     return log_page(days, limit, left)
 
 
@@ -188,7 +211,7 @@ def page_info(
     logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **filters
 ) -> DataFrame:
     """One row about a page: rows that pass in all, whether more follow, and where."""
-    end = F.lit(offset) + F.lit(min(limit, MAX_LIMIT))
+    end = F.lit(offset) + F.lit(limit)
     more = F.col("total") > end
     return (
         filter_logs(logs, **filters)
@@ -219,7 +242,6 @@ def log_page_postfilter(
 
 def page_info_postfilter(page: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0):
     """One row about a page of :func:`log_page_postfilter`: ``total`` is what is left of it."""
-    limit = min(limit, MAX_LIMIT)
     full = F.col("total") >= limit
     return page.agg(F.count("*").alias("total")).select(
         "total",
@@ -297,9 +319,20 @@ def stack_levels(logs: DataFrame) -> DataFrame:
 
 
 def enrich(lines: DataFrame, containers: DataFrame) -> DataFrame:
-    """Lines with their container's name and stack: the id and '' where unknown."""
-    attributes = containers.selectExpr(
-        "id AS container_id", "name AS _name", f"{stack_of('labels')} AS _stack"
+    """Lines with their container's name and stack: the id and '' where unknown.
+
+    Of a container listed more than once the newest listing counts, by ``listed_at`` where the
+    snapshot has it, so that no line is multiplied.
+    """
+    listed = "listed_at" if "listed_at" in containers.columns else "CAST(null AS timestamp)"
+    attributes = (
+        containers.selectExpr(
+            "id AS container_id",
+            f"struct({listed} AS at, name AS _name, {stack_of('labels')} AS _stack) AS listing",
+        )
+        .groupBy("container_id")
+        .agg(F.max("listing").alias("listing"))
+        .selectExpr("container_id", "listing._name", "listing._stack")
     )
     return lines.join(broadcast_if_small(attributes), "container_id", "left").selectExpr(
         *lines.columns,
@@ -344,11 +377,6 @@ def dedup(history: DataFrame, live: DataFrame) -> DataFrame:
 
 # Viewer ---------------------------------------------------------------------------------
 
-# Rows a viewer keeps and rows it shows.
-VIEWER_KEPT = 5_000
-VIEWER_SHOWN = 500
-
-
 def viewer_match(level: str = "all", search: str = "") -> Column:
     """Level and search as the viewer reads them, both in any case; search also hits names."""
     matched = F.lit(True)
@@ -362,7 +390,15 @@ def viewer_match(level: str = "all", search: str = "") -> Column:
     return matched
 
 
-def viewer_search(logs: DataFrame, level: str = "all", search: str = "") -> DataFrame:
-    """What the viewer shows of the rows it keeps, newest first."""
-    kept = logs.orderBy(*newest_first()).limit(VIEWER_KEPT)
-    return kept.filter(viewer_match(level, search)).orderBy(*newest_first()).limit(VIEWER_SHOWN)
+def viewer_search(
+    logs: DataFrame,
+    level: str = "all",
+    search: str = "",
+    kept: int | None = None,
+    shown: int | None = None,
+) -> DataFrame:
+    """Rows that match, newest first; of the newest ``kept`` rows only and at most ``shown``, if given."""
+    if kept is not None:
+        logs = logs.orderBy(*newest_first()).limit(kept)
+    found = logs.filter(viewer_match(level, search)).orderBy(*newest_first())
+    return found if shown is None else found.limit(shown)

@@ -11,7 +11,6 @@ from logweir.sources.tables import newest_days
 
 # Rows of a metric lookup.
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 1_000
 
 
 def metric_samples(samples: DataFrame) -> DataFrame:
@@ -63,7 +62,7 @@ def metric_latest(
     """The newest metric rows, of one container if given."""
     if container_id is not None:
         metrics = metrics.filter(F.col("container_id") == container_id)
-    return metrics.orderBy(F.desc("timestamp"), F.desc("id")).limit(min(limit, MAX_LIMIT))
+    return metrics.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
 
 
 def metric_latest_by_day(
@@ -72,7 +71,7 @@ def metric_latest_by_day(
     """The rows of :func:`metric_latest`, reading only the days that hold them."""
     if container_id is not None:
         metrics = metrics.filter(F.col("container_id") == container_id)
-    days, _ = newest_days(metrics, 0, min(limit, MAX_LIMIT))
+    days, _ = newest_days(metrics, 0, limit)
     return metric_latest(days, limit=limit)
 
 

@@ -2,7 +2,8 @@
 
 Rows of a key are cut into time buckets. A window runs inside each bucket, and one summary
 row per bucket carries the state across. A key then costs one task at most its rows of one
-bucket, plus one row for each bucket of the time span. Key and timestamp are never null.
+bucket, plus one row for each bucket of the time span. Key and timestamp are never null; an id
+may be null or repeat.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -44,7 +45,7 @@ def previous_row(df: DataFrame, key: str, columns: list[str], prefix: str = "pre
         "*",
         *[F.lag(c).over(inside).alias(f"_lag_{c}") for c in columns],
         F.row_number().over(inside).alias("_position"),
-        F.lead("id").over(inside).isNull().alias("_last"),
+        F.lead(F.lit(1)).over(inside).isNull().alias("_last"),
     )
     buckets = Window.partitionBy(key).orderBy("_bucket")
     carried = marked.filter("_last").select(
@@ -70,7 +71,7 @@ def carry_forward(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
         F.last(value, ignorenulls=True)
         .over(inside.rowsBetween(Window.unboundedPreceding, 0))
         .alias("_inside"),
-        F.lead("id").over(inside).isNull().alias("_last"),
+        F.lead(F.lit(1)).over(inside).isNull().alias("_last"),
     )
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.filter("_last").select(

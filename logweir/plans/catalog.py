@@ -292,6 +292,15 @@ def _(df):
         WHERE level = 'ERROR' AND (lower(message) LIKE '%sql%' OR lower(container_name) LIKE '%sql%')
         ORDER BY timestamp DESC, id DESC LIMIT 500""",
 )
+def _(df):
+    return _log_columns(logs.viewer_search(df, "error", "SQL", kept=5_000, shown=500))
+
+
+@log_query(
+    "viewer_search_all",
+    f"""SELECT {sql.LOG_COLUMNS} FROM logs
+        WHERE level = 'ERROR' AND (lower(message) LIKE '%sql%' OR lower(container_name) LIKE '%sql%')""",
+)
 def _(df):
     return _log_columns(logs.viewer_search(df, "error", "SQL"))
 

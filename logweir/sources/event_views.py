@@ -27,16 +27,16 @@ EVENTS = T.StructType(
 
 # The line that an event becomes, by event_id modulo their number.
 MESSAGES = [
-    "ERROR: connection failed",
-    "WARNING: deprecated method",
-    "DEBUG: trace information",
-    "Server started on port 8080",
-    "Exception in thread main",
-    "HTTP/1.1 500 Internal Server Error",
-    "SQL Error: deadlock detected",
-    "JSON.parse: unexpected token",
+    "ERROR: upstream pool exhausted",
+    "WARNING: disk quota nearly reached",
+    "DEBUG: cache warmed in 41 ms",
+    "Listener bound to port 9443",
+    "Exception in thread worker-7",
+    "HTTP/1.1 502 Error from upstream",
+    "SQL Error: duplicate key on orders",
+    "JSON.parse: unexpected token near column 7",
     "Traceback (most recent call last)",
-    "    at com.example.Main.main(Main.java:10)",
+    "    at org.sample.Worker.run(Worker.java:42)",
     "caught exception: request timeout after 30s",
     "FATAL ERROR: unhandled exception",
     "GET /health HTTP/1.1 200 OK",

@@ -26,10 +26,10 @@ def test_normalize_source(values):
 # message: by substring, by word
 LEVEL_CASES = {
     "ERROR: something failed": ("ERROR", "ERROR"),
-    "WARNING: deprecated method": ("WARN", "WARN"),
-    "DEBUG: trace information": ("DEBUG", "DEBUG"),
+    "WARNING: disk quota nearly reached": ("WARN", "WARN"),
+    "DEBUG: cache warmed in 41 ms": ("DEBUG", "DEBUG"),
     "Server started on port 8080": ("INFO", "INFO"),
-    "Exception in thread main": ("INFO", "ERROR"),
+    "Exception in thread worker-7": ("INFO", "ERROR"),
     "Traceback (most recent call last)": ("DEBUG", "ERROR"),
     "retry succeeded, terror averted": ("ERROR", "INFO"),
     "stderr: verbose output": ("INFO", "DEBUG"),
@@ -70,20 +70,20 @@ def test_trim_of_long_inner_runs_is_fast(values):
 
 def test_tags_and_types(values):
     cases = {
-        "ERROR: connection failed": (["error"], []),
-        "Exception in thread main\n\tat com.example.Main.main(Main.java:10)": (
+        "ERROR: upstream pool exhausted": (["error"], []),
+        "Exception in thread worker-7\n\tat org.sample.Worker.run(Worker.java:42)": (
             ["error", "stack_trace"], ["StackTrace"],
         ),
         "HTTP/1.1 500 Internal Server Error": (["error", "http_error"], ["HttpError"]),
         "HTTP/2 404": (["http_error"], ["HttpError"]),
         "HTTP/1.1 302 Found": ([], []),
         "http/1.1 500": ([], []),
-        "SQL Error: deadlock detected": (["error", "sql_error"], ["SqlError"]),
+        "SQL Error: duplicate key on orders": (["error", "sql_error"], ["SqlError"]),
         "JSON.parse: unexpected token": (["json_error"], ["JsonError"]),
         "invalid  json": (["json_error"], ["JsonError"]),
-        "    at com.example.Main.main(Main.java:10)": ([], ["StackTrace"]),
-        "    at com.example.Main.main(Main.java:10)\n": ([], []),
-        "at com.example.Main.main(Main.java:10)": ([], []),
+        "    at org.sample.Worker.run(Worker.java:42)": ([], ["StackTrace"]),
+        "    at org.sample.Worker.run(Worker.java:42)\n": ([], []),
+        "at org.sample.Worker.run(Worker.java:42)": ([], []),
         "warn: timeout": (["warning", "sql_error"], ["SqlError"]),
         "ſql error": (["error", "sql_error"], ["SqlError"]),  # long s
         "stacK trace": (["stack_trace"], ["StackTrace"]),  # Kelvin sign

@@ -289,7 +289,7 @@ def test_alert_counters(spark):
 def test_recent_events(spark):
     events = alerts.alert_events(table(spark, [entry(n, "a") for n in range(150)]), [rule(1, "a")])
     assert [r["log_id"] for r in alerts.recent_events(events, 3).collect()] == [149, 148, 147]
-    assert alerts.recent_events(events, 1_000).count() == 100
+    assert alerts.recent_events(events, 1_000).count() == 150
 
 
 def test_rule_lists():
@@ -370,10 +370,54 @@ def test_metric_lookup_limits(spark):
     rows = spark.range(1_500).selectExpr(
         "id", "timestamp_millis(id) AS timestamp", "concat('c', id % 2) AS container_id"
     )
-    assert metrics.metric_latest(rows, limit=9_999).count() == 1_000
+    assert metrics.metric_latest(rows, limit=9_999).count() == 1_500
     assert [r["id"] for r in metrics.metric_latest(rows, "c0", 2).collect()] == [1498, 1496]
 
 
 def test_scratch_path_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_pages_by_key_see_every_row_of_tied_times(spark):
+    """Fifty lines without an id, five to a time: pages of seven meet each of them once."""
+    rows = table(spark, [entry(0, f"m{n}", f"c{n % 2}", seconds=n // 5) for n in range(50)])
+    seen, before = [], None
+    while page := logs.log_page(rows, 7, before=before).collect():
+        seen += [r["message"] for r in page]
+        before = logs.page_key(page[-1])
+    assert sorted(seen) == sorted(f"m{n}" for n in range(50)) and len(seen) == 50
+
+
+def test_a_limit_is_honoured_or_refused(spark):
+    rows = table(spark, [entry(n) for n in range(1_200)])
+    assert logs.log_page(rows, 1_100).count() == 1_100
+    with pytest.raises(ValueError):
+        logs.log_page(rows, 10_001)
+    with pytest.raises(ValueError):
+        logs.log_page(rows, 5, level="loud")
+
+
+def test_search_finds_rows_of_any_age(spark):
+    rows = table(spark, [entry(0, "needle", level="ERROR"), *[entry(n) for n in range(1, 40)]])
+    assert ids(logs.viewer_search(rows, "error", "NEEDLE")) == [0]
+    assert ids(logs.viewer_search(rows, "error", "NEEDLE", kept=30)) == []
+
+
+def test_rows_without_ids_are_not_multiplied(spark):
+    rows = spark.createDataFrame(
+        [("k", T0 + dt.timedelta(seconds=n // 2), None, float(n)) for n in range(4)],
+        "key string, timestamp timestamp, id long, v double",
+    )
+    assert previous_row(rows, "key", ["v"]).count() == 4
+    assert carry_forward(rows, "key", "v", "last").count() == 4
+    assert running_sum(rows, "key", "v", "total").count() == 4
+
+
+def test_a_container_listed_twice_multiplies_no_line(spark):
+    lines = spark.createDataFrame([(n, "c1") for n in range(7)], "id long, container_id string")
+    listing = "id string, name string, labels map<string,string>, listed_at timestamp"
+    twice = spark.createDataFrame([("c1", "new", {}, T0 + dt.timedelta(1)), ("c1", "old", {}, T0)], listing)
+    got = logs.enrich(lines, twice).collect()
+    assert len(got) == 7 and {r["container_name"] for r in got} == {"new"}
+    assert logs.enrich(lines, twice.drop("listed_at")).count() == 7
