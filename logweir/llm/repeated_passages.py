@@ -24,7 +24,7 @@ from logweir.llm.shares import partitions, written
 from logweir.session import broadcast_if_small
 
 SHORTEST = 12  # words of the first level, at least, unless the window itself is shorter
-RUN = 6  # windows of a shared passage that are compared as one
+RUN = 24  # windows of a shared passage that are compared as one
 HOT = 10_000  # places of a fingerprint above which they are not gathered in one task
 
 
