@@ -16,6 +16,7 @@ Equal sets are one point. Within a pair of tiles, two documents that are already
 are not compared again: components stay exact without listing all pairs of a group of copies.
 """
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -249,15 +250,32 @@ def _families(described: DataFrame, tasks: int) -> DataFrame:
 def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> DataFrame:
     """(a, b): links that connect every two documents of a family that links connect.
 
-    ``chosen`` has (doc, family), one document for each set.
+    ``chosen`` has (doc, family, n), one document for each set. Sizes are cut into bands as wide as
+    two linked sizes can lie apart, so a tile only meets tiles of its own band and the next.
     """
-    sizes = chosen.groupBy("family").agg(F.count("*").alias("members"))
+    width = math.log(1 / share) * 1.0001 if share < 1 else 1e-9
+    banded = chosen.withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    counts = written(
+        banded.groupBy("family", "band").agg(
+            F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")
+        ),
+        "bands",
+    )
+    tiled = banded.join(counts, ["family", "band"])
+    for name, step in (("below", 1), ("above", -1)):
+        near = counts.select("family", (F.col("band") + step).alias("band"), F.col("tiles").alias(name))
+        tiled = tiled.join(near, ["family", "band"], "left")
+    others = ", ".join(
+        f"if({n} IS NULL, array(), transform(sequence(0, {n} - 1), x -> (band + {step}) * {1 << 24}L + x))"
+        for n, step in (("tiles", 0), ("below", -1), ("above", 1))
+    )
     tiled = written(
-        chosen.join(sizes, "family").select(
+        tiled.selectExpr(
             "doc",
             "family",
-            F.ceil(F.col("members") / TILE).cast("int").alias("tiles"),
-        ).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")),
+            f"band * {1 << 24}L + pmod(xxhash64(doc), tiles) AS tile",
+            f"concat({others}) AS others",
+        ),
         "tiles",
     )
     ids = broadcast_if_small(tiled.select("doc"))
@@ -268,14 +286,14 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
             w = batches.words(part.column("text"), lower=True)
             raw = [s.tobytes() for s in shingle_sets(w, size)]
             yield pa.RecordBatch.from_pydict(
-                {**{c: part.column(c) for c in ("doc", "family", "tile", "tiles")}, "shingles": pa.array(raw, pa.binary())}
+                {**{c: part.column(c) for c in ("doc", "family", "tile", "others")}, "shingles": pa.array(raw, pa.binary())}
             )
 
-    found = read.select("doc", "family", "tile", "tiles", "text").mapInArrow(
-        sets, "doc long, family long, tile int, tiles int, shingles binary"
+    found = read.select("doc", "family", "tile", "others", "text").mapInArrow(
+        sets, "doc long, family long, tile long, others array<long>, shingles binary"
     )
-    # Each tile goes to its pairs with all tiles of its family.
-    dealt = found.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
+    # Each document goes to the pairs of its tile.
+    dealt = found.withColumn("other", F.explode("others")).select(
         "family",
         F.least("tile", "other").alias("low"),
         F.greatest("tile", "other").alias("high"),
@@ -317,9 +335,13 @@ def near_copies(
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     described = written(_described(plain, size, share), "sets")
-    whole = described.where("n > 0").groupBy("one", "two").agg(F.min("doc").alias("least"))
+    whole = described.where("n > 0").groupBy("one", "two").agg(
+        F.min("doc").alias("least"), F.max("n").alias("n")
+    )
     families = _families(described, partitions(docs))
-    chosen = whole.join(families, "one").where("least is not null").selectExpr("least AS doc", "family")
+    chosen = whole.join(families, "one").where("least is not null").selectExpr(
+        "least AS doc", "family", "n"
+    )
     links = _links(plain, written(chosen, "family-documents"), size, share)
     found = components(links).selectExpr("node AS least", "component")
     classes = whole.join(found, "least", "left").select(
