@@ -32,7 +32,8 @@ from logweir.session import broadcast_if_small
 
 RATIO = 1.5  # of the largest to the smallest set in a size class
 SPARE = 2  # groups that must agree beyond the first
-TILE = 512  # documents in a tree
+TILE = 2_048  # documents in a tree
+TILE_SHINGLES = 2_000_000  # shingles of its documents, 8 bytes each
 COORDINATES = 64
 LEAF = 16  # points in a leaf box
 
@@ -257,7 +258,9 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
     banded = chosen.withColumn("band", F.floor(F.log("n") / F.lit(width)))
     counts = written(
         banded.groupBy("family", "band").agg(
-            F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")
+            F.ceil(F.greatest(F.count("*") / F.lit(TILE), F.sum("n") / F.lit(TILE_SHINGLES)))
+            .cast("int")
+            .alias("tiles")
         ),
         "bands",
     )
