@@ -7,10 +7,13 @@ pairs of boxes and then of points whose bound is too low, and verifies the rest
 
 One tree over all points would compare everything of similar size, because the slack that a
 similarity of 0.9 leaves is larger than the spread of any coordinate. So there is a forest. Within a
-class of sizes two linked documents differ in at most ``k`` shingles, so of more than ``k`` groups
-some hold the very same shingles: documents that share such a group are strung together, and each
-family that results has trees of its own. No linked pair is split. Large families are dealt
-into tiles, a tree each, and pairs of tiles are joined in separate tasks.
+class of sizes two linked documents differ in at most ``k`` shingles, so of ``k + 1 + spare`` groups
+they agree in ``1 + spare`` or more. In any order of group contents that all documents share, each may
+leave out its last ``spare`` and two linked ones still have one in common. The order is from rare to
+frequent over the whole corpus, so passages that many documents share string no families together.
+Documents that share a content that both keep are strung together, and each family that results
+has trees of its own. No linked pair is split. Large families are dealt into tiles, a tree each,
+and pairs of tiles are joined in separate tasks.
 
 Equal sets are one point. Within a pair of tiles, two documents that are already connected
 are not compared again: components stay exact without listing all pairs of a group of copies.
@@ -22,7 +25,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm import batches
@@ -31,7 +34,7 @@ from logweir.llm.shares import partitions, written
 from logweir.session import broadcast_if_small
 
 RATIO = 1.5  # of the largest to the smallest set in a size class
-SPARE = 2  # groups that must agree beyond the first
+SPARE = 2  # least number of groups that must agree beyond the first
 TILE = 2_048  # documents in a tree
 TILE_SHINGLES = 2_000_000  # shingles of its documents, 8 bytes each
 COORDINATES = 64
@@ -77,33 +80,39 @@ class Classes:
         own = int(np.searchsorted(self.edges, n, "right")) - 1
         return [own, own + 1] if Fraction(n) / self.share >= self.edges[own + 1] else [own]
 
-    def groups(self, level: int) -> int:
-        """More groups than shingles in which two linked sets of the class can differ."""
+    def groups(self, level: int) -> tuple[int, int]:
+        """Number of groups of the class, and how many a set may leave out (``spare``).
+
+        Two linked sets of the class differ in fewer groups than the first less the second.
+        """
         largest = self.edges[level + 1] - 1
-        return int((1 - self.share) / (1 + self.share) * 2 * largest) + 1 + SPARE
+        differ = int((1 - self.share) / (1 + self.share) * 2 * largest)
+        spare = max(SPARE, differ // 2)
+        return differ + 1 + spare, spare
 
 
-def signatures(shingles: np.ndarray, classes: Classes) -> np.ndarray:
-    """Names of the contents of a set's groups, in its classes.
+def signatures(shingles: np.ndarray, classes: Classes) -> list[tuple[int, np.ndarray]]:
+    """For each class of a set: how many of its names may still be left out, and the names.
 
-    Of the groups in which two linked sets agree at least 1 + SPARE exist. An empty group is
-    left out, as many sets have it, unless a set has so many that these could be all.
+    A name stands for a group and its content. Empty groups count as the most frequent contents, the
+    later the more frequent, so they are left out first and mostly need no name.
     """
     out = []
     for level in classes.of(len(shingles)):
-        groups = classes.groups(level)
+        groups, spare = classes.groups(level)
         group = (batches.mix(shingles) >> np.uint64(20)) % np.uint64(groups)
         order = np.argsort(group, kind="stable")
         group, own = group[order], batches.mix(shingles[order] + np.uint64(7))
         starts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
         sums = np.add.reduceat(own, starts)
         head = np.uint64(((level + 1) << 40) % (1 << 64))
-        out.append(batches.mix(sums ^ batches.mix(group[starts] + head)))
+        names = batches.mix(sums ^ batches.mix(group[starts] + head))
         empty = groups - len(starts)
-        if empty > SPARE:
-            hollow = np.setdiff1d(np.arange(groups, dtype=np.uint64), group[starts])
-            out.append(batches.mix(batches.mix(hollow + head) + np.uint64(11)))
-    return np.concatenate(out)
+        if empty > spare:
+            hollow = np.setdiff1d(np.arange(groups, dtype=np.uint64), group[starts])[: empty - spare]
+            names = np.concatenate((names, batches.mix(batches.mix(hollow + head) + np.uint64(11))))
+        out.append((max(spare - empty, 0), names))
+    return out
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -190,10 +199,11 @@ def joined(docs_one, sets_one, docs_two, sets_two, share: Fraction) -> list[tupl
 
 
 def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """(doc, n, one, two, names): the size of each document's set, its fingerprints and its groups.
+    """(doc, n, one, two, classes): the size of each document's set, its fingerprints and its groups.
 
     A task gives the groups of a set once, however often the set occurs.
     """
+    shape = pa.list_(pa.struct([("spare", pa.int64()), ("names", pa.list_(pa.int64()))]))
 
     def describe(parts):
         classes, seen = Classes(share), set()
@@ -201,26 +211,31 @@ def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
             w = batches.words(part.column("text"), lower=True)
             sets = list(shingle_sets(w, size))
             ids = [identity(s) for s in sets]
-            names = []
+            found = []
             for own, one in zip(sets, ids):
                 new = len(own) > 0 and one not in seen
                 seen.add(one)
-                names.append(batches.signed(signatures(own, classes)) if new else None)
+                found.append(
+                    [{"spare": n, "names": batches.signed(x)} for n, x in signatures(own, classes)] if new else None
+                )
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc": part.column("doc"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "one": pa.array([x[0] for x in ids], pa.int64()),
                     "two": pa.array([x[1] for x in ids], pa.int64()),
-                    "names": pa.array(names, pa.list_(pa.int64())),
+                    "classes": pa.array(found, shape),
                 }
             )
 
-    return docs.mapInArrow(describe, "doc long, n long, one long, two long, names array<long>")
+    return docs.mapInArrow(
+        describe,
+        "doc long, n long, one long, two long, classes array<struct<spare: long, names: array<long>>>",
+    )
 
 
 def _families(described: DataFrame, tasks: int) -> DataFrame:
-    """(one, family): sets strung together by shared groups; sets that share none are left out."""
+    """(one, family): sets strung together by groups they share; sets that share none are left out."""
 
     def stars(parts):
         """Rows come sorted by name and set: each set is tied to the first of its group."""
@@ -237,10 +252,22 @@ def _families(described: DataFrame, tasks: int) -> DataFrame:
             keep = first != ones
             yield pa.RecordBatch.from_pydict({"a": ones[keep], "b": first[keep]})
 
-    # One row per set and group: a large family is spread over its many groups.
+    # One row per set and group: a large family is spread over its many groups. Copies of a set that
+    # tasks described apart count once.
+    shared = (
+        described.where("classes is not null")
+        .select("one", F.posexplode("classes").alias("class", "c"))
+        .select("one", "class", "c.spare", F.explode("c.names").alias("name"))
+        .repartition(tasks, "name")
+        .dropDuplicates(["one", "name"])
+        .withColumn("holders", F.count("*").over(Window.partitionBy("name")))
+        .where("holders > 1")
+    )
+    # A name held once ties nothing and is rarer than all others, so only shared names are ranked.
+    frequent_first = Window.partitionBy("one", "class").orderBy(F.desc("holders"), "name")
+    kept = shared.withColumn("place", F.row_number().over(frequent_first)).where("place > spare")
     edges = (
-        described.where("names is not null")
-        .select("one", F.explode("names").alias("name"))
+        kept.select("one", "name")
         .repartition(tasks, "name")
         .sortWithinPartitions("name", "one")
         .mapInArrow(stars, "a long, b long")
