@@ -1,4 +1,4 @@
-"""Instants, milliseconds and day keys. The session time zone is UTC."""
+"""Instants, milliseconds and day keys, in UTC whatever the session's time zone is."""
 
 
 def to_millis(ts: str) -> str:
@@ -7,13 +7,16 @@ def to_millis(ts: str) -> str:
 
 
 def day_key(ts: str) -> str:
-    return f"to_date({ts})"
+    """The UTC day of an instant."""
+    return f"date_from_unix_date(cast(floor(unix_seconds({ts}) / 86400) AS int))"
 
 
 def rfc3339(ts: str) -> str:
     """UTC text such as ``2024-01-01T00:00:07.179Z``; whole seconds carry no fraction."""
-    exact = f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSS\")"
-    return f"concat(replace({exact}, '.000', ''), 'Z')"
+    since_epoch = f"make_dt_interval(0, 0, 0, unix_seconds({ts}))"
+    seconds = f"replace(string(TIMESTAMP_NTZ'1970-01-01 00:00:00' + {since_epoch}), ' ', 'T')"
+    millis = f"pmod(unix_millis({ts}), 1000)"
+    return f"concat({seconds}, if({millis} = 0, '', concat('.', lpad({millis}, 3, '0'))), 'Z')"
 
 
 # The time that container runtimes put before a line and its first space.

@@ -162,13 +162,20 @@ def log_page(
     :func:`page_key` of the last row seen: that is a filter, and on a stored table it skips the
     later days. ``(timestamp, id)`` alone is enough where no two rows share both.
     """
-    validate_query(limit, filters.get("container_id"), filters.get("level"))
+    _validate_page(limit, filters)
     page = filter_logs(_older(logs, before), **filters).orderBy(*newest_first())
     if offset:
         page = page.offset(offset)
     return page.limit(limit)
 
 
+def _validate_page(limit: int, filters: dict) -> None:
+    """As :func:`validate_query`; the filters' ``all`` stands for no level here."""
+    level = filters.get("level")
+    asked = None if level is None or level.lower() == "all" else level
+    validate_query(limit, filters.get("container_id"), asked)
+
+
 def page_key(row) -> tuple:
     """What orders a row among all others, to page on from it."""
     return row["timestamp"], row["id"], row["container_id"], row["message"]
@@ -202,7 +209,7 @@ def log_page_by_day(
     Only the days that hold the page are sorted and read in full, and days that ``offset``
     skips as a whole are never read.
     """
-    validate_query(limit, filters.get("container_id"), filters.get("level"))
+    _validate_page(limit, filters)
     days, left = newest_days(filter_logs(_older(logs, before), **filters), offset, limit)
     return log_page(days, limit, left)
 

@@ -90,6 +90,12 @@ def _bound(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _day(at: Column) -> Column:
+    """The day key of a bound, as :func:`day_key` has it."""
+    seconds = F.unix_seconds(at.cast("timestamp"))
+    return F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+
+
 def _create(spark: SparkSession, table: str, schema: T.StructType) -> None:
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _stored(schema).fields)
     spark.sql(
@@ -115,17 +121,17 @@ def in_range(df: DataFrame, since=None, until=None) -> DataFrame:
     """Rows with ``since <= timestamp < until``; datetimes without zone are local time.
 
     Bounds on ``timestamp`` alone prune no partition, so a stored table is bounded by its
-    day column as well.
+    day column, a UTC day, as well.
     """
     stored = schemas.DAY in df.columns
     if since is not None:
         df = df.filter(F.col("timestamp") >= _bound(since))
         if stored:
-            df = df.filter(F.col(schemas.DAY) >= F.to_date(_bound(since)))
+            df = df.filter(F.col(schemas.DAY) >= _day(_bound(since)))
     if until is not None:
         df = df.filter(F.col("timestamp") < _bound(until))
         if stored:
-            df = df.filter(F.col(schemas.DAY) <= F.to_date(_bound(until)))
+            df = df.filter(F.col(schemas.DAY) <= _day(_bound(until)))
     return df
 
 

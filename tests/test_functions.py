@@ -6,6 +6,7 @@ import re
 import pytest
 
 from logweir.functions import clock, compose, levels, patterns, resources, text
+from logweir.sources import tables
 
 
 def test_normalize_level(values):
@@ -205,3 +206,21 @@ def test_services_loose(values):
             wanted.append(name)
     assert values(compose.services_loose, [COMPOSE]) == [wanted]
     assert wanted[:3] == ["web", "image: nginx", "ports"]
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Tokyo"])
+def test_days_and_stamps_are_utc_in_any_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = "timestamp_millis(1704160800007)"  # 2024-01-02T02:00:00.007Z
+        rows = spark.sql(
+            f"SELECT timestamp_millis(1704160800007) AS timestamp, {clock.day_key(at)} AS day, {clock.rfc3339(at)} AS text"
+        )
+        got = rows.first()
+        assert (str(got.day), got.text) == ("2024-01-02", "2024-01-02T02:00:00.007Z")
+        until = dt.datetime(2024, 1, 2, 3, tzinfo=dt.timezone.utc)
+        assert tables.in_range(rows, since=until - dt.timedelta(hours=2), until=until).count() == 1
+        assert tables.in_range(rows, since=until).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
