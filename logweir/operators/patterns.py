@@ -59,21 +59,20 @@ def auto_filters(logs: DataFrame) -> DataFrame:
 
 
 def trace_lines(logs: DataFrame) -> DataFrame:
-    """The lines of multi-line stack traces, each with the id of its trace's first line.
+    """The lines of multi-line stack traces, each with time and id of its trace's first line.
 
     A trace is a line that announces one, and the frame lines that directly follow it in its
-    container. Traces may be of any length, so their lines stay rows.
+    container. Traces may be of any length, so their lines stay rows. Time and id of the first
+    line name a trace within its container, so ids may be missing or the same in all lines.
     """
     frame, start = patterns.matches("message", "stack_frame"), patterns.matches("message", "stack_start")
-    # Every line but a frame ends the trace before it: with its own id, or with -1 for none.
-    heads = logs.withColumn(
-        "_head",
-        F.expr(f"CASE WHEN NOT {frame} THEN CASE WHEN {start} THEN id ELSE -1L END END"),
-    )
+    # Every line but a frame ends the trace before it.
+    head = f"struct({start} AS opens, timestamp AS trace_time, id AS trace_id)"
+    heads = logs.withColumn("_head", F.expr(f"CASE WHEN NOT {frame} THEN {head} END"))
     return (
-        carry_forward(heads, "container_id", "_head", "trace_id")
-        .filter("trace_id != -1")
-        .drop("_head")
+        carry_forward(heads, "container_id", "_head", "_trace")
+        .filter("_trace.opens")
+        .select(*logs.columns, "_trace.trace_time", "_trace.trace_id")
     )
 
 
@@ -81,10 +80,11 @@ def stack_traces(logs: DataFrame) -> DataFrame:
     """One row per stack trace: where and when it ran, and over how many lines."""
     return (
         trace_lines(logs)
-        .groupBy("container_id", "trace_id")
+        .groupBy("container_id", "trace_time", "trace_id")
         .agg(
             F.expr("count(*) AS lines"),
             F.expr("min(timestamp) AS first_time"),
             F.expr("max(timestamp) AS last_time"),
         )
+        .drop("trace_time")
     )

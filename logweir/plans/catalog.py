@@ -962,12 +962,13 @@ def _(spark, sf_dir):
     return tables.read_metrics(spark, path)
 
 
-_EXPORTED = "WHERE level = 'Error' AND message LIKE '%ERROR%'"
+_EXPORTED = """WHERE lower(level) = 'error'
+    AND (lower(message) LIKE '%error%' OR lower(container_name) LIKE '%error%')"""
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = logs.filter_logs(views.logs(views.read_events(spark, sf_dir)), level="error")
-    return logs.filter_logs(found, search="ERROR")
+    """What the viewer shows, over all rows."""
+    return views.logs(views.read_events(spark, sf_dir)).filter(logs.viewer_match("error", "Error"))
 
 
 @query("export_json", f"WITH {sql.DISPLAY} SELECT * FROM display {_EXPORTED}")
@@ -1011,7 +1012,25 @@ def _(spark, sf_dir):
     path = scratch_path(spark, "stream-logs")
     jobs.ingest_logs(
         views.raw_lines(views.stream_events(spark, sf_dir)),
-        _known_containers(views.read_events(spark, sf_dir)),
+        lambda session: _known_containers(views.read_events(session, sf_dir)),
+        path,
+        scratch_path(spark, "checkpoint"),
+        _ONCE,
+    ).awaitTermination()
+    return _log_columns(tables.read_logs(spark, path))
+
+
+@query("stream_ingest_refresh", f"WITH {sql.LOGS}, {sql.CONTAINERS} {_ENRICHED}")
+def _(spark, sf_dir):
+    """Several batches, each of which reads a stored snapshot that lists containers repeatedly."""
+    landed, snapshot, path = (scratch_path(spark, n) for n in ("landed", "snapshot", "stream-logs"))
+    events = views.read_events(spark, sf_dir)
+    views.raw_lines(events).repartition(3).write.parquet(landed)
+    known = _known_containers(events)
+    known.unionByName(known).write.parquet(snapshot)
+    jobs.ingest_logs(
+        tables.stream_rows(spark, landed, schemas.RAW_LINES, files_per_batch=1),
+        lambda session: tables.read_containers(session, snapshot),
         path,
         scratch_path(spark, "checkpoint"),
         _ONCE,

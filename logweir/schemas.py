@@ -4,6 +4,8 @@ from pyspark.sql import types as T
 
 # Name of the day partition column of the stored log and metric tables.
 DAY = "day"
+# Of tables that a stream writes batch by batch.
+BATCH = "batch"
 
 LOGS = T.StructType(
     [

@@ -18,7 +18,8 @@ def _stored(schema: T.StructType) -> T.StructType:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_stored(schemas.LOGS)).parquet(path)
+    """The rows of a log table, whether written whole or by the batches of a stream."""
+    return spark.read.schema(_stored(schemas.LOGS)).parquet(path).drop(schemas.BATCH)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -160,6 +161,10 @@ def retained(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFrame:
     return in_range(df, since=as_of - dt.timedelta(days=days))
 
 
+def _oldest_kept(as_of: dt.datetime, days: int) -> dt.date:
+    return (as_of.astimezone(dt.timezone.utc) - dt.timedelta(days=days)).date()
+
+
 def drop_expired_days(
     spark: SparkSession, table: str, as_of: dt.datetime, days: int = RETENTION_DAYS
 ) -> list[dt.date]:
@@ -167,7 +172,7 @@ def drop_expired_days(
 
     Only the catalog's list of days is read; no row is.
     """
-    oldest_kept = (as_of.astimezone(dt.timezone.utc) - dt.timedelta(days=days)).date()
+    oldest_kept = _oldest_kept(as_of, days)
     listed = (row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect())
     expired = sorted(d for d in map(dt.date.fromisoformat, listed) if d < oldest_kept)
     if expired:
@@ -176,6 +181,25 @@ def drop_expired_days(
     return expired
 
 
+def drop_expired_folders(
+    spark: SparkSession, path: str, as_of: dt.datetime, days: int = RETENTION_DAYS
+) -> list[dt.date]:
+    """Delete such days from every batch of a log table that a stream writes.
+
+    Only folders are listed. Batches that are being written hold newer days, or lines that
+    would be deleted by the next call.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    oldest_kept, dropped = _oldest_kept(as_of, days), set()
+    for found in files.globStatus(at(path, f"{schemas.BATCH}=*/{schemas.DAY}=*")) or []:
+        name = found.getPath().getName().split("=", 1)[1]
+        if name[:1].isdigit() and (day := dt.date.fromisoformat(name)) < oldest_kept:
+            files.delete(found.getPath(), True)
+            dropped.add(day)
+    return sorted(dropped)
+
+
 def rows_per_day(df: DataFrame) -> DataFrame:
     return df.groupBy(F.expr(day_key("timestamp")).alias(schemas.DAY)).agg(
         F.count("*").alias("count")

@@ -4,6 +4,8 @@ A job differs from its batch twin only in source, sink and trigger. Its checkpoi
 it after a loss of executors or driver, and no sink repeats rows then.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,9 +28,13 @@ PATTERN_TURNS = 10
 DEDUP_DELAY = "10 minutes"
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(schemas.DAY, F.expr(day_key("timestamp")))
+
+
 def _append(rows: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     return (
-        rows.withColumn(schemas.DAY, F.expr(day_key("timestamp")))
+        _by_day(rows)
         .writeStream.format("parquet")
         .partitionBy(schemas.DAY)
         .option("checkpointLocation", checkpoint)
@@ -39,14 +45,32 @@ def _append(rows: DataFrame, path: str, checkpoint: str, trigger: dict) -> Strea
 
 
 def ingest_logs(
-    lines: DataFrame, containers: DataFrame, path: str, checkpoint: str, trigger=LOG_TRIGGER
+    lines: DataFrame,
+    containers: Callable[[SparkSession], DataFrame],
+    path: str,
+    checkpoint: str,
+    trigger=LOG_TRIGGER,
 ) -> StreamingQuery:
     """Parse, classify and enrich landed lines and append them to the log table.
 
-    ``containers`` is a static snapshot whose files are listed once, so the size measured
-    for its broadcast stays true while the query runs.
+    ``containers`` reads the container snapshot. It is called, and its result measured, for
+    every batch, so containers that were listed after the start are known and the snapshot may
+    be rewritten between batches. Each batch has a folder of its own, which it replaces when it
+    is repeated after a loss; :func:`logweir.sources.tables.read_logs` reads them as one table.
     """
-    return _append(ingest_rows(lines, containers), path, checkpoint, trigger)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _by_day(ingest_rows(batch, containers(batch.sparkSession)))
+        rows.write.mode("overwrite").partitionBy(schemas.DAY).parquet(
+            f"{path}/{schemas.BATCH}={batch_id}"
+        )
+
+    return (
+        lines.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .foreachBatch(write)
+        .start()
+    )
 
 
 def ingest_metrics(

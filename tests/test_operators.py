@@ -366,6 +366,17 @@ def test_stack_traces(spark):
     ]
 
 
+@pytest.mark.parametrize("number", [0, -1, None])
+def test_stack_traces_without_own_ids(spark, number):
+    frame, texts = "\tat a.B.c(D.java:1)", []
+    for length in (1, 3, 0):
+        texts += ["Traceback", *[frame] * length]
+    rows = table(spark, [entry(number, text, seconds=70 * n) for n, text in enumerate(texts)])
+    got = sorted((r["first_time"], r["lines"]) for r in patterns.stack_traces(rows).collect())
+    assert [lines for _, lines in got] == [2, 4, 1]
+    assert patterns.trace_lines(rows).count() == len(texts)
+
+
 def test_metric_lookup_limits(spark):
     rows = spark.range(1_500).selectExpr(
         "id", "timestamp_millis(id) AS timestamp", "concat('c', id % 2) AS container_id"

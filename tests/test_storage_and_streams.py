@@ -205,7 +205,7 @@ def test_ingest_stream_enriches(spark, tmp_path):
     spark.createDataFrame(lines, schemas.RAW_LINES).write.parquet(source)
     jobs.ingest_logs(
         tables.stream_rows(spark, source, schemas.RAW_LINES),
-        spark.createDataFrame(SNAPSHOT, schemas.CONTAINERS), sink, check, ONCE,
+        lambda session: session.createDataFrame(SNAPSHOT, schemas.CONTAINERS), sink, check, ONCE,
     ).awaitTermination()
     rows = {r["id"]: r for r in tables.read_logs(spark, sink).collect()}
     assert rows[1]["timestamp"] == dt.datetime(2024, 1, 1, 0, 0, 0, 500_000)
@@ -214,3 +214,37 @@ def test_ingest_stream_enriches(spark, tmp_path):
     assert (rows[2]["container_name"], rows[2]["compose_project"]) == ("zz", "")
     assert rows[2]["message"] == "no time, no container"
     assert rows[2]["timestamp"] is not None  # a line without a time is stamped on arrival
+
+
+def test_ingest_stream_reads_the_snapshot_anew(spark, tmp_path):
+    """Containers listed later are known, the snapshot may be replaced, and old days can go."""
+    source, listed, sink, check = (str(tmp_path / n) for n in ("in", "listed", "out", "check"))
+
+    def land(rows):
+        spark.createDataFrame(rows, schemas.RAW_LINES).coalesce(1).write.mode("append").parquet(source)
+
+    def listing(rows):
+        spark.createDataFrame(rows, schemas.CONTAINERS).write.mode("overwrite").parquet(listed)
+
+    listing(SNAPSHOT[:1] * 2)
+    land([(1, "c1", "2024-01-01T00:00:00Z a"), (2, "c2", "2024-01-01T00:00:01Z b")])
+    query = jobs.ingest_logs(
+        tables.stream_rows(spark, source, schemas.RAW_LINES),
+        lambda session: tables.read_containers(session, listed),
+        sink, check, {"processingTime": "0 seconds"},
+    )
+    try:
+        query.processAllAvailable()
+        listing(SNAPSHOT)
+        land([(3, "c2", "2024-01-09T00:00:00Z c"), (4, "c2", "2024-01-01T09:00:00Z d")])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    names = {r["id"]: r["container_name"] for r in tables.read_logs(spark, sink).collect()}
+    assert names == {1: "web", 2: "c2", 3: "db", 4: "db"}
+    assert tables.read_logs(spark, sink).count() == 4
+
+    at = dt.datetime(2024, 1, 9, tzinfo=dt.timezone.utc)
+    assert tables.drop_expired_folders(spark, sink, at) == [dt.date(2024, 1, 1)]
+    assert [r["id"] for r in tables.read_logs(spark, sink).collect()] == [3]
+    assert tables.drop_expired_folders(spark, sink, at) == []
