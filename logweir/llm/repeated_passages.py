@@ -25,6 +25,7 @@ from logweir.session import broadcast_if_small
 
 SHORTEST = 12  # words of the first level, at least, unless the window itself is shorter
 RUN = 24  # windows of a shared passage that are compared as one
+PACK = 65_536  # runs that a task holds to combine equal ones before the shuffle
 HOT = 10_000  # places of a fingerprint above which they are not gathered in one task
 
 
@@ -194,43 +195,54 @@ def _repeated(candidates: DataFrame, tasks: int) -> DataFrame:
     )
 
     hot = written(_cut(candidates.where("hot")), "hot-runs")
-    runs = hot.groupBy("windows").agg(F.count("*").alias("n"))
+    runs = hot.groupBy("windows").agg(F.sum(F.size("places")).alias("n"))
     again = runs.where("n > 1").select("windows")
-    whole = hot.join(again, "windows").select(
-        "doc", "start", (F.col("start") + F.octet_length("windows") / 8).cast("int").alias("end")
+    whole = (
+        hot.join(again, "windows")
+        .select((F.octet_length("windows") / 8).cast("int").alias("size"), F.explode("places").alias("at"))
+        .selectExpr("at.doc", "at.start", "at.start + size AS end")
     )
     # Windows of runs that occur once may still occur in other runs, each looked at once.
     singles = _spread(runs.select(F.lit(0).cast("long").alias("doc"), F.lit(0).alias("start"), "windows"))
     common = singles.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    alone = _spread(hot.join(again, "windows", "left_anti").select("doc", "start", "windows"))
+    once = hot.join(again, "windows", "left_anti").select(F.explode("places").alias("at"), "windows")
+    alone = _spread(once.select("at.doc", "at.start", "windows"))
     rest = alone.join(common, "window").select("doc", "start", (F.col("start") + 1).alias("end"))
     return cold.unionByName(whole).unionByName(rest)
 
 
 def _cut(candidates: DataFrame) -> DataFrame:
-    """Runs of at most ``RUN`` windows, cut at the same distances from their representative."""
+    """(windows, places): runs of at most ``RUN`` windows, cut at the same distances from their
+    representative. Equal runs of a task are one row with all their places, ``PACK`` at most.
+    """
+    shape = pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int32())]))
+
+    def packed(runs):
+        return pa.RecordBatch.from_pydict(
+            {
+                "windows": pa.array(runs.keys(), pa.binary()),
+                "places": pa.array(runs.values(), shape),
+            }
+        )
 
     def cut(parts):
+        runs, held = {}, 0
         for part in parts:
-            docs, starts, runs = [], [], []
             columns = (part.column(c).to_pylist() for c in ("doc", "place", "first", "windows"))
             for doc, place, first, raw in zip(*columns):
                 at, end = first, first + len(raw) // 8
                 while at < end:
                     to = min(end, at + (place - at) % RUN + 1)
-                    docs.append(doc)
-                    starts.append(at)
-                    runs.append(raw[8 * (at - first) : 8 * (to - first)])
-                    at = to
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": pa.array(docs, pa.int64()),
-                    "start": pa.array(starts, pa.int32()),
-                    "windows": pa.array(runs, pa.binary()),
-                }
-            )
+                    run = raw[8 * (at - first) : 8 * (to - first)]
+                    runs.setdefault(run, []).append({"doc": doc, "start": at})
+                    at, held = to, held + 1
+                    if held == PACK:
+                        yield packed(runs)
+                        runs, held = {}, 0
+        if held:
+            yield packed(runs)
 
-    return candidates.mapInArrow(cut, "doc long, start int, windows binary")
+    return candidates.mapInArrow(cut, "windows binary, places array<struct<doc: long, start: int>>")
 
 
 def _spread(runs: DataFrame) -> DataFrame:
