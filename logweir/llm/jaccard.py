@@ -199,7 +199,7 @@ def joined(docs_one, sets_one, docs_two, sets_two, share: Fraction) -> list[tupl
 
 
 def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """(doc, n, one, two, classes): the size of each document's set, its fingerprints and its groups.
+    """(doc, doc_id, n, one, two, classes): the size of each document's set, its fingerprints and its groups.
 
     A task gives the groups of a set once, however often the set occurs.
     """
@@ -221,6 +221,7 @@ def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc": part.column("doc"),
+                    "doc_id": part.column("doc_id"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "one": pa.array([x[0] for x in ids], pa.int64()),
                     "two": pa.array([x[1] for x in ids], pa.int64()),
@@ -230,7 +231,7 @@ def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
 
     return docs.mapInArrow(
         describe,
-        "doc long, n long, one long, two long, classes array<struct<spare: long, names: array<long>>>",
+        "doc long, doc_id long, n long, one long, two long, classes array<struct<spare: long, names: array<long>>>",
     )
 
 
@@ -309,7 +310,7 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
         "tiles",
     )
     ids = broadcast_if_small(tiled.select("doc"))
-    read = docs.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).join(tiled, "doc")
+    read = docs.join(ids, "doc", "left_semi").join(tiled, "doc")
 
     def sets(parts):
         for part in batches.slices(parts):
@@ -360,27 +361,35 @@ def near_copies(
     Two documents link when their sets of ``size``-word shingles, after lower-casing A to Z, have a
     Jaccard similarity of ``share`` or more; the component is the smallest id reachable over links.
     With fewer words the whole text is one shingle; without words the set is empty and linked
-    with nothing. Equal texts link. Rows that repeat an id are taken to repeat the text; a null
-    id is never the smallest, and alone it gives a null component. Empty tables give no rows.
+    with nothing. Equal texts link. Rows are numbered once and written, and told apart by number, so
+    ids may be null or repeat, with equal texts or different ones. A null id is never the smallest;
+    a component of null ids alone is null. Empty tables give no rows.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    plain = written(
+        docs.select(
+            F.monotonically_increasing_id().alias("doc"),
+            F.col(doc_id).cast("long").alias("doc_id"),
+            F.col(text).alias("text"),
+        ),
+        "rows",
+    )
     described = written(_described(plain, size, share), "sets")
     whole = described.where("n > 0").groupBy("one", "two").agg(
-        F.min("doc").alias("least"), F.max("n").alias("n")
+        F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.max("n").alias("n")
     )
     families = _families(described, partitions(docs))
-    chosen = whole.join(families, "one").where("least is not null").selectExpr(
-        "least AS doc", "family", "n"
-    )
+    chosen = whole.join(families, "one").select("doc", "family", "n")
     links = _links(plain, written(chosen, "family-documents"), size, share)
-    found = components(links).selectExpr("node AS least", "component")
-    classes = whole.join(found, "least", "left").select(
-        "one", "two", F.coalesce("component", "least").alias("component")
+    found = written(components(links).selectExpr("node AS doc", "component"), "components")
+    # Numbers of rows string a component together; its name is the smallest id of its sets.
+    least = found.join(whole, "doc").groupBy("component").agg(F.min("least").alias("smallest"))
+    classes = whole.join(found.join(least, "component"), "doc", "left").select(
+        "one", "two", F.coalesce("smallest", "least").alias("component_id")
     )
     linked = described.where("n > 0").join(classes, ["one", "two"]).select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id"
     )
     alone = described.where("n = 0").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
     return linked.unionByName(alone)

@@ -296,20 +296,24 @@ def without_repeats(
 
     A word is removed when a window that covers it also starts anywhere else in the corpus, the same
     document included; windows are judged on the input. Words are compared as they are. Null and
-    empty texts have no words; a text shorter than the window keeps all of them. Rows that repeat
-    an id are taken to repeat the text too, and so to repeat its windows. A null id is an id
-    like any other. An empty table gives no rows.
+    empty texts have no words; a text shorter than the window keeps all of them. Rows are numbered
+    once and written, and told apart by number, so ids may be null or repeat, with equal texts or
+    different ones. An empty table gives no rows.
     """
-    null_id = F.lit(-(1 << 63)).cast("long")
-    plain = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), null_id).alias("doc"), F.col(text).alias("text")
+    plain = written(
+        docs.select(
+            F.monotonically_increasing_id().alias("doc"),
+            F.col(doc_id).cast("long").alias("doc_id"),
+            F.col(text).alias("text"),
+        ),
+        "rows",
     )
-    runs = repeated_windows(plain, window)
+    runs = repeated_windows(plain.select("doc", "text"), window)
 
     def cut(parts):
         for part in batches.slices(parts):
             rows = zip(
-                part.column("doc").to_pylist(), part.column("text").to_pylist(), part.column("runs").to_pylist()
+                part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("runs").to_pylist()
             )
             out = []
             for doc, body, own in rows:
@@ -322,7 +326,7 @@ def without_repeats(
                 left = b" ".join(found[i] for i in np.flatnonzero(keep)) if own else b" ".join(found)
                 out.append(
                     {
-                        "doc": doc,
+                        "doc_id": doc,
                         "n_words": len(found),
                         "n_removed": int(len(found) - keep.sum()),
                         "kept_sha256": hashlib.sha256(left).hexdigest(),
@@ -333,7 +337,7 @@ def without_repeats(
 
     schema = pa.schema(
         [
-            ("doc", pa.int64()),
+            ("doc_id", pa.int64()),
             ("n_words", pa.int64()),
             ("n_removed", pa.int64()),
             ("kept_sha256", pa.string()),
@@ -344,9 +348,8 @@ def without_repeats(
     ids = broadcast_if_small(runs.select("doc"))
     whole = plain.join(ids, "doc", "left_anti").withColumn("runs", none)
     touched = _with_places(plain, runs)
-    shape = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
-    out = whole.select("doc", "text", "runs").mapInArrow(cut, shape).unionByName(
-        touched.select("doc", "text", "runs").mapInArrow(cut, shape)
+    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    out = whole.select("doc_id", "text", "runs").mapInArrow(cut, shape).unionByName(
+        touched.select("doc_id", "text", "runs").mapInArrow(cut, shape)
     )
-    columns = [F.nullif("doc", null_id).alias("doc_id"), "n_words", "n_removed", "kept_sha256"]
-    return out.select(*columns, *(["kept"] if texts else []))
+    return out if texts else out.drop("kept")

@@ -183,6 +183,24 @@ def test_near_copies_edges(spark, empty):
     assert sorted(got, key=repr) == [(5, 1, 5), (5, 1, 5), (None, 1, 5), (None, 1, None)]
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """Null ids bridge others, and rows that share an id keep their own texts."""
+    base = [f"w{n}" for n in range(60)]
+    bridge, far = ["x", *base[1:]], ["x", *base[1:59], "y"]
+    rows = [(7, base), (None, bridge), (9, far), (None, ["other"]), (4, ["one", "two"])]
+    rows += [(4, prose(8, 50).split()), (5, prose(8, 50).split()), (None, prose(9, 50).split()), (None, ["z", *prose(9, 50).split()[1:]])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in jaccard.near_copies(df, 1, Fraction(29, 31)).collect()]
+    plain = brute.near_copies([(n, " ".join(w)) for n, (_, w) in enumerate(rows)], 1, 29, 31)
+    least = {}
+    for n, _, root in plain:
+        if rows[n][0] is not None:
+            least[root] = min(least.get(root, 99), rows[n][0])
+    wanted = [(rows[n][0], size, least.get(root)) for n, size, root in plain]
+    assert wanted[0][2] == wanted[1][2] == wanted[2][2] == 7
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
 def test_signatures_agree_for_every_link():
     """Sets at the threshold share a content that both keep, even if shared ones are left out first."""
 
@@ -357,6 +375,21 @@ def test_repeated_passages_edges(spark, empty):
     ]
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_repeated_passages_with_null_and_repeated_ids(spark, hot, monkeypatch):
+    """Rows that share an id, or have none, lose their own passages only."""
+    monkeypatch.setattr(repeated_passages, "HOT", hot)
+    passage, other = prose(1, 40), prose(2, 36)
+    texts = [(None, f"{prose(3, 90)} {passage}"), (None, "short text"), (None, f"{passage} {prose(4, 20)}")]
+    texts += [(8, f"{prose(5, 50)} {other} {prose(6, 5)}"), (8, f"{other} end"), (8, "tiny"), (9, prose(7, 50))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = repeated_passages.without_repeats(df).collect()
+    plain = brute.without_repeats([(n, t) for n, (_, t) in enumerate(texts)], 35)
+    assert [r[2] for r in plain] == [40, 0, 40, 36, 36, 0, 0]
+    wanted = [(texts[n][0], *rest) for n, *rest in plain]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(wanted, key=repr)
+
+
 def test_secrets(spark, docs, empty):
     got = {r.doc_id: r for r in secret_scan.secrets(docs).collect()}
     assert len(got) == len(ROWS)
