@@ -43,7 +43,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_copies(documents(spark, sf_dir), 3, Fraction(9, 10))
+    return jaccard.near_copies(documents(spark, sf_dir), 3, Fraction(9, 10), links=True)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

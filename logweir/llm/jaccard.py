@@ -15,8 +15,9 @@ Documents that share a content that both keep are strung together, and each fami
 has trees of its own. No linked pair is split. Large families are dealt into tiles, a tree each,
 and pairs of tiles are joined in separate tasks.
 
-Equal sets are one point. Within a pair of tiles, two documents that are already connected
-are not compared again: components stay exact without listing all pairs of a group of copies.
+Equal sets are one point. Where components alone are asked for, two documents of a pair of tiles that
+are already connected are not compared again. Where links are counted, every candidate pair is
+verified, and a pair of tiles gives sums by document and the links that connect, never all pairs.
 """
 
 import math
@@ -147,8 +148,8 @@ def _needed(a, b, share: Fraction):
     return -(-num * (a + b) // (num + den))
 
 
-def candidates(one: Tree, two: Tree, share: Fraction):
-    """Pairs of points whose bound on the overlap reaches what a link needs."""
+def boxes(one: Tree, two: Tree, share: Fraction):
+    """Pairs of points whose bound on the overlap reaches what a link needs, as two arrays a leaf pair."""
     depth_one, depth_two = len(one.levels) - 1, len(two.levels) - 1
     pairs = [(depth_one, 0, depth_two, 0)]
     while pairs:
@@ -165,8 +166,15 @@ def candidates(one: Tree, two: Tree, share: Fraction):
             x, y = members_a[a], members_b[b]
             bound = np.minimum(one.points[x][:, None], two.points[y][None]).sum(2)
             enough = bound >= _needed(one.sizes[x][:, None], two.sizes[y][None], share)
-            for i, j in zip(*np.nonzero(enough)):
-                yield int(x[i]), int(y[j])
+            i, j = np.nonzero(enough)
+            if len(i):
+                yield x[i], y[j]
+
+
+def candidates(one: Tree, two: Tree, share: Fraction):
+    """The same pairs one by one."""
+    for x, y in boxes(one, two, share):
+        yield from zip(x.tolist(), y.tolist())
 
 
 def joined(docs_one, sets_one, docs_two, sets_two, share: Fraction) -> list[tuple[int, int]]:
@@ -198,6 +206,57 @@ def joined(docs_one, sets_one, docs_two, sets_two, share: Fraction) -> list[tupl
     return out
 
 
+def counted(sets_one, copies_one, sets_two, copies_two, share: Fraction):
+    """Numbers of linked rows by set, for both tiles, and (i, j) of links that connect what links connect.
+
+    A partner counts as often as its set occurs. One tile: pass the same list of sets twice.
+    """
+    same = sets_one is sets_two
+    one = Tree(np.stack([point(s) for s in sets_one]))
+    two = one if same else Tree(np.stack([point(s) for s in sets_two]))
+    found = list(boxes(one, two, share))
+    n_one, n_two = np.zeros(len(sets_one), np.int64), np.zeros(len(sets_two), np.int64)
+    edges: list[tuple[int, int]] = []
+    if not found:
+        return n_one, n_two, edges
+    x, y = (np.concatenate([f[k] for f in found]) for k in range(2))
+    if same:
+        x, y = x[x < y], y[x < y]
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    cuts = np.searchsorted(x, np.arange(len(sets_one) + 1))
+    # Shingles as places among those of the second tile, so a set is looked up by marks.
+    sizes_one, sizes_two = (np.array([len(s) for s in sets]) for sets in (sets_one, sets_two))
+    distinct, labels = np.unique(np.concatenate(sets_two), return_inverse=True)
+    starts = np.cumsum(sizes_two) - sizes_two
+    marks = np.zeros(len(distinct), np.int32)
+    num, den = share.numerator, share.denominator
+    group = np.arange(len(sets_one) + (0 if same else len(sets_two)))
+    shift = 0 if same else len(sets_one)
+    for i in np.flatnonzero(np.diff(cuts)):
+        js = y[cuts[i] : cuts[i + 1]]
+        at = np.searchsorted(distinct, sets_one[i])
+        at = at[at < len(distinct)] if len(at) and at[-1] == len(distinct) else at
+        at = at[distinct[at] == sets_one[i][: len(at)]]
+        marks[at] = 1
+        if 4 * len(js) > len(sets_two):
+            overlap = np.add.reduceat(marks[labels], starts)[js]
+        else:
+            own = sizes_two[js]
+            overlap = np.add.reduceat(marks[labels[batches.gather(starts[js], own)]], np.cumsum(own) - own)
+        marks[at] = 0
+        overlap = overlap.astype(np.int64)
+        js = js[den * overlap >= num * (sizes_one[i] + sizes_two[js] - overlap)]
+        n_one[i] += copies_two[js].sum()
+        n_two[js] += copies_one[i]
+        others, first = np.unique(group[js + shift], return_index=True)
+        for other, k in zip(others.tolist(), first.tolist()):
+            if other != group[i]:
+                edges.append((int(i), int(js[k])))
+                group[group == other] = group[i]
+    return n_one, n_two, edges
+
+
 def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
     """(doc, doc_id, n, one, two, classes): the size of each document's set, its fingerprints and its groups.
 
@@ -276,10 +335,11 @@ def _families(described: DataFrame, tasks: int) -> DataFrame:
     return components(edges).selectExpr("node AS one", "component AS family")
 
 
-def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """(a, b): links that connect every two documents of a family that links connect.
+def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction, count: bool) -> DataFrame:
+    """(a, b, n): links that connect every two documents of a family that links connect.
 
-    ``chosen`` has (doc, family, n), one document for each set. Sizes are cut into bands as wide as
+    With ``count`` also rows with a null ``b``: ``n`` linked rows of document ``a`` in a pair of tiles.
+    ``chosen`` has (doc, family, n, copies), one document for each set. Sizes are cut into bands as wide as
     two linked sizes can lie apart, so a tile only meets tiles of its own band and the next.
     """
     width = math.log(1 / share) * 1.0001 if share < 1 else 1e-9
@@ -304,6 +364,7 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
         tiled.selectExpr(
             "doc",
             "family",
+            "copies",
             f"band * {1 << 24}L + pmod(xxhash64(doc), tiles) AS tile",
             f"concat({others}) AS others",
         ),
@@ -317,11 +378,11 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
             w = batches.words(part.column("text"), lower=True)
             raw = [s.tobytes() for s in shingle_sets(w, size)]
             yield pa.RecordBatch.from_pydict(
-                {**{c: part.column(c) for c in ("doc", "family", "tile", "others")}, "shingles": pa.array(raw, pa.binary())}
+                {**{c: part.column(c) for c in ("doc", "family", "copies", "tile", "others")}, "shingles": pa.array(raw, pa.binary())}
             )
 
-    found = read.select("doc", "family", "tile", "others", "text").mapInArrow(
-        sets, "doc long, family long, tile long, others array<long>, shingles binary"
+    found = read.select("doc", "family", "copies", "tile", "others", "text").mapInArrow(
+        sets, "doc long, family long, copies long, tile long, others array<long>, shingles binary"
     )
     # Each document goes to the pairs of its tile.
     dealt = found.withColumn("other", F.explode("others")).select(
@@ -330,6 +391,7 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
         F.greatest("tile", "other").alias("high"),
         "tile",
         "doc",
+        "copies",
         "shingles",
     )
 
@@ -341,12 +403,26 @@ def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction) -> Da
         first = [i for i in range(len(own)) if tile[i] == low]
         second = first if low == high else [i for i in range(len(own)) if tile[i] == high]
         if not first or not second or (low == high and len(first) < 2):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return _link_rows([], [], [])
         d1, s1 = [docs_[i] for i in first], [own[i] for i in first]
         d2, s2 = (d1, s1) if low == high else ([docs_[i] for i in second], [own[i] for i in second])
-        return pd.DataFrame(joined(d1, s1, d2, s2, share), columns=["a", "b"], dtype="int64")
+        if not count:
+            links = joined(d1, s1, d2, s2, share)
+            return _link_rows([a for a, _ in links], [b for _, b in links], [0] * len(links))
+        copies = group["copies"].to_numpy()
+        n_one, n_two, links = counted(s1, copies[first], s2, copies[second], share)
+        none = [None] * (len(d1) + len(d2))
+        return _link_rows(
+            [d1[i] for i, _ in links] + d1 + d2,
+            [d2[j] for _, j in links] + none,
+            [0] * len(links) + n_one.tolist() + n_two.tolist(),
+        )
+
+    return dealt.groupBy("family", "low", "high").applyInPandas(join, "a long, b long, n long")
+
 
-    return dealt.groupBy("family", "low", "high").applyInPandas(join, "a long, b long")
+def _link_rows(a: list, b: list, n: list) -> pd.DataFrame:
+    return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n": pd.array(n, "Int64")})
 
 
 def near_copies(
@@ -355,15 +431,17 @@ def near_copies(
     share: Fraction = Fraction(9, 10),
     text: str = "text",
     doc_id: str = "doc_id",
+    links: bool = False,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, and n_links if ``links``.
 
     Two documents link when their sets of ``size``-word shingles, after lower-casing A to Z, have a
     Jaccard similarity of ``share`` or more; the component is the smallest id reachable over links.
     With fewer words the whole text is one shingle; without words the set is empty and linked
     with nothing. Equal texts link. Rows are numbered once and written, and told apart by number, so
     ids may be null or repeat, with equal texts or different ones. A null id is never the smallest;
-    a component of null ids alone is null. Empty tables give no rows.
+    a component of null ids alone is null. ``n_links`` is the number of other rows that a row links
+    with, rows of equal sets included. Empty tables give no rows.
     """
     plain = written(
         docs.select(
@@ -375,21 +453,35 @@ def near_copies(
     )
     described = written(_described(plain, size, share), "sets")
     whole = described.where("n > 0").groupBy("one", "two").agg(
-        F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.max("n").alias("n")
+        F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")
     )
     families = _families(described, partitions(docs))
-    chosen = whole.join(families, "one").select("doc", "family", "n")
-    links = _links(plain, written(chosen, "family-documents"), size, share)
-    found = written(components(links).selectExpr("node AS doc", "component"), "components")
+    chosen = whole.join(families, "one").select("doc", "family", "n", "copies")
+    linking = written(_links(plain, written(chosen, "family-documents"), size, share, links), "links")
+    edges = linking.where("b is not null").select("a", "b")
+    found = written(components(edges).selectExpr("node AS doc", "component"), "components")
     # Numbers of rows string a component together; its name is the smallest id of its sets.
     least = found.join(whole, "doc").groupBy("component").agg(F.min("least").alias("smallest"))
-    classes = whole.join(found.join(least, "component"), "doc", "left").select(
-        "one", "two", F.coalesce("smallest", "least").alias("component_id")
+    named = found.join(least, "component")
+    if links:
+        counts = linking.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
+        named = named.join(counts.withColumnRenamed("a", "doc"), "doc")
+    else:
+        named = named.withColumn("others", F.lit(0))
+    classes = whole.join(named, "doc", "left").select(
+        "one",
+        "two",
+        F.coalesce("smallest", "least").alias("component_id"),
+        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     linked = described.where("n > 0").join(classes, ["one", "two"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
     )
     alone = described.where("n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.col("doc_id").alias("component_id"),
+        F.lit(0).cast("long").alias("n_links"),
     )
-    return linked.unionByName(alone)
+    out = linked.unionByName(alone)
+    return out if links else out.drop("n_links")

@@ -201,6 +201,30 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
 
 
+def test_near_copies_count_links(spark, monkeypatch):
+    """Every link counts, also between documents that others connect, and every copy of a partner."""
+    monkeypatch.setattr(jaccard, "TILE", 4)  # so that families span tiles
+    rng = random.Random(6)
+    base = [f"w{n}" for n in range(200)]
+    texts = [" ".join(base)] * 3 + ["", None, "x", "x", "y"]
+    for n in range(24):
+        near = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            near[rng.randrange(200)] = f"edit{n}"
+        texts += [" ".join(near)] * rng.randrange(1, 3)
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)} if w else set() for w in map(brute.words, texts)]
+    wanted = {
+        n: sum(m != n and 10 * len(a & b) >= 9 * len(a | b) > 0 for m, b in enumerate(grams))
+        for n, a in enumerate(grams)
+    }
+    assert len(set(wanted.values())) >= 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = jaccard.near_copies(df, 3, Fraction(9, 10), links=True)
+    assert {r.doc_id: r.n_links for r in got.collect()} == wanted
+    plain = brute.near_copies(list(enumerate(texts)), 3, 9, 10)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == plain
+
+
 def test_signatures_agree_for_every_link():
     """Sets at the threshold share a content that both keep, even if shared ones are left out first."""
 
