@@ -22,6 +22,7 @@ from logweir.session import scratch_path
 END_ID = 2
 SEQUENCE = 1_024
 TOKEN_LIMIT = 4_096
+CONTEXT = 6  # bytes before a byte
 
 
 def tokenizer(name: str) -> str:
@@ -70,7 +71,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(documents(spark, sf_dir))
+    return ctw.score(documents(spark, sf_dir), depth=CONTEXT)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

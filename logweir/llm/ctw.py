@@ -1,10 +1,14 @@
 """Language-model scores: context-tree weighting over bytes, and word unigrams beside it.
 
-Each byte is eight binary decisions. A node of the tree is a context (the 0, 1 or 2 bytes before)
+Each byte is eight binary decisions. A node of the tree is a context (the bytes before, up to ``depth``)
 and the bits of the byte decided so far. Every node holds a Krichevsky-Trofimov estimate of its bit;
 context-tree weighting mixes the estimates over all depths with the weights that the counts of
-the training documents give. The mixed tree is a table of 256^2 contexts by 256 bytes, at most 64 MB
-whatever the corpus: that bound is why the depth is two bytes.
+the training documents give.
+
+Contexts of up to two bytes are a table that workers hold. Deeper ones grow with the corpus: runs of
+``depth + 1`` bytes are counted by task and dealt by the three bytes nearest to the last, so a bucket
+holds whole subtrees. A bucket weighs its subtrees from the leaves up and passes on the sums for two bytes.
+Blocks of documents ask the buckets for the probabilities of their distinct runs.
 
 Word counts grow with the corpus and are never held as a whole. Words with at least a share of
 1 / ``FREQUENT`` of all tokens, at most ``FREQUENT`` words, are broadcast; all others are looked up in a
@@ -25,6 +29,9 @@ from logweir.llm.shares import crc_of_id, partitions, written
 
 FREQUENT = 1 << 21  # words held by every worker, 16 bytes each
 END = np.uint64(0x5EED)  # stands for the end of a text among the words
+GRAMS = 1 << 30  # added to the bucket of a request for byte runs
+BLOCK_BYTES = 2 << 20  # text of a block whose distinct byte runs are asked for together
+HELD = 1 << 21  # distinct byte runs that a task holds before it passes them on
 _LOG_PI = math.log(math.pi)
 
 
@@ -42,6 +49,19 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - _LOG_PI
 
 
+_HALF, _WHOLE = (_lgamma(np.arange(1 << 16) + x) for x in (0.5, 1.0))
+
+
+def _kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The same for whole numbers, mostly small: looked up."""
+    total = zeros + ones
+    small = total < len(_HALF)
+    out = np.empty(len(total))
+    out[small] = _HALF[zeros[small]] + _HALF[ones[small]] - _WHOLE[total[small]] - _LOG_PI
+    out[~small] = _kt(zeros[~small], ones[~small])
+    return out
+
+
 def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of bytes (..., 256) as counts of zeros and ones at the 255 bit nodes, in heap order."""
     zeros, ones = np.zeros((*counts.shape[:-1], 256)), np.zeros((*counts.shape[:-1], 256))
@@ -104,6 +124,253 @@ def table(counts) -> np.ndarray:
     return out
 
 
+def top(counts, below_leaf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a two-byte context, A, B): a bit is one with probability A + B q, q from deeper contexts.
+
+    ``below_leaf(last)`` gives the log of the product of the weighted probabilities three bytes deep.
+    Contexts never seen share a row by last byte.
+    """
+
+    def stay(own, below):
+        return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+
+    totals = np.stack([counts(last).sum(0) for last in range(256)])
+    zeros, ones = _bits(totals)
+    own_inner, below_inner = _kt(zeros, ones), np.zeros((256, 256))
+    for last in range(256):  # bounded by the alphabet
+        own = _kt(*_bits(counts(last)))
+        below_inner[last] = (np.logaddexp(own, below_leaf(last)) - math.log(2)).sum(0)
+    below_root = (np.logaddexp(own_inner, below_inner) - math.log(2)).sum(0)
+    root_zeros, root_ones = zeros.sum(0), ones.sum(0)
+    stay_root = stay(_kt(root_zeros, root_ones), below_root)
+    p_root = (root_ones + 0.5) / (root_zeros + root_ones + 1)
+    row, fixed, factor, n = np.zeros((256, 256), np.int32), [], [], 0
+    for last in range(256):
+        own = counts(last)
+        seen = np.flatnonzero(own.any(1))
+        z, o = _bits(np.concatenate((own[seen], np.zeros((1, 256), own.dtype))))
+        below = np.concatenate((below_leaf(last)[seen], np.zeros((1, 256))))
+        stay_leaf, p_leaf = stay(_kt(z, o), below), (o + 0.5) / (z + o + 1)
+        stay_inner = stay(own_inner[last], below_inner[last])
+        p_inner = (ones[last] + 0.5) / (zeros[last] + ones[last] + 1)
+        rest = (1 - stay_root) * (1 - stay_inner)
+        fixed.append(stay_root * p_root + (1 - stay_root) * stay_inner * p_inner + rest * stay_leaf * p_leaf)
+        factor.append(rest * (1 - stay_leaf))
+        row[last] = n + len(seen)
+        row[last, seen] = n + np.arange(len(seen))
+        n += len(seen) + 1
+    return row.ravel(), np.concatenate(fixed).astype(np.float32), np.concatenate(factor).astype(np.float32)
+
+
+def _grams(data: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
+    """For every byte the ``depth`` bytes before it, the nearest highest, and the byte itself lowest."""
+    wide = data.astype(np.uint64)
+    place = np.arange(len(wide)) - np.repeat(rows[:-1], np.diff(rows))
+    out = wide.copy()
+    for d in range(1, depth + 1):
+        before = np.where(place[d:] >= d, wide[:-d], np.uint64(0))
+        out[d:] |= before << np.uint64(8 * (depth + 1 - d))
+    return out
+
+
+def _bucket(grams: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    nearest = grams >> np.uint64(8 * (depth - 2))
+    return (batches.mix(nearest + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(grams: np.ndarray, depth: int, buckets: int):
+    """An order of sorted ``grams`` by bucket, and (bucket, from, to) in that order."""
+    bucket = _bucket(grams, depth, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, [(b, edges[b], edges[b + 1]) for b in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+_BYTE, _EIGHT = np.uint64(255), np.uint64(8)
+
+
+def _node(names: np.ndarray, k: int) -> np.ndarray:
+    """The context of (context, byte) with the node of the byte's first ``k`` bits."""
+    return (names & ~_BYTE) | np.uint64(1 << k) | ((names & _BYTE) >> np.uint64(8 - k))
+
+
+class Subtrees:
+    """The part of the tree from three bytes of context down, of the byte runs of a bucket."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
+        self.depth, self.levels = depth, {}
+        weighted: list[tuple[np.ndarray, np.ndarray]] = []
+        for d in range(depth, 2, -1):
+            names, count = _summed(self._names(grams, d), n)
+            level, above = [], []
+            for k in range(8):
+                node = _node(names, k)
+                starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                ones = np.add.reduceat(count * (names >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64), starts)
+                zeros = np.add.reduceat(count, starts) - ones
+                keys, own = node[starts], _kt_of(zeros, ones)
+                stay = np.ones(len(keys))
+                log_w = own
+                if d < depth:
+                    child, log_child = weighted[k]
+                    below = np.bincount(np.searchsorted(keys, self._parent(child)), log_child, len(keys))
+                    stay = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+                    log_w = np.logaddexp(own, below) - math.log(2)
+                level.append((keys, stay, (ones + 0.5) / (zeros + ones + 1)))
+                above.append((keys, log_w))
+            self.levels[d], weighted = level, above
+        keys = np.concatenate([self._parent(x) for x, _ in weighted])
+        self.above, inverse = np.unique(keys, return_inverse=True)
+        self.below = np.bincount(inverse, np.concatenate([x for _, x in weighted]), len(self.above))
+
+    def _names(self, grams, d):
+        return (grams >> np.uint64(8 * (self.depth - d + 1)) << _EIGHT) | (grams & _BYTE)
+
+    @staticmethod
+    def _parent(keys):
+        return (keys >> np.uint64(16) << _EIGHT) | (keys & _BYTE)
+
+    def ones(self, grams: np.ndarray) -> np.ndarray:
+        """(grams, 8): the mixed probability of a one at each bit from three bytes of context down."""
+        out = np.full((len(grams), 8), 0.5)
+        for d in range(self.depth, 2, -1):
+            names = self._names(grams, d)
+            for k, (keys, stay, p) in enumerate(self.levels[d]):
+                node = _node(names, k)
+                at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
+                found = keys[at] == node
+                own = np.where(found, stay[at], 0.5)
+                out[:, k] = own * np.where(found, p[at], 0.5) + (1 - own) * out[:, k]
+        return out
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted rows as planes of bytes, compressed; the high planes hardly change."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes, dtype) -> np.ndarray:
+    size, width = int.from_bytes(payload[:8], "little"), np.dtype(dtype).itemsize
+    if not size:
+        return np.zeros(0, dtype)
+    raw = pa.decompress(payload[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+_GRAM = np.dtype([("name", "<u8"), ("n", "<i8")])
+
+
+def _trees(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(bucket, payload, above, below): byte runs with their counts, and sums for two bytes of context."""
+
+    def count(parts):
+        held, size = [], 0
+
+        def flush():
+            grams, n = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            order, cuts = _dealt(grams, depth, buckets)
+            entry = np.zeros(len(grams), _GRAM)
+            entry["name"], entry["n"] = grams[order], n[order]
+            for b, start, end in cuts:
+                yield pa.RecordBatch.from_pydict(
+                    {"bucket": pa.array([b], pa.int32()), "payload": pa.array([_packed(entry[start:end])], pa.binary())}
+                )
+
+        for part in batches.slices(parts):
+            data, rows = batches.text_bytes(part.column("text"))
+            held.append(np.unique(_grams(batches._LOWER[data], rows, depth), return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def merged(parts):
+        bucket, held, size = None, [], 0
+
+        def summed():
+            entry = np.concatenate([_unpacked(x, _GRAM) for x in held])
+            return _summed(entry["name"], entry["n"])
+
+        def packed(names, n):
+            entry = np.zeros(len(names), _GRAM)
+            entry["name"], entry["n"] = names, n
+            return _packed(entry)
+
+        def tree():
+            names, n = summed()
+            subtrees = Subtrees(names, n, depth)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([bucket], pa.int32()),
+                    "payload": pa.array([packed(names, n)], pa.binary()),
+                    "above": pa.array([batches.signed(subtrees.above)], pa.list_(pa.int64())),
+                    "below": pa.array([subtrees.below], pa.list_(pa.float64())),
+                }
+            )
+
+        for part in parts:
+            for b, payload in zip(part.column("bucket").to_pylist(), part.column("payload")):
+                if b != bucket and held:
+                    yield tree()
+                    held, size = [], 0
+                bucket = b
+                held.append(payload.as_py())
+                size += int.from_bytes(held[-1][:8], "little")
+                if size > 256 << 20 and len(held) > 1:
+                    held = [packed(*summed())]
+                    size = int.from_bytes(held[0][:8], "little") // 2
+        if held:
+            yield tree()
+
+    return written(
+        docs.select("text")
+        .mapInArrow(count, "bucket int, payload binary")
+        .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(merged, "bucket int, payload binary, above array<long>, below array<double>"),
+        "trees",
+    )
+
+
+def _deep_answers(requests: DataFrame, trees: DataFrame, shared, depth: int, buckets: int) -> DataFrame:
+    """For each request of byte runs the log10 probabilities of their last bytes."""
+
+    def answer(parts):
+        row, fixed, factor = shared.value
+        bucket = subtrees = None
+        for part in parts:
+            for b, block, payload in zip(part.column("bucket").to_pylist(), part.column("block").to_pylist(), part.column("payload")):
+                if b != bucket:
+                    bucket, subtrees = b, None
+                if block < 0:  # sorted before the requests
+                    entry = _unpacked(payload.as_py(), _GRAM)
+                    subtrees = Subtrees(entry["name"], entry["n"], depth)
+                    continue
+                grams = _unpacked(payload.as_py(), np.uint64)
+                out = np.zeros(len(grams), np.float32)
+                for at in range(0, len(grams), 1 << 18):
+                    own = grams[at : at + (1 << 18)]
+                    q = subtrees.ones(own) if subtrees else np.full((len(own), 8), 0.5)
+                    byte = (own & _BYTE).astype(np.int64)
+                    context = row[(own >> np.uint64(8 * (depth - 1))).astype(np.int64)]
+                    nodes = _NODE[byte]
+                    p = fixed[context[:, None], nodes] + factor[context[:, None], nodes] * q
+                    out[at : at + len(own)] = np.log10(np.where(_BIT[byte] == 1, p, 1 - p)).sum(1)
+                yield _work_row(block, GRAMS + b, _packed(out))
+
+    return (
+        requests.select("block", (F.col("bucket") - GRAMS).alias("bucket"), "payload")
+        .unionByName(trees.select(F.lit(-1).cast("long").alias("block"), "bucket", "payload"))
+        .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket", "block")
+        .mapInArrow(answer, _WORK)
+    )
+
+
 def _contexts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """last << 16 | before << 8 | byte for every byte; zeros stand before a text."""
     wide = data.astype(np.int64)
@@ -191,13 +458,15 @@ _OWN = np.dtype(
 
 
 def score(
-    docs: DataFrame, folds: int = 5, held_out: int = 1, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, folds: int = 5, held_out: int = 1, text: str = "text", doc_id: str = "doc_id",
+    depth: int = 2,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents outside the fold ``held_out`` of crc32(doc_id) are learned from, all are scored, after
     lower-casing A to Z. ``base_score`` is the add-half unigram score of words and an end;
-    ``score`` is log10 of the tree's probability of the bytes. A null text counts as empty: it has
+    ``score`` is log10 of the probability of the bytes by the tree of ``depth`` (2 to 7) bytes of
+    context. A null text counts as empty: it has
     the end alone and score 0. Repeated rows count as often as they occur; a null id is in no
     held-out fold. An empty table gives no rows; with no training rows, counts are zero.
     """
@@ -213,8 +482,30 @@ def score(
     )
     words = counted.where("kind = 0").select("name", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7")
+    deep, buckets = depth > 2, partitions(docs)
     # at most 2^24 contexts, and at most FREQUENT words of so large a share
-    tree = table(_dense(*_pairs(counted.where("kind = 1").select("name", "n"))))
+    near = _dense(*_pairs(counted.where("kind = 1").select("name", "n")))
+    if deep:
+        trees = _trees(rows.where("not held_out"), depth, buckets)
+        sums = (
+            trees.select(F.explode(F.arrays_zip("above", "below")).alias("x"))
+            .groupBy("x.above").agg(F.sum("x.below").alias("below")).toArrow()
+        )
+        above = sums.column(0).to_numpy().astype(np.int64)
+        order = np.argsort(above)
+        above, below_sums = above[order], sums.column(1).to_numpy().astype(np.float64)[order]
+        edges = np.searchsorted(above, np.arange(257) << 16)
+
+        def below_leaf(last):
+            out = np.zeros(1 << 16)
+            own = slice(edges[last], edges[last + 1])
+            out[above[own] & 0xFFFF] = below_sums[own]
+            return out.reshape(256, 256)
+
+        shared_top = spark.sparkContext.broadcast(top(near, below_leaf))
+    tree = None if deep else table(near)
     least = max(1, -(-total // FREQUENT))
     names, n = _pairs(words.where(F.col("n") >= least))
     names = names.view(np.uint64)
@@ -222,17 +513,17 @@ def score(
     below = math.log10(total + 0.5 * (distinct + 1))
     shared = spark.sparkContext.broadcast((tree, names[order], n[order]))
     rare = least > 1
-    buckets = partitions(docs)
 
     def work(parts):
         table_, common, common_n = shared.value
-        for part in batches.slices(parts):
+        for part in batches.slices(parts, most=BLOCK_BYTES if deep else batches.SLICE_BYTES):
             w = batches.words(part.column("text"), lower=True)
             n_docs = part.num_rows
             owner = np.concatenate((w.row_of_word(), np.arange(n_docs)))
             name = np.concatenate((w.names, np.full(n_docs, END)))
             log_p = np.zeros(len(w.data) + 1)
-            np.cumsum(table_.ravel()[_contexts(w.data, w.rows)], out=log_p[1:], dtype=np.float64)
+            if not deep:
+                np.cumsum(table_.ravel()[_contexts(w.data, w.rows)], out=log_p[1:], dtype=np.float64)
             at = np.searchsorted(common, name)
             found = at < len(common)
             found[found] = common[at[found]] == name[found]
@@ -252,6 +543,14 @@ def score(
             own["score"] = np.diff(log_p[w.rows])
             block = uuid.uuid4().int >> 65
             yield _work_row(block, -1, own.tobytes())
+            if deep:
+                whole = w.rows.astype(np.int64).tobytes() + w.data.tobytes()
+                yield _work_row(block, -2, _packed(np.frombuffer(whole, np.uint8)))
+                grams = np.unique(_grams(w.data, w.rows, depth))
+                order, cuts = _dealt(grams, depth, buckets)
+                grams = grams[order]
+                for b, start, end in cuts:
+                    yield _work_row(block, GRAMS + b, _packed(grams[start:end]))
             asked, who = name[~settled], owner[~settled]
             if not len(asked):
                 continue
@@ -272,7 +571,7 @@ def score(
     todo = written(rows.mapInArrow(work, _WORK), "score-requests")
     answers = todo.where("bucket < 0").select("block", "bucket", "payload")
     if rare:
-        asked = todo.where("bucket >= 0")
+        asked = todo.where((F.col("bucket") >= 0) & (F.col("bucket") < GRAMS))
         known = words.where(F.col("n") < least).select(
             F.pmod("name", F.lit(buckets)).cast("int").alias("bucket"),
             "name",
@@ -303,10 +602,28 @@ def score(
             asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(answer, _WORK)
         )
 
+    if deep:
+        answers = answers.unionByName(
+            _deep_answers(todo.where(F.col("bucket") >= GRAMS), trees, shared_top, depth, buckets)
+        )
+
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bucket", kind="stable")
-        own = np.frombuffer(group["payload"].iloc[0], _OWN).copy()
-        for payload in group["payload"].iloc[1:]:
+        at = group["bucket"].to_numpy()
+        payloads = group["payload"]
+        own = np.frombuffer(payloads[at == -1].iloc[0], _OWN).copy()
+        if deep:
+            raw = _unpacked(payloads[at == -2].iloc[0], np.uint8).tobytes()
+            offsets = np.frombuffer(raw, np.int64, len(own) + 1)
+            data = np.frombuffer(raw, np.uint8, offset=8 * len(offsets))
+            grams, inverse = np.unique(_grams(data, offsets, depth), return_inverse=True)
+            log_p = np.zeros(len(grams))
+            order, _ = _dealt(grams, depth, buckets)
+            log_p[order] = np.concatenate([_unpacked(x, np.float32) for x in payloads[at >= GRAMS]] or [np.zeros(0)])
+            sums = np.zeros(len(data) + 1)
+            np.cumsum(log_p[inverse], out=sums[1:])
+            own["score"] = np.diff(sums[offsets])
+        for payload in payloads[(at >= 0) & (at < GRAMS)]:
             sums = np.frombuffer(payload, _SUMS)
             own["known"][sums["doc"]] += sums["known"]
             own["base"][sums["doc"]] += sums["score"]

@@ -456,6 +456,21 @@ def test_tree_equals_recursion(spark):
         assert math.isclose(got[d], wanted, rel_tol=1e-4, abs_tol=1e-4)
 
 
+@pytest.mark.parametrize("depth", [3, 6])
+def test_deep_tree_equals_recursion(spark, depth, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 300)  # several blocks a task
+    monkeypatch.setattr(ctw, "HELD", 200)
+    rng = random.Random(4)
+    rows = [(d, rng.choice(["", "the same long line of words "]) + "".join(rng.choice("aabcAB é") for _ in range(rng.randrange(40)))) for d in range(30)]
+    df = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in ctw.score(df, depth=depth).collect()}
+    low = [t.translate(brute.LOWER).encode() for _, t in rows]
+    train = [t for (d, _), t in zip(rows, low) if brute.crc_fold(d, 5) != 1]
+    for (d, _), wanted in zip(rows, brute.tree_score(train, low, depth)):
+        assert math.isclose(got[d], wanted, rel_tol=1e-4, abs_tol=1e-4)
+    assert got[99] == 0 and ctw.score(df.limit(0), depth=depth).count() == 0
+
+
 def test_scores_edges(spark, empty):
     assert ctw.score(empty).count() == 0
     odd = spark.createDataFrame([(None, None), (None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
