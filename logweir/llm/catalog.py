@@ -11,11 +11,14 @@ from logweir.llm import (
     exact_copies,
     jaccard,
     language_id,
+    lexical_search,
     packing,
     repeated_passages,
     secret_scan,
     token_counts,
     token_files,
+    url_templates,
+    whitening,
 )
 from logweir.session import scratch_path
 
@@ -82,6 +85,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), END_ID, SEQUENCE)
 
 
+# The rules for pages.
+RULES = [
+    url_templates.Rule("allow", "com", "/"),
+    url_templates.Rule("block", "example.com", "/en/"),
+    url_templates.Rule("allow", "www.example.com", "/en/"),
+    url_templates.Rule("block", "net", "/es/"),
+    url_templates.Rule("block", "net", "/fr/"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(documents(spark, sf_dir), benchmark)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_context_tree,
         op9_language_id,
         op10_packing,
+        op11_url_filter,
+        op12_lexical_search,
+        op13_whitening,
         pipeline,
     )
 }
@@ -118,4 +147,44 @@ SQL: dict[str, str] = {
         FROM plain
         WINDOW same AS (PARTITION BY text)
     """,
+    "op12_lexical_search": r"""
+        WITH found AS (
+            SELECT doc_id, row_number() OVER () AS row,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents WHERE text IS NOT NULL
+        ),
+        docs AS (SELECT doc_id, row, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+        totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS held FROM docs),
+        postings AS (
+            SELECT row, term, count(*) AS tf
+            FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term
+        ),
+        items AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM postings CROSS JOIN totals GROUP BY term
+        ),
+        sized AS (
+            SELECT row, doc_id, 100 - 50 + ((50 * n * n_docs) // held) AS m
+            FROM docs CROSS JOIN totals
+        ),
+        scored AS (
+            SELECT item_id, row, doc_id,
+                   CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+            FROM items JOIN weights USING (term) JOIN postings USING (term) JOIN sized USING (row)
+            GROUP BY item_id, row, doc_id
+        ),
+        ranked AS (
+            SELECT item_id, doc_id, score,
+                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
 }

@@ -173,3 +173,139 @@ def tree_score(train, texts, depth=2):
             past = (past + bytes([byte]))[-depth:]
         out.append(total)
     return out
+
+
+def best_documents(items, rows, most=50):
+    """(item, rank, document, score) from the formula, every document scored for every item."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    docs = [(d, Counter(term.findall((t or "").translate(LOWER)))) for d, t in rows]
+    docs = [(d, c, sum(c.values())) for d, c in docs if c]
+    n_docs, total = len(docs), sum(n for _, _, n in docs)
+    held = Counter(t for _, c, _ in docs for t in c)
+    wanted = defaultdict(set)
+    for item, text in items:
+        if text is not None:
+            wanted[item].update(term.findall(text.translate(LOWER)))
+    out = []
+    for item, own in wanted.items():
+        scored = []
+        for doc, counts, n in docs:
+            m = 100 - 50 + (50 * n * n_docs) // total
+            score = 0
+            for t in own & counts.keys():
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * held[t] + 1)))
+                score += w * ((1_000_000_000 * counts[t]) // (1000 * counts[t] + 20 * m))
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, k + 1, s[3], -s[0]) for k, s in enumerate(sorted(scored)[:most])]
+    return out
+
+
+def url_parts(url):
+    """Host and path of a url."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    return host.translate(LOWER), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+
+def url_rule(host, path, rules):
+    """The longest (verdict, host, path) that fits."""
+    fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    return max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+
+
+def judged_urls(rows, rules, repeats=3, support=8, literals=50, nodes=2000, alpha=0.05, prior=2.0, purity=0.75):
+    """(id, host, path, rule, verdict), the tree of each host built from its pages in memory."""
+    pages = []
+    for id, url in rows:
+        host, path = url_parts(url)
+        rule = url_rule(host, path, rules)
+        pages.append((id, host, path, rule, path[1:].split("/") if path else []))
+    by_host = defaultdict(list)
+    for page in pages:
+        by_host[page[1]].append(page)
+    verdicts = {}
+    for host, own in by_host.items():
+        at = Counter((k, s) for p in own for k, s in enumerate(p[4]))
+        depth = Counter(k for p in own for k, _ in enumerate(p[4]))
+
+        def symbol(k, s):
+            if s and at[k, s] >= repeats and at[k, s] * literals >= depth[k]:
+                return "=" + s
+            stem, extension = re.fullmatch(r"(.*?)(\.[A-Za-z0-9]{1,5})?", s, re.S).groups()
+            if not s:
+                return ""
+            kind = "number" if re.fullmatch("[0-9]+", stem) else "code" if re.fullmatch("[0-9A-Fa-f-]{16,}", stem) else "text"
+            return f"<{kind}>{extension or ''}"
+
+        ways = [(p, tuple(symbol(k, s) for k, s in enumerate(p[4]))) for p in own]
+        count, good, bad = Counter(), Counter(), Counter()
+        for p, way in ways:
+            for k in range(len(way) + 1):
+                count[way[:k]] += 1
+                good[way[:k]] += bool(p[3]) and p[3][0] == "allow"
+                bad[way[:k]] += bool(p[3]) and p[3][0] == "block"
+        kept = {w for w in count if count[w] * nodes >= len(own)}
+        rejected = {}
+
+        def shares(group):
+            n = sum(count[w] for w in group)
+            next_ = Counter()
+            for w in group:
+                for c in kept:
+                    if len(c) == len(w) + 1 and c[:-1] == w:
+                        next_[c[-1]] += count[c]
+            out = {("next", s): x / n for s, x in next_.items()}
+            out["end"] = (n - sum(next_.values())) / n
+            out["good"], out["bad"] = sum(good[w] for w in group) / n, sum(bad[w] for w in group) / n
+            return n, out
+
+        def grow(group):
+            b, g = sum(bad[w] for w in group), sum(good[w] for w in group)
+            for w in group:
+                rejected[w] = (b + prior / 2) / (b + g + prior) >= purity
+            children = defaultdict(list)
+            for c in kept:
+                if c and c[:-1] in group:
+                    children[c[-1]].append(c)
+            merged = []
+            for s in sorted(children, key=lambda s: (-sum(count[c] for c in children[s]), s)):
+                n, mine = shares(children[s])
+                for other in merged:
+                    m, theirs = shares(other)
+                    slack = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+                    near = all(abs(mine.get(k, 0) - theirs.get(k, 0)) <= slack for k in mine.keys() | theirs.keys())
+                    told = [any(good[w] + bad[w] for w in g) for g in (children[s], other)]
+                    if min(n, m) >= support and near and told[0] == told[1]:
+                        other += children[s]
+                        break
+                else:
+                    merged.append(list(children[s]))
+            for group in merged:
+                grow(group)
+
+        grow([()])
+        for p, way in ways:
+            deepest = max(k for k in range(len(way) + 1) if way[:k] in kept)
+            verdicts[p[2], host] = "block" if rejected[way[:deepest]] else "allow"
+    return [
+        (id, host, path, rule and rule[1] + rule[2], rule[0] if rule else verdicts[path, host])
+        for id, host, path, rule, _ in pages
+    ]
+
+
+def whitened(rows, most=8):
+    """(ids, n, deviations, |whitened|, explained) of (id, vector) rows, from numpy's double solver."""
+    import numpy as np
+
+    rows = [(i, v) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(1024 * c) + 100_000 for c in v] for _, v in rows]
+    n, sums = len(x), [sum(col) for col in zip(*x)]
+    deviations = [sum((n * c - s) ** 2 for c, s in zip(v, sums)) for v in x]
+    centred = np.array(x, float) - np.array(sums, float) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    out = centred @ vectors[:, :most] / np.sqrt(values[:most])
+    return [i for i, _ in rows], n, deviations, out, values[:most] / values.sum()

@@ -19,7 +19,7 @@ def rows(sf_dir):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in catalog.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in catalog.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
 
 
 @pytest.mark.parametrize("name", list(catalog.SQL))
