@@ -40,3 +40,14 @@ def line_text(line: str) -> str:
     """The line without its time prefix."""
     rest = f"substring({line}, length({_first_word(line)}) + 2)"
     return f"CASE WHEN {_is_timed(line)} THEN {rest} ELSE {line} END"
+
+
+def instant(text: str) -> str:
+    """The instant that a text names, or null: a time with zone, or seconds or milliseconds since 1970."""
+    number = f"CAST({text} AS decimal(24, 9))"
+    return (
+        f"CASE WHEN {text} RLIKE r'{_TIME}' THEN try_to_timestamp({text}) "
+        rf"WHEN {text} RLIKE r'^\d{{1,14}}(\.\d{{1,20}})?(E\d)?$|^\d\.\d{{1,20}}E1[0-3]$' THEN timestamp_micros(bigint("
+        f"CASE WHEN {number} < 100000000000 THEN floor({number} * 1000000) "
+        f"WHEN {number} < 100000000000000 THEN floor({number} * 1000) END)) END"
+    )

@@ -1002,6 +1002,77 @@ def _(events):
     return exports.as_json(views.logs(events))
 
 
+# Landed lines ---------------------------------------------------------------------------
+
+_JSON_ROWS = f"""json_rows AS (
+        SELECT id, container_id, k,
+               CASE WHEN k IN (1, 2, 4, 5, 6, 9) THEN 'json'
+                    WHEN k IN (3, 7, 10) THEN 'broken' ELSE 'plain' END AS format,
+               CASE WHEN k = 9 THEN TIMESTAMP '2024-01-01 00:00:00.25' ELSE timestamp END AS event_time,
+               CASE k WHEN 2 THEN '"' || message || '" é'
+                      WHEN 3 THEN '{{"level":"error","message":"' || message || '"'
+                      WHEN 6 THEN '{{"text":"' || message || '"}}'
+                      WHEN 7 THEN '{{"message":"' || message || '"}} and more'
+                      WHEN 8 THEN '["' || message || '"]'
+                      WHEN 10 THEN concat('{{''message'':''', message, '''}}')
+                      ELSE message END AS message,
+               CASE k WHEN 1 THEN 'ERROR' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'FATAL'
+                      WHEN 9 THEN 'DEBUG' ELSE level END AS level,
+               CASE WHEN k = 5 THEN 'STDERR' WHEN k IN (2, 3, 6, 7, 8, 10) THEN 'STDOUT'
+                    ELSE source END AS source
+        FROM (SELECT *, id % {len(views.JSON_FORMS)} AS k FROM logs)
+    )"""
+
+
+@query(
+    "json_lines",
+    f"""WITH {sql.LOGS}, {_JSON_ROWS}
+    SELECT id, container_id, format, event_time, message, level, source,
+           format = 'broken' AS kept_bad, format = 'json' AS kept_fields
+    FROM json_rows""",
+)
+def _(spark, sf_dir):
+    parsed = ingest.parse_lines(views.json_raw_lines(views.read_events(spark, sf_dir)))
+    return parsed.selectExpr(
+        "id",
+        "container_id",
+        "format",
+        "event_time",
+        "message",
+        "level",
+        "source",
+        "bad_record IS NOT NULL AND endswith(line, bad_record) AS kept_bad",
+        "length(fields) > 0 AND endswith(line, fields) AS kept_fields",
+    )
+
+
+@query(
+    "json_ingest",
+    f"""WITH {sql.LOGS}, {_JSON_ROWS}
+    SELECT compose_project, json_rows.level, count(*) AS count
+    FROM json_rows JOIN logs USING (id) GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    events = views.read_events(spark, sf_dir)
+    rows = ingest.ingest_rows(views.json_raw_lines(events), views.containers(events))
+    return logs.level_distribution(rows)
+
+
+@query(
+    "log_dedup_exact_time",
+    f"""WITH {sql.LOGS}
+    SELECT min(id) AS id, container_id, ts, message
+    FROM logs JOIN events ON id = event_id WHERE id % 7 <> 0 GROUP BY container_id, ts, message
+    UNION ALL
+    SELECT id, container_id, NULL, message FROM logs, (VALUES (1), (2)) WHERE id % 7 = 0""",
+)
+def _(spark, sf_dir):
+    """Lines that differ only in microseconds stay apart; those without a time are never merged."""
+    lines = views.raw_lines_exact(views.read_events(spark, sf_dir))
+    parsed = ingest.parse_lines(ingest.unique_lines(lines, lines))
+    return parsed.selectExpr("id", "container_id", "event_time AS ts", "message")
+
+
 # Streaming ------------------------------------------------------------------------------
 
 _ONCE = {"availableNow": True}

@@ -114,6 +114,54 @@ def raw_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def raw_lines_exact(events: DataFrame) -> DataFrame:
+    """Raw lines with all digits of their time; every seventh has none."""
+    time = "concat(replace(string(ts), ' ', 'T'), 'Z ')"
+    return events.selectExpr(
+        "event_id AS id",
+        f"{_CONTAINER_ID} AS container_id",
+        f"concat(CASE WHEN event_id % 7 != 0 THEN {time} ELSE '' END, {_pick(MESSAGES)}) AS line",
+    )
+
+
+# How the line of an event is written as JSON, by event_id modulo their number; ~ is the message
+# and @ the time.
+JSON_FORMS = [
+    "~",
+    '{"level":"error","message":"~","time":"@"}',
+    r'{"severity":"Warning","msg":"\"~\" é","user":{"id":7,"tags":["a",{"b":1}]}}',
+    '{"level":"error","message":"~"',
+    '{"message":"first","level":"info","message":"~","level":"fatal"}',
+    r'{"log":"~\n","stream":"stderr","time":"@"}',
+    '{"message":{"text":"~"},"level":30}',
+    '{"message":"~"} and more',
+    '["~"]',
+    ' {"msg":"~","lvl":"TRACE","ts":1704067200.25} ',
+    "{'message':'~'}",
+]
+# Those that stand alone; the others have the runtime's time prefix.
+JSON_ALONE = [1, 5, 9]
+
+
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def json_raw_lines(events: DataFrame) -> DataFrame:
+    """Raw lines of which most are JSON objects, whole or broken."""
+    kind = f"event_id % {len(JSON_FORMS)}"
+    form = f"element_at(array({', '.join(map(_literal, JSON_FORMS))}), int({kind} + 1))"
+    time = rfc3339("timestamp(ts)")
+    text = f"replace(replace({form}, '~', {_pick(MESSAGES)}), '@', {time})"
+    alone = f"{kind} IN ({', '.join(map(str, JSON_ALONE))})"
+    return events.selectExpr(
+        "event_id AS id",
+        f"{_CONTAINER_ID} AS container_id",
+        f"CASE WHEN {alone} THEN {text} ELSE concat({time}, ' ', {text}) END AS line",
+    )
+
+
 _STATUS = "CASE WHEN user_id % 3 = 0 THEN 'Exited (0) 2 hours ago' ELSE 'Up 3 hours' END"
 _IMAGE = "concat('img', user_id % 7, ':latest')"
 _LABELS = (
