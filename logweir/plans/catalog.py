@@ -1143,7 +1143,7 @@ def _(spark, sf_dir):
         scratch_path(spark, "checkpoint"),
         _ONCE,
     ).awaitTermination()
-    return spark.read.parquet(path).drop(schemas.DAY)
+    return tables.read_alert_events(spark, path).drop(schemas.DAY, "rules_version")
 
 
 @query("stream_dedup", f"WITH {sql.LOGS} SELECT timestamp, container_id, message FROM logs")

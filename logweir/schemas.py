@@ -38,6 +38,17 @@ METRICS = T.StructType(
     ]
 )
 
+ALERT_EVENTS = T.StructType(
+    [
+        T.StructField("log_id", T.LongType()),
+        T.StructField("alert_id", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("message", T.StringType()),
+        T.StructField("container_id", T.StringType()),
+        T.StructField("rules_version", T.LongType()),
+    ]
+)
+
 # Lines as a log shipper lands them: the container and the text, time prefix included.
 RAW_LINES = T.StructType(
     [

@@ -1,6 +1,8 @@
 """Stored log and metric tables: Parquet by day, clustered by container and time."""
 
 import datetime as dt
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import types as T
 
 from logweir import schemas
 from logweir.functions.clock import day_key
+from logweir.sources import sealed, versions
 
 # Fixed value: days that rows are kept.
 RETENTION_DAYS = 7
@@ -19,15 +22,50 @@ def _stored(schema: T.StructType) -> T.StructType:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a log table, whether written whole or by the batches of a stream."""
-    return spark.read.schema(_stored(schemas.LOGS)).parquet(path).drop(schemas.BATCH)
+    return _read_days(spark, path, schemas.LOGS)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_stored(schemas.METRICS)).parquet(path)
+    return _read_days(spark, path, schemas.METRICS)
+
+
+def read_alert_events(spark: SparkSession, path: str) -> DataFrame:
+    return _read_days(spark, path, schemas.ALERT_EVENTS)
+
+
+def _read_days(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    if sealed.has_batches(spark, path):
+        return sealed.read(spark, path, schema)
+    return spark.read.schema(_stored(schema)).parquet(path)
 
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CONTAINERS).parquet(path)
+    """The container snapshot: its newest whole version, or the files of a plain folder."""
+    _, folder = versions.latest(spark, f"{path}/_versions")
+    return spark.read.schema(schemas.CONTAINERS).parquet(f"{path}/{folder}" if folder else path)
+
+
+# Versions of a snapshot that stay readable for those that pinned them.
+SNAPSHOTS_KEPT = 10
+
+
+def publish_containers(containers: DataFrame, path: str, kept: int = SNAPSHOTS_KEPT) -> int:
+    """Write a snapshot beside the older ones and point readers to it once it is whole.
+
+    A reader pins the version that was newest when it began. All but the ``kept`` newest are
+    deleted. Returns the version's number.
+    """
+    spark = containers.sparkSession
+    folder = f"snapshot-{uuid.uuid4().hex}"
+    containers.select(*schemas.CONTAINERS.fieldNames()).write.parquet(f"{path}/{folder}")
+    pointers = f"{path}/_versions"
+    number = versions.latest(spark, pointers)[0] + 1
+    while not versions.publish(spark, pointers, number, folder):
+        number = versions.latest(spark, pointers)[0] + 1
+    for old in versions.numbers(spark, pointers)[:-kept]:
+        versions.delete(spark, f"{path}/{versions.read(spark, pointers, old)}")
+        versions.forget(spark, pointers, old)
+    return number
 
 
 def read_container_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -136,24 +174,45 @@ def in_range(df: DataFrame, since=None, until=None) -> DataFrame:
     return df
 
 
+def _days_of(df: DataFrame) -> list[str]:
+    """The days of a stored table, newest first, from the paths of its files; nothing is read."""
+    found = {m.group(1) for f in df.inputFiles() if (m := re.search(rf"/{schemas.DAY}=([^/]+)/", f))}
+    return sorted(found, key=lambda d: (d[:1].isdigit(), d), reverse=True)
+
+
+def _of_days(df: DataFrame, days: list[str]) -> DataFrame:
+    """Rows of days that follow one another in :func:`_days_of`; the day of rows without time is null."""
+    dated = [dt.date.fromisoformat(d) for d in days if d[:1].isdigit()]
+    wanted = F.col(schemas.DAY).between(min(dated), max(dated)) if dated else F.lit(False)
+    if len(dated) < len(days):
+        wanted = wanted | F.col(schemas.DAY).isNull()
+    return df.filter(wanted)
+
+
 def newest_days(df: DataFrame, skip: int, take: int) -> tuple[DataFrame, int]:
     """The days of a stored table that hold its newest rows ``skip`` to ``skip + take``.
 
-    Returns those days' rows and how many of them still have to be skipped. Rows are counted
-    per day first, which reads only the columns that ``df`` was filtered by; the driver gets
-    one number per day.
+    Returns those days' rows and how many of them still have to be skipped. From the newest day
+    back, rows are counted in 1, 2, 4, ... days until the page is full, so older days are not
+    read; the driver gets one number per day that is.
     """
-    days = df.groupBy(schemas.DAY).count().orderBy(F.desc(schemas.DAY)).collect()
-    before, wanted, left = 0, [], skip
-    for day, rows in days:
-        if before + rows <= skip:
-            left -= rows
-        elif before < skip + take:
-            wanted.append(day)
-        before += rows
+    days = _days_of(df)
+    before, wanted, left, at, step = 0, [], skip, 0, 1
+    while at < len(days) and before < skip + take:
+        some = days[at : at + step]
+        counted = _of_days(df, some).groupBy(schemas.DAY).count().collect()
+        rows = {str(r[schemas.DAY]) if r[schemas.DAY] else None: r["count"] for r in counted}
+        for day in some:
+            n = rows.get(day if day[:1].isdigit() else None, 0)
+            if before + n <= skip:
+                left -= n
+            elif before < skip + take:
+                wanted.append(day)
+            before += n
+        at, step = at + step, step * 2
     if not wanted:
         return df.limit(0), 0
-    return df.filter(F.col(schemas.DAY).between(wanted[-1], wanted[0])), left
+    return _of_days(df, wanted), left
 
 
 def retained(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFrame:
@@ -184,20 +243,12 @@ def drop_expired_days(
 def drop_expired_folders(
     spark: SparkSession, path: str, as_of: dt.datetime, days: int = RETENTION_DAYS
 ) -> list[dt.date]:
-    """Delete such days from every batch of a log table that a stream writes.
+    """Delete such days, sealed or not, from a log, metric or alert table that a stream writes.
 
     Only folders are listed. Batches that are being written hold newer days, or lines that
     would be deleted by the next call.
     """
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    oldest_kept, dropped = _oldest_kept(as_of, days), set()
-    for found in files.globStatus(at(path, f"{schemas.BATCH}=*/{schemas.DAY}=*")) or []:
-        name = found.getPath().getName().split("=", 1)[1]
-        if name[:1].isdigit() and (day := dt.date.fromisoformat(name)) < oldest_kept:
-            files.delete(found.getPath(), True)
-            dropped.add(day)
-    return sorted(dropped)
+    return sealed.drop_days(spark, path, _oldest_kept(as_of, days))
 
 
 def rows_per_day(df: DataFrame) -> DataFrame:

@@ -32,15 +32,25 @@ def _by_day(rows: DataFrame) -> DataFrame:
     return rows.withColumn(schemas.DAY, F.expr(day_key("timestamp")))
 
 
-def _append(rows: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+def _append_batches(
+    stream: DataFrame, rows: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict
+) -> StreamingQuery:
+    """Write ``rows(batch)`` of every batch to a folder of its own, by day.
+
+    A batch that is repeated after a loss replaces its folder. The readers of
+    :mod:`logweir.sources.tables` see the folders of complete batches as one table, whose closed
+    days :func:`logweir.sources.sealed.seal` merges.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{path}/{schemas.BATCH}={batch_id}"
+        _by_day(rows(batch)).write.mode("overwrite").partitionBy(schemas.DAY).parquet(folder)
+
     return (
-        _by_day(rows)
-        .writeStream.format("parquet")
-        .partitionBy(schemas.DAY)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**trigger)
-        .start(path)
+        .foreachBatch(write)
+        .start()
     )
 
 
@@ -54,37 +64,41 @@ def ingest_logs(
     """Parse, classify and enrich landed lines and append them to the log table.
 
     ``containers`` reads the container snapshot. It is called, and its result measured, for
-    every batch, so containers that were listed after the start are known and the snapshot may
-    be rewritten between batches. Each batch has a folder of its own, which it replaces when it
-    is repeated after a loss; :func:`logweir.sources.tables.read_logs` reads them as one table.
+    every batch, so containers that were listed after the start are known. A snapshot that
+    :func:`logweir.sources.tables.publish_containers` writes may be replaced at any time.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = _by_day(ingest_rows(batch, containers(batch.sparkSession)))
-        rows.write.mode("overwrite").partitionBy(schemas.DAY).parquet(
-            f"{path}/{schemas.BATCH}={batch_id}"
-        )
-
-    return (
-        lines.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .foreachBatch(write)
-        .start()
+    return _append_batches(
+        lines,
+        lambda batch: ingest_rows(batch, containers(batch.sparkSession)),
+        path,
+        checkpoint,
+        trigger,
     )
 
 
 def ingest_metrics(
     samples: DataFrame, path: str, checkpoint: str, trigger=METRIC_TRIGGER
 ) -> StreamingQuery:
-    return _append(metric_rows(samples), path, checkpoint, trigger)
+    return _append_batches(samples, metric_rows, path, checkpoint, trigger)
 
 
 def raise_alerts(
     log_stream: DataFrame, rules, path: str, checkpoint: str, trigger=LOG_TRIGGER
 ) -> StreamingQuery:
     """Append the event of every line that fires a rule; counters and the recent list are
-    batch reads of the event table."""
-    return _append(alerts.alert_events(log_stream, rules), path, checkpoint, trigger)
+    batch reads of the event table.
+
+    ``rules`` is a list, or a function of the session that returns a version and its list, such as
+    :func:`logweir.sources.rules.read_rules` on a folder. The function is called for every batch, so
+    rules can be added and removed while the job runs; events carry the version.
+    """
+
+    def events(batch: DataFrame) -> DataFrame:
+        version, active = rules(batch.sparkSession) if callable(rules) else (None, rules)
+        found = alerts.alert_events(batch, active)
+        return found.withColumn("rules_version", F.lit(version).cast("long"))
+
+    return _append_batches(log_stream, events, path, checkpoint, trigger)
 
 
 def count_patterns(
@@ -132,7 +146,7 @@ def drop_repeated_lines(
         .dropDuplicatesWithinWatermark(logs.DUPLICATE_KEY)
         .drop("_arrived")
     )
-    return _append(unique, path, checkpoint, trigger)
+    return _append_batches(unique, lambda batch: batch, path, checkpoint, trigger)
 
 
 def push_live(
