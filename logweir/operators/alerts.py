@@ -1,16 +1,21 @@
 """Alert rules, the events they raise and their counters.
 
-Rules are configuration held by the driver, so they compile into column expressions: each
-line is tested where it lies, without a join.
+Rules are configuration held by the driver. A short list compiles into column expressions: each line is
+tested where it lies, without a join. A long one becomes an index: every rule is filed under the run of
+three characters of its text that fewest rules have, lines look up the runs they hold in a hash join, and
+only the rules found there are tested. Both give the same events.
 """
 
 import datetime as dt
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweir.session import broadcast_if_small
+
 PATTERN = "Pattern"
 THRESHOLD = "Threshold"
 CONTAINER_RESTART = "ContainerRestart"
@@ -18,8 +23,9 @@ CONTAINER_RESTART = "ContainerRestart"
 # The largest number of recent events kept.
 RECENT = 100
 
-# Up to this many rules are unrolled into generated code; more are looped over per line.
-UNROLLED_RULES = 64
+# From so many rules on, looking up a line's runs costs less than testing every rule.
+INDEXED_RULES = 64
+RUN = 3  # characters; a shorter text is filed as a whole
 
 
 @dataclass(frozen=True)
@@ -88,8 +94,6 @@ def _all_matches(rules: list[AlertRule], scoped: bool) -> Column:
 
 
 def _first_match(rules: list[AlertRule], scoped: bool) -> Column:
-    if len(rules) > UNROLLED_RULES:
-        return F.get(_all_matches(rules, scoped), F.lit(0))
     tests = [
         F.when(
             _hit(
@@ -106,6 +110,46 @@ def _first_match(rules: list[AlertRule], scoped: bool) -> Column:
     return F.coalesce(*tests)
 
 
+def _runs(text: str) -> list[str]:
+    size = min(RUN, len(text))
+    return sorted({text[n : n + size] for n in range(len(text) - size + 1)})
+
+
+def _index(spark: SparkSession, rules: list[AlertRule]) -> DataFrame:
+    """(run, ordinal, rule): every rule under its rarest run among the rules."""
+    common = Counter(run for r in rules for run in _runs(r.pattern))
+    rows = [
+        (min(_runs(r.pattern), key=lambda run: (common[run], run)), n, (r.id, r.pattern, r.container_id))
+        for n, r in enumerate(rules)
+    ]
+    kind = "struct<alert_id: string, pattern: string, scope: string>"
+    return spark.createDataFrame(rows, f"run string, ordinal int, rule {kind}")
+
+
+def _lookups(logs: DataFrame, rules: list[AlertRule], scoped: bool) -> DataFrame:
+    """(line, ordinal, rule and the columns of events) for every line and rule whose text occurs in it.
+
+    A line looks up each run it holds once, and a rule is filed once, so no pair comes twice. Runs
+    that no rule is filed under go in the join, before anything is tested or moved.
+    """
+    message = F.col("message")
+    lengths = sorted({min(RUN, len(r.pattern)) for r in rules})
+    runs = []
+    for size in lengths:
+        if size == 0:
+            runs.append("array('')")
+            continue
+        starts = f"CASE WHEN char_length(message) >= {size} THEN sequence(1, char_length(message) - {size - 1}) END"
+        held = f"array_distinct(transform({starts}, n -> substring(message, n, {size})))"
+        runs.append(f"coalesce({held}, CAST(array() AS array<string>))")
+    lines = logs.select("id", "timestamp", "container_id", "message").where(message.isNotNull())
+    lines = lines.withColumn("line", F.monotonically_increasing_id())
+    looked = lines.withColumn("run", F.explode(F.expr(f"concat({', '.join(runs)})")))
+    found = looked.join(broadcast_if_small(_index(logs.sparkSession, rules)), "run")
+    hit = _hit(message, F.col("container_id"), F.col("rule.pattern"), F.col("rule.scope"), scoped)
+    return found.where(hit).drop("run", "message")
+
+
 def _events(matched: DataFrame) -> DataFrame:
     return matched.select(
         F.col("id").alias("log_id"),
@@ -141,6 +185,11 @@ def alert_events(
     active = _text_rules(rules, alert_type)
     if not active:
         return _no_events(logs)
+    if len(active) > INDEXED_RULES:
+        # Only the hits of a line meet again, to settle which rule comes first.
+        first = F.min_by(F.struct("id", "timestamp", "container_id", "rule"), "ordinal").alias("first")
+        found = _lookups(logs, active, scoped).groupBy("line").agg(first)
+        return _events(found.select("first.*"))
     matched = logs.withColumn("rule", _first_match(active, scoped))
     return _events(matched.filter(F.col("rule").isNotNull()))
 
@@ -152,6 +201,8 @@ def alert_matches_all(
     active = _text_rules(rules, alert_type)
     if not active:
         return _no_events(logs)
+    if len(active) > INDEXED_RULES:
+        return _events(_lookups(logs, active, False))
     return _events(logs.withColumn("rule", F.explode(_all_matches(active, False))))
 
 

@@ -1,8 +1,14 @@
 """Log rows: encoding, filters, pages, statistics, enrichment, tails and de-duplication."""
 
+import base64
+import datetime as dt
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir import schemas
 from logweir.functions import levels
 from logweir.functions.clock import to_millis
 from logweir.functions.container import COMPOSE_FILE, is_collected, stack_of
@@ -34,6 +40,47 @@ def newest_first() -> list[Column]:
     return [F.desc("timestamp"), *[F.desc(name) for name in _TIES]]
 
 
+# What decides among rows of equal time if rows that differ anywhere must not tie.
+_ALL_TIES = [*_TIES, *[f for f in schemas.LOGS.fieldNames() if f not in ("timestamp", *_TIES)]]
+
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+
+@dataclass(frozen=True)
+class PageKey:
+    """The last row of a page, all its columns, and how many rows equal to it were already shown.
+
+    Rows that are equal in all columns cannot be told apart, but they can be counted; so pages by
+    this key show every row of a table once, with or without ids.
+    """
+
+    micros: int  # since 1970
+    ties: tuple
+    seen: int
+
+    def text(self) -> str:
+        raw = json.dumps([self.micros, list(self.ties), self.seen])
+        return "key:" + base64.urlsafe_b64encode(raw.encode()).decode()
+
+    @classmethod
+    def of_text(cls, text: str) -> "PageKey":
+        micros, ties, seen = json.loads(base64.urlsafe_b64decode(text.removeprefix("key:")))
+        return cls(micros, tuple(ties), seen)
+
+
+def next_key(page: DataFrame, before: PageKey | None = None) -> PageKey | None:
+    """The key to page on from ``page``, which was asked for with ``before``; None if it is empty."""
+    ties = F.struct(F.unix_micros("timestamp").alias("micros"), *_ALL_TIES)
+    last = page.groupBy(ties.alias("row")).count().agg(F.min(F.struct("row", "count")).alias("last")).first().last
+    if last is None:
+        return None
+    micros, *values = last.row
+    key = PageKey(micros, tuple(values), last["count"])
+    if before and (key.micros, key.ties) == (before.micros, before.ties):
+        return PageKey(key.micros, key.ties, key.seen + before.seen)
+    return key
+
+
 # Rows as stored and as read -------------------------------------------------------------
 
 
@@ -152,7 +199,7 @@ def log_page(
     logs: DataFrame,
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
-    before: tuple | None = None,
+    before: "tuple | PageKey | None" = None,
     **filters,
 ) -> DataFrame:
     """The newest rows that pass the filters, after skipping ``offset`` of them.
@@ -160,10 +207,12 @@ def log_page(
     Every filter is applied before the limit, and a limit is honoured or refused. Skipped rows
     still travel to the driver's merge, so deep paging should pass ``before``, the
     :func:`page_key` of the last row seen: that is a filter, and on a stored table it skips the
-    later days. ``(timestamp, id)`` alone is enough where no two rows share both.
+    later days. ``(timestamp, id)`` alone is enough where no two rows share both. A
+    :class:`PageKey` shows every row once even where rows are equal in all columns.
     """
     _validate_page(limit, filters)
-    page = filter_logs(_older(logs, before), **filters).orderBy(*newest_first())
+    page = filter_logs(_older(logs, before), **filters).orderBy(*_page_order(before))
+    offset += _already_seen(before)
     if offset:
         page = page.offset(offset)
     return page.limit(limit)
@@ -181,13 +230,31 @@ def page_key(row) -> tuple:
     return row["timestamp"], row["id"], row["container_id"], row["message"]
 
 
-def _older(logs: DataFrame, before: tuple | None) -> DataFrame:
-    """Rows that follow ``before`` in the order of pages; a null value follows all others."""
-    if before is None:
+def _page_order(before) -> list[Column]:
+    if isinstance(before, PageKey):
+        return [F.desc("timestamp"), *[F.desc(name) for name in _ALL_TIES]]
+    return newest_first()
+
+
+def _already_seen(before) -> int:
+    return before.seen if isinstance(before, PageKey) else 0
+
+
+FIRST_PAGE = PageKey(1 << 62, (None,) * len(_ALL_TIES), 0)
+
+
+def _older(logs: DataFrame, before: "tuple | PageKey | None") -> DataFrame:
+    """Rows that follow ``before`` in the order of pages; a null value follows all others.
+
+    Of a :class:`PageKey` also the rows that equal it.
+    """
+    if before is None or before == FIRST_PAGE:
         return logs
-    at, *ties = before
-    older = F.lit(False)
-    for name, value in reversed(list(zip(_TIES, ties))):
+    if isinstance(before, PageKey):
+        at, ties, names, older = _EPOCH + dt.timedelta(microseconds=before.micros), before.ties, _ALL_TIES, F.lit(True)
+    else:
+        (at, *ties), names, older = before, _TIES, F.lit(False)
+    for name, value in reversed(list(zip(names, ties))):
         lower = F.col(name).isNull() if value is not None else F.lit(False)
         if value is not None:
             lower = lower | (F.col(name) < F.lit(value))
@@ -201,7 +268,7 @@ def log_page_by_day(
     logs: DataFrame,
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
-    before: tuple | None = None,
+    before: "tuple | PageKey | None" = None,
     **filters,
 ) -> DataFrame:
     """The rows of :func:`log_page`, for a table stored by day.
@@ -210,8 +277,29 @@ def log_page_by_day(
     skips as a whole are never read.
     """
     _validate_page(limit, filters)
-    days, left = newest_days(filter_logs(_older(logs, before), **filters), offset, limit)
-    return log_page(days, limit, left)
+    skip = offset + _already_seen(before)
+    days, left = newest_days(filter_logs(_older(logs, before), **filters), skip, limit)
+    page = days.orderBy(*_page_order(before))
+    return (page.offset(left) if left else page).limit(limit)
+
+
+def page_info_by_key(
+    logs: DataFrame, limit: int = DEFAULT_LIMIT, before: PageKey | None = None, **filters
+) -> DataFrame:
+    """As :func:`page_info`, for the page after ``before``; the cursor is the text of a :class:`PageKey`.
+
+    One job finds the page's last row and one counts; no page is deep.
+    """
+    before = before or FIRST_PAGE
+    key = next_key(log_page(logs, limit, before=before, **filters), before)
+    passing = filter_logs(logs, **filters)
+    left = _older(passing, before).agg((F.count("*") - F.lit(before.seen)).alias("left")).first().left
+    more = left > limit
+    return passing.agg(F.count("*").alias("total")).select(
+        "total",
+        F.lit(more).alias("has_more"),
+        F.lit(key.text() if more else None).cast("string").alias("next_cursor"),
+    )
 
 
 def page_info(
@@ -309,6 +397,21 @@ def log_stats_by_container(
     )
 
 
+def stats_of_counts(counts: DataFrame, container_id: str | None = None, stack: str | None = None) -> DataFrame:
+    """:func:`log_stats` from counts per container, stack and level, as sealed days keep them."""
+    rows = filter_logs(counts, container_id=container_id, stack=stack)
+    per_level = [F.expr(f"coalesce(sum(rows) FILTER (WHERE level = '{v}'), 0L) AS {v.lower()}_count") for v in COUNTED_LEVELS]
+    return rows.agg(F.expr("coalesce(sum(rows), 0L) AS total"), *per_level)
+
+
+def stats_by_container_of_counts(counts: DataFrame) -> DataFrame:
+    """:func:`log_stats_by_container` from such counts."""
+    return counts.groupBy("container_id").agg(
+        F.expr("max_by(container_name, struct(newest, container_name)) AS container_name"),
+        F.expr("sum(rows) AS count"),
+    )
+
+
 def level_distribution(logs: DataFrame) -> DataFrame:
     return logs.groupBy("compose_project", "level").agg(F.count("*").alias("count"))
 

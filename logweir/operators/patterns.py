@@ -58,33 +58,38 @@ def auto_filters(logs: DataFrame) -> DataFrame:
     )
 
 
+def _traced(logs: DataFrame) -> DataFrame:
+    """Lines of traces with ``_trace``: time, id and a number of their trace's first line."""
+    frame, start = patterns.matches("message", "stack_frame"), patterns.matches("message", "stack_start")
+    # Every line but a frame ends the trace before it. The number tells heads of one time and id apart.
+    head = f"struct({start} AS opens, timestamp AS trace_time, id AS trace_id, _number)"
+    numbered = logs.withColumn("_number", F.monotonically_increasing_id())
+    heads = numbered.withColumn("_head", F.expr(f"CASE WHEN NOT {frame} THEN {head} END"))
+    return carry_forward(heads, "container_id", "_head", "_trace").filter("_trace.opens")
+
+
 def trace_lines(logs: DataFrame) -> DataFrame:
     """The lines of multi-line stack traces, each with time and id of its trace's first line.
 
     A trace is a line that announces one, and the frame lines that directly follow it in its
-    container. Traces may be of any length, so their lines stay rows. Time and id of the first
-    line name a trace within its container, so ids may be missing or the same in all lines.
+    container. Traces may be of any length, so their lines stay rows.
     """
-    frame, start = patterns.matches("message", "stack_frame"), patterns.matches("message", "stack_start")
-    # Every line but a frame ends the trace before it.
-    head = f"struct({start} AS opens, timestamp AS trace_time, id AS trace_id)"
-    heads = logs.withColumn("_head", F.expr(f"CASE WHEN NOT {frame} THEN {head} END"))
-    return (
-        carry_forward(heads, "container_id", "_head", "_trace")
-        .filter("_trace.opens")
-        .select(*logs.columns, "_trace.trace_time", "_trace.trace_id")
-    )
+    return _traced(logs).select(*logs.columns, "_trace.trace_time", "_trace.trace_id")
 
 
 def stack_traces(logs: DataFrame) -> DataFrame:
-    """One row per stack trace: where and when it ran, and over how many lines."""
+    """One row per stack trace: where and when it ran, and over how many lines.
+
+    Traces that start at the same time stay apart, whatever their ids.
+    """
     return (
-        trace_lines(logs)
-        .groupBy("container_id", "trace_time", "trace_id")
+        _traced(logs)
+        .select("container_id", "timestamp", "_trace.trace_id", "_trace._number")
+        .groupBy("container_id", "trace_id", "_number")
         .agg(
             F.expr("count(*) AS lines"),
             F.expr("min(timestamp) AS first_time"),
             F.expr("max(timestamp) AS last_time"),
         )
-        .drop("trace_time")
+        .drop("_number")
     )

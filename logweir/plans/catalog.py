@@ -17,7 +17,8 @@ from logweir.operators import patterns as pattern_ops
 from logweir.plans import sql
 from logweir.session import scratch_path
 from logweir.sources import event_views as views
-from logweir.sources import exports, tables
+from logweir.sources import exports, sealed, tables
+from logweir.sources import rules as stored_rules
 from logweir.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1167,3 +1168,218 @@ def _(spark, sf_dir):
         trigger=_ONCE,
     ).awaitTermination()
     return spark.read.text(path)
+
+
+# Stored tables --------------------------------------------------------------------------
+
+
+def _stored_logs(spark, sf_dir):
+    path = scratch_path(spark, "stored-logs")
+    tables.write_logs(views.logs(views.read_events(spark, sf_dir)), path)
+    return tables.read_logs(spark, path)
+
+
+def _sealed_logs(spark, sf_dir):
+    """A log table of three streamed batches whose days but the last are sealed; its path."""
+    landed, path = scratch_path(spark, "landed"), scratch_path(spark, "sealed-logs")
+    events = views.read_events(spark, sf_dir)
+    views.raw_lines(events).repartition(3, "id").write.parquet(landed)
+    jobs.ingest_logs(
+        tables.stream_rows(spark, landed, schemas.RAW_LINES, files_per_batch=1),
+        lambda session: _known_containers(views.read_events(session, sf_dir)),
+        path,
+        scratch_path(spark, "checkpoint"),
+        _ONCE,
+    ).awaitTermination()
+    newest = tables.read_logs(spark, path).agg(F.max(schemas.DAY).alias("day")).first().day
+    sealed.seal(spark, path, schemas.LOGS, newest)
+    return path
+
+
+@query("stored_compaction", f"WITH {sql.LOGS}, {sql.CONTAINERS} {_ENRICHED}")
+def _(spark, sf_dir):
+    path = _sealed_logs(spark, sf_dir)
+    sealed.clean(spark, path)
+    return _log_columns(tables.read_logs(spark, path))
+
+
+@query("stored_log_stats", f"WITH {sql.LOGS} {_STATS} FROM logs")
+def _(spark, sf_dir):
+    return logs.stats_of_counts(sealed.counts(spark, _sealed_logs(spark, sf_dir)))
+
+
+@query(
+    "stored_stats_by_container",
+    f"WITH {sql.LOGS} SELECT container_id, count(*) AS count FROM logs GROUP BY container_id",
+)
+def _(spark, sf_dir):
+    counts = sealed.counts(spark, _sealed_logs(spark, sf_dir))
+    return logs.stats_by_container_of_counts(counts).select("container_id", "count")
+
+
+@query(
+    "stored_logs_search",
+    f"""WITH {sql.LOGS} SELECT id, timestamp, container_id, message FROM logs
+    WHERE contains(message, 'terror averted')""",
+)
+def _(spark, sf_dir):
+    text = "terror averted"
+    found = sealed.read_with_text(spark, _sealed_logs(spark, sf_dir), text)
+    return logs.filter_logs(found, search=text).select("id", "timestamp", "container_id", "message")
+
+
+@query(
+    "stored_log_page_by_day",
+    f"""WITH {sql.LOGS} {_ALL} WHERE level = 'ERROR' AND timestamp < TIMESTAMP '2024-01-20'
+    ORDER BY timestamp DESC, id DESC LIMIT 150 OFFSET 20""",
+)
+def _(spark, sf_dir):
+    before = (_utc(2024, 1, 20), None)
+    page = logs.log_page_by_day(_stored_logs(spark, sf_dir), 150, 20, before=before, level="error")
+    return _log_columns(page)
+
+
+@query(
+    "stored_metric_latest_by_day",
+    f"""WITH {sql.SAMPLES} SELECT {sql.METRIC_COLUMNS} FROM metrics
+    ORDER BY timestamp DESC, id DESC LIMIT 100""",
+)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "stored-metrics")
+    tables.write_metrics(metrics.metric_rows(views.stats_samples(views.read_events(spark, sf_dir))), path)
+    return metrics.metric_latest_by_day(tables.read_metrics(spark, path)).drop(schemas.DAY)
+
+
+@query("stored_stats_samples", f"WITH {sql.SAMPLES} SELECT {sql.METRIC_COLUMNS} FROM metrics")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "stored-samples")
+    views.stats_samples(views.read_events(spark, sf_dir)).write.parquet(path)
+    return metrics.metric_rows(tables.read_stats_samples(spark, path))
+
+
+@query(
+    "stored_containers",
+    f"WITH {sql.CONTAINERS} SELECT id, name, image, status, created FROM containers",
+)
+def _(spark, sf_dir):
+    """The snapshot is published twice; a reader sees the newer version alone."""
+    path = scratch_path(spark, "snapshots")
+    known = views.containers(views.read_events(spark, sf_dir))
+    for version in (known.where("created % 2 = 0"), known):
+        tables.publish_containers(version, path)
+    return tables.read_containers(spark, path).select("id", "name", "image", "status", "created")
+
+
+def _tied(df: DataFrame) -> DataFrame:
+    """Log rows without ids, with whole days as times and few containers, so that many are equal."""
+    return df.withColumns(
+        {
+            "id": F.lit(None).cast("long"),
+            "timestamp": F.date_trunc("day", "timestamp"),
+            "container_id": F.expr("concat('c', id % 3)"),
+            "container_name": F.lit(""),
+            "compose_project": F.lit(""),
+            "metadata": F.lit(""),
+        }
+    )
+
+
+_TIED = f"""WITH {sql.LOGS}, tied AS (
+        SELECT CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS timestamp, 'c' || id % 3 AS container_id, message, level, source
+        FROM logs)"""
+
+
+@query(
+    "log_page_keyset_ties",
+    f"""{_TIED} SELECT * FROM tied
+    ORDER BY timestamp DESC, container_id DESC, message DESC, level DESC, source DESC LIMIT 280""",
+)
+def _(spark, sf_dir):
+    """Four pages, each from the key of the one before, over rows most of which are equal."""
+    rows = _tied(views.logs(views.read_events(spark, sf_dir)))
+    key, pages = logs.FIRST_PAGE, []
+    for _ in range(4):
+        pages.append(logs.log_page(rows, 70, before=key))
+        key = logs.next_key(pages[-1], key)
+    union = pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    return union.select("timestamp", "container_id", "message", "level", "source")
+
+
+@query(
+    "log_page_key_info",
+    f"{_TIED} SELECT count(*) AS total, count(*) > 70 AS has_more, count(*) > 70 AS has_key FROM tied",
+)
+def _(spark, sf_dir):
+    info = logs.page_info_by_key(_tied(views.logs(views.read_events(spark, sf_dir))), 70)
+    return info.selectExpr("total", "has_more", "coalesce(startswith(next_cursor, 'key:'), false) AS has_key")
+
+
+@query(
+    "stack_traces_no_ids",
+    f"""WITH {sql.MARKS}, blocks AS (
+        SELECT *, count(CASE WHEN NOT is_frame THEN 1 END) OVER (
+            PARTITION BY container_id ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS block
+        FROM marks
+    ),
+    traces AS (
+        SELECT container_id, block, count(*) AS lines, min(timestamp) AS first_time, max(timestamp) AS last_time
+        FROM blocks GROUP BY container_id, block HAVING bool_or(is_start AND NOT is_frame)
+    )
+    SELECT container_id, lines, first_time, last_time FROM traces
+    UNION ALL
+    SELECT container_id, 1, first_time, first_time FROM traces""",
+)
+def _(spark, sf_dir):
+    """Every line that announces a trace comes twice, and no line has an id."""
+    df = views.logs(views.read_events(spark, sf_dir))
+    heads = df.where(patterns.matches("message", "stack_start"))
+    rows = df.unionByName(heads).withColumn("id", F.lit(None).cast("long"))
+    return pattern_ops.stack_traces(rows).drop("trace_id")
+
+
+@query(
+    "alert_events_many_rules",
+    f"""WITH {sql.LOGS}, texts AS (SELECT DISTINCT message FROM logs),
+    first AS (
+        SELECT message, max(k) AS k FROM texts, range(10000) AS r(k)
+        WHERE contains(message, CAST(k AS VARCHAR)) GROUP BY message
+    )
+    SELECT id AS log_id, 'rule-' || k AS alert_id, timestamp,
+           'Pattern ''' || k || ''' detected in container ' || container_id AS message, container_id
+    FROM logs JOIN first USING (message)""",
+)
+def _(spark, sf_dir):
+    """10,000 rules, one for each number from 9,999 down; the largest number in a line fires."""
+    rules = [alerts.AlertRule(f"rule-{k}", "", alerts.PATTERN, str(k)) for k in reversed(range(10_000))]
+    return alerts.alert_events(views.logs(views.read_events(spark, sf_dir)), rules)
+
+
+@query(
+    "stream_alerts_changed_rules",
+    f"""WITH {sql.LOGS}
+    SELECT id AS log_id, 'started' AS alert_id, 1 AS rules_version FROM logs
+    WHERE timestamp < TIMESTAMP '2024-01-11' AND contains(message, 'ERROR')
+    UNION ALL
+    SELECT id, CASE WHEN contains(message, 'ERROR') THEN 'started' ELSE 'added' END, 2 FROM logs
+    WHERE timestamp >= TIMESTAMP '2024-01-11' AND (contains(message, 'ERROR') OR contains(message, 'port'))""",
+)
+def _(spark, sf_dir):
+    """A rule that is added between two batches fires in the second, with the version that holds it."""
+    landed, path, folder, checkpoint = (
+        scratch_path(spark, n) for n in ("landed", "stream-alerts", "rules", "checkpoint")
+    )
+    rows = _log_columns(views.logs(views.read_events(spark, sf_dir)))
+    border = F.lit(_utc(2024, 1, 11))
+    added = {"started": "ERROR", "added": "port"}
+    for part, name in ((F.col("timestamp") < border, "started"), (F.col("timestamp") >= border, "added")):
+        rule = alerts.AlertRule(name, name, alerts.PATTERN, added[name])
+        stored_rules.change_rules(spark, folder, lambda rules, rule=rule: alerts.add_rule(rules, rule))
+        rows.where(part).coalesce(1).write.mode("append").parquet(landed)
+        jobs.raise_alerts(
+            tables.stream_rows(spark, landed, schemas.LOGS),
+            lambda session: stored_rules.read_rules(session, folder),
+            path,
+            checkpoint,
+            _ONCE,
+        ).awaitTermination()
+    return tables.read_alert_events(spark, path).select("log_id", "alert_id", "rules_version")
