@@ -27,19 +27,20 @@ def _first_word(line: str) -> str:
     return f"substring_index({line}, ' ', 1)"
 
 
-def _is_timed(line: str) -> str:
+def is_timed(line: str) -> str:
+    """Whether a line starts with its time and a space."""
     return f"(contains({line}, ' ') AND {_first_word(line)} RLIKE r'{_TIME}')"
 
 
-def line_time(line: str) -> str:
-    """The event time a line starts with, or null."""
-    return f"CASE WHEN {_is_timed(line)} THEN try_to_timestamp({_first_word(line)}) END"
+def line_time(line: str, timed: str | None = None) -> str:
+    """The event time a line starts with, or null; ``timed`` is what :func:`is_timed` said of it."""
+    return f"CASE WHEN {timed or is_timed(line)} THEN try_to_timestamp({_first_word(line)}) END"
 
 
-def line_text(line: str) -> str:
+def line_text(line: str, timed: str | None = None) -> str:
     """The line without its time prefix."""
     rest = f"substring({line}, length({_first_word(line)}) + 2)"
-    return f"CASE WHEN {_is_timed(line)} THEN {rest} ELSE {line} END"
+    return f"CASE WHEN {timed or is_timed(line)} THEN {rest} ELSE {line} END"
 
 
 def instant(text: str) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweir import schemas
 from logweir.functions import json_lines, levels
-from logweir.functions.clock import line_text, line_time, to_millis
+from logweir.functions.clock import is_timed, line_text, line_time, to_millis
 from logweir.operators.logs import enrich
 
 
@@ -18,12 +18,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     or plain line is its own message, and ``bad_record`` keeps a broken one. The time prefix of a
     line counts before the time it names; ``event_time`` is null if it has neither.
     """
-    texts = lines.selectExpr(
+    texts = lines.selectExpr("id", "container_id", "line", f"{is_timed('line')} AS timed").selectExpr(
         "id",
         "container_id",
         "line",
-        f"{line_time('line')} AS prefix_time",
-        f"{line_text('line')} AS text",
+        f"{line_time('line', 'timed')} AS prefix_time",
+        f"{line_text('line', 'timed')} AS text",
     )
     known = texts.selectExpr("*", f"{json_lines.fields('text')} AS found")
     known = known.selectExpr("*", f"{json_lines.line_format('text', 'found')} AS format")
@@ -71,7 +71,7 @@ def unique_lines(history: DataFrame, live: DataFrame) -> DataFrame:
     its own copies before the shuffle.
     """
     both = history.unionByName(live)
-    timed = F.expr(f"{line_time('line')} IS NOT NULL")
+    timed = F.expr(is_timed("line"))
     copies = Window.partitionBy("container_id", "line").orderBy("id")
     once = both.where(timed).withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
     return once.drop("_copy").unionByName(both.where(~timed))

@@ -35,7 +35,7 @@ logs AS (
   FROM lines
 )"""
 
-# Every pattern as a truth value per log row.
+# Every pattern as a truth value per log row.
 MARKS = (
     LOGS
     + r""",

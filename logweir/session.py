@@ -68,3 +68,16 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Dat
     width = " + ".join(_width(field) for field in df.schema.fields)
     measured = df.agg(F.expr(f"coalesce(sum({width}), 0L)")).first()[0]
     return F.broadcast(df) if measured <= limit_bytes else df
+
+
+# Bytes of input that one task of a shuffle should get.
+TASK_BYTES = 128 << 20
+
+
+def task_count(df: DataFrame) -> int | None:
+    """Tasks that the bytes of ``df``'s files need, if more than the session's setting; else None."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # what Spark reports of data it knows nothing about
+        return None
+    wanted = -(-size // TASK_BYTES)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None

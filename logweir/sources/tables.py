@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from logweir import schemas
 from logweir.functions.clock import day_key
+from logweir.session import task_count
 from logweir.sources import sealed, versions
 
 # Fixed value: days that rows are kept.
@@ -104,13 +105,13 @@ def _clustered(df: DataFrame) -> DataFrame:
 
     Ranges are cut from a sample of the data, and time is part of the key, so a container
     that writes a third of all lines is spread over many tasks and files. Files then hold
-    few containers each, and their min/max statistics skip the others.
+    few containers each, and their min/max statistics skip the others. Large inputs get as
+    many ranges as their bytes need, whatever the session's number of shuffle partitions.
     """
-    return (
-        df.withColumn(schemas.DAY, F.expr(day_key("timestamp")))
-        .repartitionByRange(schemas.DAY, "container_id", "timestamp")
-        .sortWithinPartitions(schemas.DAY, "container_id", "timestamp")
-    )
+    keys = [schemas.DAY, "container_id", "timestamp"]
+    dated, count = df.withColumn(schemas.DAY, F.expr(day_key("timestamp"))), task_count(df)
+    ranged = dated.repartitionByRange(count, *keys) if count else dated.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def _append(df: DataFrame, path: str) -> None:

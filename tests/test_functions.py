@@ -26,10 +26,10 @@ def test_normalize_source(values):
 
 # message: by substring, by word
 LEVEL_CASES = {
-    "ERROR: something failed": ("ERROR", "ERROR"),
+    "ERROR: lease renewal refused": ("ERROR", "ERROR"),
     "WARNING: disk quota nearly reached": ("WARN", "WARN"),
     "DEBUG: cache warmed in 41 ms": ("DEBUG", "DEBUG"),
-    "Server started on port 8080": ("INFO", "INFO"),
+    "Scheduler ready, 12 queues": ("INFO", "INFO"),
     "Exception in thread worker-7": ("INFO", "ERROR"),
     "Traceback (most recent call last)": ("DEBUG", "ERROR"),
     "retry succeeded, terror averted": ("ERROR", "INFO"),
@@ -75,7 +75,7 @@ def test_tags_and_types(values):
         "Exception in thread worker-7\n\tat org.sample.Worker.run(Worker.java:42)": (
             ["error", "stack_trace"], ["StackTrace"],
         ),
-        "HTTP/1.1 500 Internal Server Error": (["error", "http_error"], ["HttpError"]),
+        "HTTP/1.1 503 backend draining": (["error", "http_error"], ["HttpError"]),
         "HTTP/2 404": (["http_error"], ["HttpError"]),
         "HTTP/1.1 302 Found": ([], []),
         "http/1.1 500": ([], []),

@@ -67,7 +67,7 @@ def test_encode_decode(spark):
 
 def test_validation():
     logs.validate_query(100, "abc-123_x", "Error")
-    for bad in [dict(limit=50_000), dict(container_id="abc; DROP TABLE"), dict(level="loud")]:
+    for bad in [dict(limit=50_000), dict(container_id="c1 or true"), dict(level="loud")]:
         with pytest.raises(ValueError):
             logs.validate_query(**bad)
 
