@@ -99,7 +99,7 @@ def stored(spark) -> dict:
     def ingest():
         jobs.ingest_logs(
             tables.stream_rows(spark, landed, schemas.RAW_LINES, files_per_batch=FILES // 4),
-            lambda session: tables.read_containers(session, snapshot),
+            lambda session: tables.read_attributes(session, snapshot),
             path,
             scratch_path(spark, "checkpoint"),
             {"availableNow": True},

@@ -12,6 +12,7 @@ from logweir import schemas
 from logweir.functions import levels
 from logweir.functions.clock import to_millis
 from logweir.functions.container import COMPOSE_FILE, is_collected, stack_of
+from logweir.operators.attributes import Attributes, container_attributes
 from logweir.session import broadcast_if_small
 from logweir.sources.tables import in_range, newest_days
 
@@ -428,23 +429,16 @@ def stack_levels(logs: DataFrame) -> DataFrame:
 # Enrichment, tails, merging -------------------------------------------------------------
 
 
-def enrich(lines: DataFrame, containers: DataFrame) -> DataFrame:
+def enrich(lines: DataFrame, containers: DataFrame | Attributes) -> DataFrame:
     """Lines with their container's name and stack: the id and '' where unknown.
 
-    Of a container listed more than once the newest listing counts, by ``listed_at`` where the
-    snapshot has it, so that no line is multiplied.
+    A snapshot is reduced and measured here; attributes that were stored with it were so once.
     """
-    listed = "listed_at" if "listed_at" in containers.columns else "CAST(null AS timestamp)"
-    attributes = (
-        containers.selectExpr(
-            "id AS container_id",
-            f"struct({listed} AS at, name AS _name, {stack_of('labels')} AS _stack) AS listing",
-        )
-        .groupBy("container_id")
-        .agg(F.max("listing").alias("listing"))
-        .selectExpr("container_id", "listing._name", "listing._stack")
-    )
-    return lines.join(broadcast_if_small(attributes), "container_id", "left").selectExpr(
+    if isinstance(containers, Attributes):
+        attributes = F.broadcast(containers.rows) if containers.small else containers.rows
+    else:
+        attributes = broadcast_if_small(container_attributes(containers))
+    return lines.join(attributes, "container_id", "left").selectExpr(
         *lines.columns,
         "coalesce(_name, container_id) AS container_name",
         "coalesce(_stack, '') AS compose_project",

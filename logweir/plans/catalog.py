@@ -1270,6 +1270,52 @@ def _(spark, sf_dir):
     return tables.read_containers(spark, path).select("id", "name", "image", "status", "created")
 
 
+@query(
+    "stored_listing",
+    f"WITH {sql.CONTAINERS} SELECT count(*) AS listed, sum(CAST(substr(id, 2) AS BIGINT)) AS users FROM containers",
+)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "listing")
+    views.container_listing(views.read_events(spark, sf_dir)).write.parquet(path)
+    listed = containers.project_listing(tables.read_container_listing(spark, path))
+    return listed.agg(F.count("*").alias("listed"), F.expr("sum(bigint(substring(id, 2))) AS users"))
+
+
+@query("stream_ingest_published", f"WITH {sql.LOGS}, {sql.CONTAINERS} {_ENRICHED}")
+def _(spark, sf_dir):
+    """Several batches, each of which pins the newest published snapshot and what was measured with it."""
+    landed, snapshot, path = (scratch_path(spark, n) for n in ("landed", "snapshot", "stream-logs"))
+    events = views.read_events(spark, sf_dir)
+    views.raw_lines(events).repartition(3).write.parquet(landed)
+    for _ in range(2):
+        tables.publish_containers(_known_containers(events), snapshot)
+    jobs.ingest_logs(
+        tables.stream_rows(spark, landed, schemas.RAW_LINES, files_per_batch=1),
+        lambda session: tables.read_attributes(session, snapshot),
+        path,
+        scratch_path(spark, "checkpoint"),
+        _ONCE,
+    ).awaitTermination()
+    return _log_columns(tables.read_logs(spark, path))
+
+
+@query(
+    "compose_files_scan",
+    f"WITH {sql.COMPOSE} SELECT count(*) AS files, sum(len(kinds)) AS services FROM projects",
+)
+def _(spark, sf_dir):
+    """Compose files as text files, one in each project's folder, found and read by executors."""
+    path = scratch_path(spark, "compose")
+    found = views.compose_files(views.read_events(spark, sf_dir))
+    own = found.where("path RLIKE '/app-[0-9]+/docker-compose.yml$'")
+    projects = own.selectExpr("content AS value", "regexp_extract(path, '(app-[0-9]+)/', 1) AS project")
+    projects.repartition("project").write.partitionBy("project").option("maxRecordsPerFile", 1).text(path)
+    files = tables.read_compose_files(spark, [path], names="part-*.txt")
+    files = files.withColumn("path", F.regexp_replace("path", "part-[^/]*$", "docker-compose.yml"))
+    found = stacks.compose_stacks(files)
+    return found.agg(F.count("*").alias("files"), F.expr("sum(bigint(size(containers))) AS services"))
+
+
 def _tied(df: DataFrame) -> DataFrame:
     """Log rows without ids, with whole days as times and few containers, so that many are equal."""
     return df.withColumns(

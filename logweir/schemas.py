@@ -78,6 +78,15 @@ CONTAINERS = T.StructType(
     ]
 )
 
+# What log lines take from a snapshot.
+ATTRIBUTES = T.StructType(
+    [
+        T.StructField("container_id", T.StringType()),
+        T.StructField("_name", T.StringType()),
+        T.StructField("_stack", T.StringType()),
+    ]
+)
+
 # One container as its daemon lists it; every field but the id may be missing.
 CONTAINER_LISTING = T.StructType(
     [

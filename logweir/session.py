@@ -59,15 +59,19 @@ def _width(field: T.StructField) -> str:
     return "16L"
 
 
+def measured(df: DataFrame) -> int:
+    """Bytes of the raw values of ``df``, by a job over it."""
+    width = " + ".join(_width(field) for field in df.schema.fields)
+    return df.agg(F.expr(f"coalesce(sum({width}), 0L)")).first()[0]
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast once a job over it has measured that it fits.
 
     A larger ``df`` comes back as it is; Spark then joins by shuffle, and adaptive
     execution splits the partitions of hot keys.
     """
-    width = " + ".join(_width(field) for field in df.schema.fields)
-    measured = df.agg(F.expr(f"coalesce(sum({width}), 0L)")).first()[0]
-    return F.broadcast(df) if measured <= limit_bytes else df
+    return F.broadcast(df) if measured(df) <= limit_bytes else df
 
 
 # Bytes of input that one task of a shuffle should get.

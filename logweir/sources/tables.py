@@ -1,6 +1,7 @@
 """Stored log and metric tables: Parquet by day, clustered by container and time."""
 
 import datetime as dt
+import json
 import re
 import uuid
 
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from logweir import schemas
 from logweir.functions.clock import day_key
-from logweir.session import task_count
+from logweir.operators.attributes import Attributes, container_attributes
+from logweir.session import BROADCAST_BYTES, measured, task_count
 from logweir.sources import sealed, versions
 
 # Fixed value: days that rows are kept.
@@ -42,8 +44,19 @@ def _read_days(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     """The container snapshot: its newest whole version, or the files of a plain folder."""
-    _, folder = versions.latest(spark, f"{path}/_versions")
-    return spark.read.schema(schemas.CONTAINERS).parquet(f"{path}/{folder}" if folder else path)
+    _, text = versions.latest(spark, f"{path}/_versions")
+    folder = f"{path}/{json.loads(text)['folder']}/containers" if text else path
+    return spark.read.schema(schemas.CONTAINERS).parquet(folder)
+
+
+def read_attributes(spark: SparkSession, path: str) -> Attributes:
+    """The attributes of the newest whole version, measured when it was published."""
+    _, text = versions.latest(spark, f"{path}/_versions")
+    if text is None:
+        raise FileNotFoundError(f"no published snapshot in {path}")
+    version = json.loads(text)
+    rows = spark.read.schema(schemas.ATTRIBUTES).parquet(f"{path}/{version['folder']}/attributes")
+    return Attributes(rows, version["bytes"] <= BROADCAST_BYTES)
 
 
 # Versions of a snapshot that stay readable for those that pinned them.
@@ -53,18 +66,23 @@ SNAPSHOTS_KEPT = 10
 def publish_containers(containers: DataFrame, path: str, kept: int = SNAPSHOTS_KEPT) -> int:
     """Write a snapshot beside the older ones and point readers to it once it is whole.
 
-    A reader pins the version that was newest when it began. All but the ``kept`` newest are
-    deleted. Returns the version's number.
+    With it go the attributes that lines take, reduced and measured once. A reader pins the version
+    that was newest when it began. All but the ``kept`` newest are deleted. Returns the number.
     """
     spark = containers.sparkSession
     folder = f"snapshot-{uuid.uuid4().hex}"
-    containers.select(*schemas.CONTAINERS.fieldNames()).write.parquet(f"{path}/{folder}")
+    written = f"{path}/{folder}/attributes"
+    containers.write.parquet(f"{path}/{folder}/containers")
+    whole = spark.read.schema(containers.schema).parquet(f"{path}/{folder}/containers")
+    container_attributes(whole).write.parquet(written)
+    size = measured(spark.read.schema(schemas.ATTRIBUTES).parquet(written))
+    text = json.dumps({"folder": folder, "bytes": size})
     pointers = f"{path}/_versions"
     number = versions.latest(spark, pointers)[0] + 1
-    while not versions.publish(spark, pointers, number, folder):
+    while not versions.publish(spark, pointers, number, text):
         number = versions.latest(spark, pointers)[0] + 1
     for old in versions.numbers(spark, pointers)[:-kept]:
-        versions.delete(spark, f"{path}/{versions.read(spark, pointers, old)}")
+        versions.delete(spark, f"{path}/{json.loads(versions.read(spark, pointers, old))['folder']}")
         versions.forget(spark, pointers, old)
     return number
 
@@ -87,13 +105,17 @@ def stream_rows(
     return reader.parquet(path)
 
 
-def read_compose_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+# Names of compose files.
+COMPOSE_NAMES = "docker-compose.{yml,yaml}"
+
+
+def read_compose_files(spark: SparkSession, roots: list[str], names: str = COMPOSE_NAMES) -> DataFrame:
     """Every compose file below ``roots`` as (path, content), found and read by executors."""
     files = spark.read.text(
         roots,
         wholetext=True,
         recursiveFileLookup=True,
-        pathGlobFilter="docker-compose.{yml,yaml}",
+        pathGlobFilter=names,
     )
     # File paths come percent-encoded, except for the plus sign.
     encoded = "replace(regexp_replace(_metadata.file_path, '^file:/+', '/'), '+', '%2B')"

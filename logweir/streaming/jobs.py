@@ -56,7 +56,7 @@ def _append_batches(
 
 def ingest_logs(
     lines: DataFrame,
-    containers: Callable[[SparkSession], DataFrame],
+    containers: Callable[[SparkSession], DataFrame | logs.Attributes],
     path: str,
     checkpoint: str,
     trigger=LOG_TRIGGER,
@@ -65,7 +65,8 @@ def ingest_logs(
 
     ``containers`` reads the container snapshot. It is called, and its result measured, for
     every batch, so containers that were listed after the start are known. A snapshot that
-    :func:`logweir.sources.tables.publish_containers` writes may be replaced at any time.
+    :func:`logweir.sources.tables.publish_containers` writes may be replaced at any time, and
+    :func:`logweir.sources.tables.read_attributes` reads what was measured with it.
     """
     return _append_batches(
         lines,

@@ -212,6 +212,11 @@ def test_snapshot_is_replaced_while_it_is_read(spark, tmp_path):
     for n in range(3):
         assert tables.publish_containers(known, path) == n + 2
     assert pinned.count() == 1 and tables.read_containers(spark, path).count() == len(SNAPSHOT)
+    lines = spark.createDataFrame([("c1",), ("zz",)], "container_id string")
+    stored = tables.read_attributes(spark, path)
+    assert stored.small and logs.enrich(lines, stored).collect() == logs.enrich(lines, known).collect()
+    shuffled = logs.enrich(lines, logs.Attributes(stored.rows, False))
+    assert sorted(shuffled.collect()) == sorted(logs.enrich(lines, known).collect())
     tables.publish_containers(known, path, kept=2)
     assert len(versions.numbers(spark, f"{path}/_versions")) == 2
     assert len(versions.listed(spark, f"{path}/snapshot-*")) == 2
