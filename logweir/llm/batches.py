@@ -52,17 +52,47 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+# A polynomial modulo 2^64 takes the same value for some different texts whatever its base, as for
+# a, b and the texts that doubling makes of them; one modulo a prime does not.
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 1_187_654_321
+
+_prime_powers: dict[int, np.ndarray] = {}
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo the prime."""
+    have = _prime_powers.get(base)
+    if have is None or len(have) < n:
+        size, have = max(n, SLICE_BYTES + 2), np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate((have, have * _U(pow(base, len(have), _PRIME)) % _U(_PRIME)))
+        have = _prime_powers[base] = have[:size].astype(np.uint32)
+    return have[:n]
+
+
 class Rolling:
-    """Fingerprints of any ranges of a sequence of 64-bit values."""
+    """Fingerprints of any ranges of a sequence of 64-bit values that are mixed.
+
+    Two polynomials, one modulo 2^64 and one modulo a prime, are mixed into one.
+    """
 
     def __init__(self, values: np.ndarray, base: int = _WORD_BASE):
-        self.back = powers(_inverse(base), len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(base, len(values)), out=self.sums[1:])
+        n = len(values)
+        self.back = powers(_inverse(base), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers(base, n), out=self.sums[1:])
+        self.prime_back = prime_powers(pow(_PRIME_BASE, -1, _PRIME), n + 1)
+        self.prime_sums = np.zeros(n + 1, np.uint64)
+        small = (values >> _U(33)) * prime_powers(_PRIME_BASE, n)
+        small %= _U(_PRIME)
+        np.cumsum(small, out=self.prime_sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         span = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(span + (ends - starts).astype(np.uint64) * _U(_BASE))
+        other = (self.prime_sums[ends] - self.prime_sums[starts]) % _U(_PRIME)
+        other = other * self.prime_back[starts] % _U(_PRIME)
+        return mix(mix(span + (ends - starts).astype(np.uint64) * _U(_BASE)) ^ other)
 
 
 def slices(batches, column: str = "text", most: int = SLICE_BYTES):

@@ -295,15 +295,19 @@ def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
 
 
 def _families(described: DataFrame, tasks: int) -> DataFrame:
-    """(one, family): sets strung together by groups they share; sets that share none are left out."""
+    """(one, family): sets strung together by groups they share; sets that share none are left out.
+
+    A set goes by the number of a row that has it, which takes less room in a shuffle than its
+    fingerprint; a set that several tasks described has as many numbers and is tied to itself.
+    """
 
     def stars(parts):
-        """Rows come sorted by name and set: each set is tied to the first of its group."""
+        """Rows come sorted by name and row number: each set is tied to the first of its group."""
         name = least = None
         for part in parts:
             if not part.num_rows:
                 continue
-            names, ones = part.column("name").to_numpy(), part.column("one").to_numpy()
+            names, ones = part.column("name").to_numpy(), part.column("doc").to_numpy()
             starts = np.concatenate(([True], np.diff(names) != 0))
             first = ones[np.maximum.accumulate(np.where(starts, np.arange(len(ones)), 0))].copy()
             if names[0] == name:
@@ -312,27 +316,26 @@ def _families(described: DataFrame, tasks: int) -> DataFrame:
             keep = first != ones
             yield pa.RecordBatch.from_pydict({"a": ones[keep], "b": first[keep]})
 
-    # One row per set and group: a large family is spread over its many groups. Copies of a set that
-    # tasks described apart count once.
+    # One row per set and group: a large family is spread over its many groups.
     shared = (
         described.where("classes is not null")
-        .select("one", F.posexplode("classes").alias("class", "c"))
-        .select("one", "class", "c.spare", F.explode("c.names").alias("name"))
+        .select("doc", F.posexplode("classes").alias("class", "c"))
+        .select("doc", "class", "c.spare", F.explode(F.array_distinct("c.names")).alias("name"))
         .repartition(tasks, "name")
-        .dropDuplicates(["one", "name"])
         .withColumn("holders", F.count("*").over(Window.partitionBy("name")))
         .where("holders > 1")
     )
     # A name held once ties nothing and is rarer than all others, so only shared names are ranked.
-    frequent_first = Window.partitionBy("one", "class").orderBy(F.desc("holders"), "name")
+    frequent_first = Window.partitionBy("doc", "class").orderBy(F.desc("holders"), "name")
     kept = shared.withColumn("place", F.row_number().over(frequent_first)).where("place > spare")
     edges = (
-        kept.select("one", "name")
+        kept.select("doc", "name")
         .repartition(tasks, "name")
-        .sortWithinPartitions("name", "one")
+        .sortWithinPartitions("name", "doc")
         .mapInArrow(stars, "a long, b long")
     )
-    return components(edges).selectExpr("node AS one", "component AS family")
+    strung = components(edges).selectExpr("node AS doc", "component AS family")
+    return described.select("doc", "one").join(strung, "doc").select("one", "family").distinct()
 
 
 def _links(docs: DataFrame, chosen: DataFrame, size: int, share: Fraction, count: bool) -> DataFrame:
@@ -451,11 +454,23 @@ def near_copies(
         ),
         "rows",
     )
+    out = near_rows(plain, size, share, links, partitions(docs)).drop("doc", "group")
+    return out if links else out.drop("n_links")
+
+
+def near_rows(
+    plain: DataFrame, size: int, share: Fraction, links: bool = False, tasks: int | None = None
+) -> DataFrame:
+    """:func:`near_copies` of written rows (doc, doc_id, text) that are numbered by ``doc``.
+
+    Returns (doc, doc_id, n_shingles, component_id, n_links, group): ``group`` is a number that rows
+    linked with one another share and no other row has.
+    """
     described = written(_described(plain, size, share), "sets")
     whole = described.where("n > 0").groupBy("one", "two").agg(
         F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")
     )
-    families = _families(described, partitions(docs))
+    families = _families(described, tasks or partitions(plain))
     chosen = whole.join(families, "one").select("doc", "family", "n", "copies")
     linking = written(_links(plain, written(chosen, "family-documents"), size, share, links), "links")
     edges = linking.where("b is not null").select("a", "b")
@@ -471,17 +486,19 @@ def near_copies(
     classes = whole.join(named, "doc", "left").select(
         "one",
         "two",
+        F.coalesce("component", "doc").alias("group"),
         F.coalesce("smallest", "least").alias("component_id"),
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     linked = described.where("n > 0").join(classes, ["one", "two"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
+        "doc", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "group"
     )
     alone = described.where("n = 0").select(
+        "doc",
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.col("doc_id").alias("component_id"),
         F.lit(0).cast("long").alias("n_links"),
+        F.col("doc").alias("group"),
     )
-    out = linked.unionByName(alone)
-    return out if links else out.drop("n_links")
+    return linked.unionByName(alone)

@@ -579,3 +579,37 @@ def test_plan_holds_the_histogram(kind):
     rest[256] = 0
     bound = packing.fractional(rest)[1] + histogram[256]
     assert sum(n for _, n in plan) <= bound * 1.03 + 2
+
+
+def doubled(a, b, times):
+    """Two texts made of a and b by doubling, which a polynomial modulo 2^64 cannot tell apart."""
+    for _ in range(times):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_doubled_texts_are_told_apart(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = doubled("a", "b", 12)
+    w = batches.words(pa.array([one, two, " ".join(one), " ".join(two)]))
+    assert w.names[0] != w.names[1]
+    rolling, n = batches.Rolling(w.names), len(one)
+    starts = np.array([2, 2 + n])
+    assert len(set(rolling.of(starts, starts + n).tolist())) == 2
+    texts = [one, two, f"x {one} y", f"x {two} y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    folder = scratch_path(spark, "doubled")
+    path = catalog.tokenizer("byte_bpe_50k.json")
+    token_files.write(docs, folder, path, 2)
+    got = rows_of(token_files.digests(token_files.documents(spark, folder), token_files.width_of(spark, folder)), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert got == brute.token_files(list(enumerate(texts)), Tokenizer.from_file(path), 2)
+    path = catalog.tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    counted = rows_of(token_counts.token_counts(docs, path, 4_096), "doc_id", "n_tokens")
+    assert counted == [(n, len(library.encode(t))) for n, t in enumerate(texts)]
+    assert {r.component_id for r in jaccard.near_copies(docs, 3, Fraction(9, 10)).collect()} == {0, 1, 2, 3}
+    long = [" ".join([f"w{n}" for n in range(20)] + [t] + [f"v{n}" for n in range(20)]) for t in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert [r.n_removed for r in repeated_passages.without_repeats(docs, 35).collect()] == [0, 0]

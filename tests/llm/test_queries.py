@@ -1,5 +1,7 @@
 """Registered queries: whole tables against plain versions, and the pipeline's stages."""
 
+import random
+
 import pyarrow.parquet as pq
 import pytest
 
@@ -115,3 +117,45 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     got = catalog.pipeline(spark, SMALL)
     assert got.columns[:2] == ["doc_id", "piece"] and got.count() > 100
+
+
+def odd_rows(spark):
+    """Null and repeated ids, equal and near texts among them, and columns named like helpers."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice(["river", "stone", "green", "letter", "window"]) + str(rng.randrange(30)) for _ in range(n))
+    base, item = words(80), pq.read_table(f"{SMALL}/benchmark.parquet")["text"][2].as_py()
+    rows = [(7, "alone here"), (7, "shared text"), (8, "Shared text"), (None, "copy without id"), (None, "copy without id")]
+    rows += [(9, base), (9, base + " more"), (None, base + " again"), (3, words(60)), (3, words(60)), (None, f"{words(9)} {item}"), (None, None), (4, None), (5, "")]
+    rows = [(d, t, "en", "s", 0, True, "x", 1.0, n, n, "g") for n, (d, t) in enumerate(rows)]
+    schema = (
+        "doc_id long, text string, lang string, source string, n_chars long, rejected boolean, "
+        "lang_pred string, score double, row long, document long, `group` string"
+    )
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_pipeline_stages_tell_rows_apart(spark):
+    docs, steps = odd_rows(spark), dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        out = steps[name](spark, docs, SMALL)
+        assert out.columns == docs.columns
+        return {r.row for r in out.collect()}
+
+    # All texts with letters but one, whose words the others do not have.
+    assert run("language_id") == set(range(1, 11))
+    kept = run("exact_dedup")
+    # 1 and 2 are equal and 8 is the largest id; one of 3 and 4 stays; of the empty ones that of id 5
+    assert kept - {3, 4} == {0, 2, 5, 6, 7, 8, 9, 10, 13} and len(kept & {3, 4}) == 1
+    kept = run("near_dedup")
+    assert kept - {3, 4, 5, 6} == {0, 1, 8, 9, 10, 11, 12, 13}
+    assert len(kept & {3, 4}) == 1 and len(kept & {5, 6}) == 1
+    assert run("decontamination") == set(range(14)) - {10}
+    packed = steps["packing"](spark, docs, SMALL)
+    assert packed.count() >= 14
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    docs = odd_rows(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).collect() == [], name
