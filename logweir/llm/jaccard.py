@@ -257,10 +257,12 @@ def counted(sets_one, copies_one, sets_two, copies_two, share: Fraction):
     return n_one, n_two, edges
 
 
-def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
+def _described(docs: DataFrame, size: int, share: Fraction, groups: bool) -> DataFrame:
     """(doc, doc_id, n, one, two, classes): the size of each document's set, its fingerprints and its groups.
 
-    A task gives the groups of a set once, however often the set occurs.
+    Classes are null without ``groups``; they take more room than the texts, so they are made where
+    they are shuffled and never stored. A task gives the groups of a set once, however often the
+    set occurs.
     """
     shape = pa.list_(pa.struct([("spare", pa.int64()), ("names", pa.list_(pa.int64()))]))
 
@@ -272,7 +274,7 @@ def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
             ids = [identity(s) for s in sets]
             found = []
             for own, one in zip(sets, ids):
-                new = len(own) > 0 and one not in seen
+                new = groups and len(own) > 0 and one not in seen
                 seen.add(one)
                 found.append(
                     [{"spare": n, "names": batches.signed(x)} for n, x in signatures(own, classes)] if new else None
@@ -294,7 +296,7 @@ def _described(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
     )
 
 
-def _families(described: DataFrame, tasks: int) -> DataFrame:
+def _families(grouped: DataFrame, described: DataFrame, tasks: int) -> DataFrame:
     """(one, family): sets strung together by groups they share; sets that share none are left out.
 
     A set goes by the number of a row that has it, which takes less room in a shuffle than its
@@ -318,7 +320,7 @@ def _families(described: DataFrame, tasks: int) -> DataFrame:
 
     # One row per set and group: a large family is spread over its many groups.
     shared = (
-        described.where("classes is not null")
+        grouped.where("classes is not null")
         .select("doc", F.posexplode("classes").alias("class", "c"))
         .select("doc", "class", "c.spare", F.explode(F.array_distinct("c.names")).alias("name"))
         .repartition(tasks, "name")
@@ -466,11 +468,11 @@ def near_rows(
     Returns (doc, doc_id, n_shingles, component_id, n_links, group): ``group`` is a number that rows
     linked with one another share and no other row has.
     """
-    described = written(_described(plain, size, share), "sets")
+    described = written(_described(plain, size, share, False).drop("classes"), "sets")
     whole = described.where("n > 0").groupBy("one", "two").agg(
         F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")
     )
-    families = _families(described, tasks or partitions(plain))
+    families = _families(_described(plain, size, share, True), described, tasks or partitions(plain))
     chosen = whole.join(families, "one").select("doc", "family", "n", "copies")
     linking = written(_links(plain, written(chosen, "family-documents"), size, share, links), "links")
     edges = linking.where("b is not null").select("a", "b")

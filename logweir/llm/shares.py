@@ -1,11 +1,13 @@
 """Partition counts by bytes, scratch tables and bounded samples."""
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.session import scratch_path
+from logweir.sources.versions import delete
 
 TASK_BYTES = 32 << 20
 
@@ -21,10 +23,28 @@ def partitions(df: DataFrame, factor: float = 1.0) -> int:
     return max(least, min(wanted, 200_000))
 
 
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are written inside go when it ends; nothing may read them from then on."""
+    paths: list[str] = []
+    _temporary.append(paths)
+    try:
+        yield
+    finally:
+        _temporary.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder, so that nothing is computed twice."""
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
+    if _temporary:
+        _temporary[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
