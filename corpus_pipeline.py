@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import catalog, decontaminate, exact_copies, jaccard, language_id, packing
-from logweir.llm.shares import partitions, written
+from logweir.llm.shares import partitions, temporary, written
 from logweir.session import scratch_path
 
 # Words a shingle and similarity from which two documents are near copies.
@@ -27,6 +27,13 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("document")), name)
 
 
+def _gone(all_rows: DataFrame, stays: DataFrame) -> str:
+    """Path of a table of the numbers that do not stay; it outlives what it was made from."""
+    path = scratch_path(all_rows.sparkSession, "gone")
+    all_rows.join(stays, "row", "left_anti").write.parquet(path)
+    return path
+
+
 def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The documents of ``rows`` whose number is not among ``gone`` (row)."""
     left = rows.join(gone, "row", "left_anti")
@@ -54,12 +61,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     table gives no rows.
     """
     rows = _numbered(docs, "exact-rows")
-    named = exact_copies.identities(
-        rows.select(F.struct(F.col("document.doc_id").alias("id"), "row").alias("doc"), F.col("document.text").alias("text"))
-    )
-    stays = named.groupBy("level", "name").agg(F.max("doc").alias("doc"))
-    gone = named.select("doc.row").join(stays.select("doc.row"), "row", "left_anti")
-    return _without(rows, gone, docs.columns)
+    numbers = F.struct(F.col("document.doc_id").alias("id"), "row")
+    with temporary(spark):
+        named = exact_copies.identities(rows.select(numbers.alias("doc"), F.col("document.text").alias("text")))
+        stays = named.groupBy("level", "name").agg(F.max("doc").alias("doc"))
+        gone = _gone(named.select("doc.row"), stays.select("doc.row"))
+    return _without(rows, spark.read.parquet(gone), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +77,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = _numbered(docs, "near-rows")
     plain = rows.select(F.col("row").alias("doc"), F.col("document.doc_id").cast("long").alias("doc_id"), F.col("document.text").alias("text"))
-    found = jaccard.near_rows(plain, SHINGLE, SIMILARITY, tasks=partitions(docs))
-    found = written(found.select(F.col("doc").alias("row"), "doc_id", "group"), "near-groups")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    stays = found.groupBy("group").agg(F.min_by("row", first).alias("row"))
-    return _without(rows, found.select("row").join(stays.select("row"), "row", "left_anti"), docs.columns)
+    with temporary(spark):
+        found = jaccard.near_rows(plain, SHINGLE, SIMILARITY, tasks=partitions(docs))
+        found = written(found.select(F.col("doc").alias("row"), "doc_id", "group"), "near-groups")
+        first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        stays = found.groupBy("group").agg(F.min_by("row", first).alias("row"))
+        gone = _gone(found.select("row"), stays.select("row"))
+    return _without(rows, spark.read.parquet(gone), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
