@@ -5,10 +5,12 @@ and the bits of the byte decided so far. Every node holds a Krichevsky-Trofimov
 context-tree weighting mixes the estimates over all depths with the weights that the counts of
 the training documents give.
 
-Contexts of up to two bytes are a table that workers hold. Deeper ones grow with the corpus: runs of
-``depth + 1`` bytes are counted by task and dealt by the three bytes nearest to the last, so a bucket
-holds whole subtrees. A bucket weighs its subtrees from the leaves up and passes on the sums for two bytes.
-Blocks of documents ask the buckets for the probabilities of their distinct runs.
+Contexts of up to two bytes are a table that workers hold. Deeper ones grow with the corpus: the
+distinct runs of ``depth + 1`` bytes of a block of documents go, with their counts, to buckets by the three
+bytes nearest to the last, so a bucket holds whole subtrees. A bucket sums the blocks' counts, weighs its
+subtrees from the leaves up and passes on the sums for two bytes. Once those are known it works out
+the probability of each of its distinct runs, once, and every block looks up its own. A block is as large
+as a worker can hold, as the larger it is the fewer of its runs are distinct.
 
 Word counts grow with the corpus and are never held as a whole. Words with at least a share of
 1 / ``FREQUENT`` of all tokens, at most ``FREQUENT`` words, are broadcast; all others are looked up in a
@@ -21,6 +23,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,9 @@ from logweir.llm.shares import crc_of_id, partitions, written
 FREQUENT = 1 << 21  # words held by every worker, 16 bytes each
 END = np.uint64(0x5EED)  # stands for the end of a text among the words
 GRAMS = 1 << 30  # added to the bucket of a request for byte runs
-BLOCK_BYTES = 2 << 20  # text of a block whose distinct byte runs are asked for together
-HELD = 1 << 21  # distinct byte runs that a task holds before it passes them on
+BLOCK_BYTES = 16 << 20  # text of a block whose distinct byte runs are asked for together
+HELD = 256 << 20  # bytes of counts of a bucket that are held before they are summed
+_BYTE, _EIGHT = np.uint64(255), np.uint64(8)
 _LOG_PI = math.log(math.pi)
 
 
@@ -164,15 +168,25 @@ def top(counts, below_leaf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _grams(data: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
     """For every byte the ``depth`` bytes before it, the nearest highest, and the byte itself lowest."""
-    wide = data.astype(np.uint64)
-    place = np.arange(len(wide)) - np.repeat(rows[:-1], np.diff(rows))
-    out = wide.copy()
-    for d in range(1, depth + 1):
-        before = np.where(place[d:] >= d, wide[:-d], np.uint64(0))
-        out[d:] |= before << np.uint64(8 * (depth + 1 - d))
+    padded = np.concatenate((np.zeros(7, np.uint8), data))
+    out = np.ndarray((len(data),), "<u8", padded, strides=(1,)) << _EIGHT  # the byte before is highest
+    out >>= np.uint64(8 * (7 - depth))
+    out &= ~_BYTE
+    out |= data
+    for d in range(depth):  # zeros stand before a text
+        at = rows[:-1] + d
+        own = ((1 << 8 * d) - 1) << 8 * (depth + 1 - d) | 255
+        out[at[at < rows[1:]]] &= np.uint64(own)
     return out
 
 
+def _distinct(data: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct byte runs as first met, their order by value, and for every byte which it ends."""
+    found = pc.dictionary_encode(pa.array(_grams(data, rows, depth)))
+    grams = found.dictionary.to_numpy()
+    return grams, np.argsort(grams), found.indices.to_numpy()
+
+
 def _bucket(grams: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     nearest = grams >> np.uint64(8 * (depth - 2))
     return (batches.mix(nearest + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
@@ -186,9 +200,6 @@ def _dealt(grams: np.ndarray, depth: int, buckets: int):
     return order, [(b, edges[b], edges[b + 1]) for b in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-_BYTE, _EIGHT = np.uint64(255), np.uint64(8)
-
-
 def _node(names: np.ndarray, k: int) -> np.ndarray:
     """The context of (context, byte) with the node of the byte's first ``k`` bits."""
     return (names & ~_BYTE) | np.uint64(1 << k) | ((names & _BYTE) >> np.uint64(8 - k))
@@ -199,6 +210,9 @@ class Subtrees:
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
         self.depth, self.levels = depth, {}
+        self.above, self.below = np.zeros(0, np.uint64), np.zeros(0)
+        if not len(grams):
+            return
         weighted: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(depth, 2, -1):
             names, count = _summed(self._names(grams, d), n)
@@ -233,7 +247,7 @@ class Subtrees:
     def ones(self, grams: np.ndarray) -> np.ndarray:
         """(grams, 8): the mixed probability of a one at each bit from three bytes of context down."""
         out = np.full((len(grams), 8), 0.5)
-        for d in range(self.depth, 2, -1):
+        for d in sorted(self.levels, reverse=True):
             names = self._names(grams, d)
             for k, (keys, stay, p) in enumerate(self.levels[d]):
                 node = _node(names, k)
@@ -247,7 +261,7 @@ class Subtrees:
 def _packed(values: np.ndarray) -> bytes:
     """Sorted rows as planes of bytes, compressed; the high planes hardly change."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpacked(payload: bytes, dtype) -> np.ndarray:
@@ -259,34 +273,17 @@ def _unpacked(payload: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
-_GRAM = np.dtype([("name", "<u8"), ("n", "<i8")])
+_GRAM = np.dtype([("name", "<u8"), ("n", "<i8")])  # a byte run, and how often training documents hold it
 
 
-def _trees(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """(bucket, payload, above, below): byte runs with their counts, and sums for two bytes of context."""
-
-    def count(parts):
-        held, size = [], 0
+def _entries(names: np.ndarray, n: np.ndarray) -> np.ndarray:
+    entry = np.zeros(len(names), _GRAM)
+    entry["name"], entry["n"] = names, n
+    return entry
 
-        def flush():
-            grams, n = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            order, cuts = _dealt(grams, depth, buckets)
-            entry = np.zeros(len(grams), _GRAM)
-            entry["name"], entry["n"] = grams[order], n[order]
-            for b, start, end in cuts:
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": pa.array([b], pa.int32()), "payload": pa.array([_packed(entry[start:end])], pa.binary())}
-                )
 
-        for part in batches.slices(parts):
-            data, rows = batches.text_bytes(part.column("text"))
-            held.append(np.unique(_grams(batches._LOWER[data], rows, depth), return_counts=True))
-            size += len(held[-1][0])
-            if size > HELD:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
+def _trees(requests: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(bucket, payload, above, below): byte runs with their counts, and sums for two bytes of context."""
 
     def merged(parts):
         bucket, held, size = None, [], 0
@@ -296,13 +293,11 @@ def _trees(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
             return _summed(entry["name"], entry["n"])
 
         def packed(names, n):
-            entry = np.zeros(len(names), _GRAM)
-            entry["name"], entry["n"] = names, n
-            return _packed(entry)
+            return _packed(_entries(names, n))
 
         def tree():
             names, n = summed()
-            subtrees = Subtrees(names, n, depth)
+            subtrees = Subtrees(names[n > 0], n[n > 0], depth)
             return pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array([bucket], pa.int32()),
@@ -320,15 +315,14 @@ def _trees(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 bucket = b
                 held.append(payload.as_py())
                 size += int.from_bytes(held[-1][:8], "little")
-                if size > 256 << 20 and len(held) > 1:
+                if size > HELD and len(held) > 1:
                     held = [packed(*summed())]
                     size = int.from_bytes(held[0][:8], "little") // 2
         if held:
             yield tree()
 
     return written(
-        docs.select("text")
-        .mapInArrow(count, "bucket int, payload binary")
+        requests.select("bucket", "payload")
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(merged, "bucket int, payload binary, above array<long>, below array<double>"),
@@ -339,31 +333,32 @@ def _trees(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
 def _deep_answers(requests: DataFrame, trees: DataFrame, shared, depth: int, buckets: int) -> DataFrame:
     """For each request of byte runs the log10 probabilities of their last bytes."""
 
-    def answer(parts):
+    def scored(names: np.ndarray, n: np.ndarray) -> np.ndarray:
         row, fixed, factor = shared.value
-        bucket = subtrees = None
+        subtrees = Subtrees(names[n > 0], n[n > 0], depth)
+        out = np.zeros(len(names), np.float32)
+        for at in range(0, len(names), 1 << 18):
+            own = names[at : at + (1 << 18)]
+            q = subtrees.ones(own)
+            byte = (own & _BYTE).astype(np.int64)
+            context = row[(own >> np.uint64(8 * (depth - 1))).astype(np.int64)]
+            nodes = _NODE[byte]
+            p = fixed[context[:, None], nodes] + factor[context[:, None], nodes] * q
+            out[at : at + len(own)] = np.log10(np.where(_BIT[byte] == 1, p, 1 - p)).sum(1)
+        return out
+
+    def answer(parts):
+        names = log_p = None
         for part in parts:
             for b, block, payload in zip(part.column("bucket").to_pylist(), part.column("block").to_pylist(), part.column("payload")):
-                if b != bucket:
-                    bucket, subtrees = b, None
-                if block < 0:  # sorted before the requests
-                    entry = _unpacked(payload.as_py(), _GRAM)
-                    subtrees = Subtrees(entry["name"], entry["n"], depth)
+                entry = _unpacked(payload.as_py(), _GRAM)
+                if block < 0:  # the bucket's own runs, sorted before the requests
+                    names, log_p = np.ascontiguousarray(entry["name"]), scored(entry["name"], entry["n"])
                     continue
-                grams = _unpacked(payload.as_py(), np.uint64)
-                out = np.zeros(len(grams), np.float32)
-                for at in range(0, len(grams), 1 << 18):
-                    own = grams[at : at + (1 << 18)]
-                    q = subtrees.ones(own) if subtrees else np.full((len(own), 8), 0.5)
-                    byte = (own & _BYTE).astype(np.int64)
-                    context = row[(own >> np.uint64(8 * (depth - 1))).astype(np.int64)]
-                    nodes = _NODE[byte]
-                    p = fixed[context[:, None], nodes] + factor[context[:, None], nodes] * q
-                    out[at : at + len(own)] = np.log10(np.where(_BIT[byte] == 1, p, 1 - p)).sum(1)
-                yield _work_row(block, GRAMS + b, _packed(out))
+                yield _work_row(block, GRAMS + b, _packed(log_p[np.searchsorted(names, entry["name"])]))
 
     return (
-        requests.select("block", (F.col("bucket") - GRAMS).alias("bucket"), "payload")
+        requests.select("block", "bucket", "payload")
         .unionByName(trees.select(F.lit(-1).cast("long").alias("block"), "bucket", "payload"))
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket", "block")
@@ -453,7 +448,7 @@ _WORK = "block long, bucket int, payload binary"
 _ENTRY = np.dtype([("name", "<u8"), ("doc", "<i4"), ("n", "<i4")])
 _SUMS = np.dtype([("doc", "<i4"), ("known", "<i8"), ("score", "<f8")])
 _OWN = np.dtype(
-    [("doc_id", "<i8"), ("null", "?"), ("held", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")]
+    [("doc_id", "<i8"), ("null", "?"), ("held", "?"), ("bytes", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")]
 )
 
 
@@ -487,24 +482,6 @@ def score(
     deep, buckets = depth > 2, partitions(docs)
     # at most 2^24 contexts, and at most FREQUENT words of so large a share
     near = _dense(*_pairs(counted.where("kind = 1").select("name", "n")))
-    if deep:
-        trees = _trees(rows.where("not held_out"), depth, buckets)
-        sums = (
-            trees.select(F.explode(F.arrays_zip("above", "below")).alias("x"))
-            .groupBy("x.above").agg(F.sum("x.below").alias("below")).toArrow()
-        )
-        above = sums.column(0).to_numpy().astype(np.int64)
-        order = np.argsort(above)
-        above, below_sums = above[order], sums.column(1).to_numpy().astype(np.float64)[order]
-        edges = np.searchsorted(above, np.arange(257) << 16)
-
-        def below_leaf(last):
-            out = np.zeros(1 << 16)
-            own = slice(edges[last], edges[last + 1])
-            out[above[own] & 0xFFFF] = below_sums[own]
-            return out.reshape(256, 256)
-
-        shared_top = spark.sparkContext.broadcast(top(near, below_leaf))
     tree = None if deep else table(near)
     least = max(1, -(-total // FREQUENT))
     names, n = _pairs(words.where(F.col("n") >= least))
@@ -515,57 +492,80 @@ def score(
     rare = least > 1
 
     def work(parts):
-        table_, common, common_n = shared.value
         for part in batches.slices(parts, most=BLOCK_BYTES if deep else batches.SLICE_BYTES):
-            w = batches.words(part.column("text"), lower=True)
-            n_docs = part.num_rows
-            owner = np.concatenate((w.row_of_word(), np.arange(n_docs)))
-            name = np.concatenate((w.names, np.full(n_docs, END)))
-            log_p = np.zeros(len(w.data) + 1)
-            if not deep:
-                np.cumsum(table_.ravel()[_contexts(w.data, w.rows)], out=log_p[1:], dtype=np.float64)
-            at = np.searchsorted(common, name)
-            found = at < len(common)
-            found[found] = common[at[found]] == name[found]
-            c = np.zeros(len(name))
-            c[found] = common_n[at[found]]
-            own = np.zeros(n_docs, _OWN)
-            ids = part.column("doc_id")
-            own["null"] = ids.is_null().to_numpy(zero_copy_only=False)
-            own["doc_id"] = ids.fill_null(0).to_numpy()
-            own["held"] = part.column("held_out").to_numpy(zero_copy_only=False)
-            own["tokens"] = np.diff(w.first) + 1
-            settled = found | (not rare)
-            own["known"] = np.bincount(owner[found], minlength=n_docs)
-            own["base"] = np.bincount(
-                owner[settled], np.log10(c[settled] + 0.5) - below, minlength=n_docs
-            )
-            own["score"] = np.diff(log_p[w.rows])
+            own, asked, who, texts = np.zeros(part.num_rows, _OWN), [], [], []
+            at = 0
+            for piece in batches.slices([part]):
+                to = at + piece.num_rows
+                names, owners, data = words_of(piece, own[at:to])
+                asked.append(names)
+                who.append(owners + at)
+                texts.append(data)
+                at = to
             block = uuid.uuid4().int >> 65
             yield _work_row(block, -1, own.tobytes())
             if deep:
-                whole = w.rows.astype(np.int64).tobytes() + w.data.tobytes()
-                yield _work_row(block, -2, _packed(np.frombuffer(whole, np.uint8)))
-                grams = np.unique(_grams(w.data, w.rows, depth))
-                order, cuts = _dealt(grams, depth, buckets)
-                grams = grams[order]
-                for b, start, end in cuts:
-                    yield _work_row(block, GRAMS + b, _packed(grams[start:end]))
-            asked, who = name[~settled], owner[~settled]
-            if not len(asked):
-                continue
-            order = np.lexsort((who, asked))
-            asked, who = asked[order], who[order]
-            new = np.concatenate(([True], (np.diff(asked) != 0) | (np.diff(who) != 0)))
-            entry = np.zeros(int(new.sum()), _ENTRY)
-            entry["name"], entry["doc"] = asked[new], who[new]
-            entry["n"] = np.diff(np.append(np.flatnonzero(new), len(asked)))
-            bucket = np.ascontiguousarray(entry["name"]).view(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            entry, bucket = entry[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.unique(bucket).tolist():
-                yield _work_row(block, b, entry[edges[b] : edges[b + 1]].tobytes())
+                data = np.concatenate(texts)
+                rows = np.concatenate(([0], np.cumsum(own["bytes"])))
+                yield _work_row(block, -2, _packed(data))
+                yield from runs_of(block, data, rows, ~own["held"])
+            yield from rare_of(block, np.concatenate(asked), np.concatenate(who))
+
+    def words_of(part, own):
+        """Fill in ``own``, and give the names to look up, whose they are, and the bytes."""
+        table_, common, common_n = shared.value
+        w = batches.words(part.column("text"), lower=True)
+        n_docs = part.num_rows
+        owner = np.concatenate((w.row_of_word(), np.arange(n_docs)))
+        name = np.concatenate((w.names, np.full(n_docs, END)))
+        at = np.searchsorted(common, name)
+        found = at < len(common)
+        found[found] = common[at[found]] == name[found]
+        c = np.zeros(len(name))
+        c[found] = common_n[at[found]]
+        ids = part.column("doc_id")
+        own["null"] = ids.is_null().to_numpy(zero_copy_only=False)
+        own["doc_id"] = ids.fill_null(0).to_numpy()
+        own["held"] = part.column("held_out").to_numpy(zero_copy_only=False)
+        own["bytes"] = np.diff(w.rows)
+        own["tokens"] = np.diff(w.first) + 1
+        settled = found | (not rare)
+        own["known"] = np.bincount(owner[found], minlength=n_docs)
+        own["base"] = np.bincount(owner[settled], np.log10(c[settled] + 0.5) - below, minlength=n_docs)
+        if not deep:
+            log_p = np.zeros(len(w.data) + 1)
+            np.cumsum(table_.ravel()[_contexts(w.data, w.rows)], out=log_p[1:], dtype=np.float64)
+            own["score"] = np.diff(log_p[w.rows])
+        return name[~settled], owner[~settled], w.data
+
+    def runs_of(block, data, rows, learned):
+        """The block's distinct byte runs by bucket, with their counts in documents learned from."""
+        if not len(data):
+            return
+        grams, order, which = _distinct(data, rows, depth)
+        n = np.bincount(which[np.repeat(learned, np.diff(rows))], minlength=len(grams))
+        entry = _entries(grams[order], n[order])
+        order, cuts = _dealt(entry["name"], depth, buckets)
+        entry = entry[order]
+        for b, start, end in cuts:
+            yield _work_row(block, GRAMS + b, _packed(entry[start:end]))
+
+    def rare_of(block, asked, who):
+        """Words of the block that are not held, by bucket."""
+        if not len(asked):
+            return
+        order = np.lexsort((who, asked))
+        asked, who = asked[order], who[order]
+        new = np.concatenate(([True], (np.diff(asked) != 0) | (np.diff(who) != 0)))
+        entry = np.zeros(int(new.sum()), _ENTRY)
+        entry["name"], entry["doc"] = asked[new], who[new]
+        entry["n"] = np.diff(np.append(np.flatnonzero(new), len(asked)))
+        bucket = np.ascontiguousarray(entry["name"]).view(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        entry, bucket = entry[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        for b in np.unique(bucket).tolist():
+            yield _work_row(block, b, entry[edges[b] : edges[b + 1]].tobytes())
 
     # Written once, so the random block numbers stay what they are if a task runs again.
     todo = written(rows.mapInArrow(work, _WORK), "score-requests")
@@ -603,9 +603,38 @@ def score(
         )
 
     if deep:
-        answers = answers.unionByName(
-            _deep_answers(todo.where(F.col("bucket") >= GRAMS), trees, shared_top, depth, buckets)
+        requests = todo.where(F.col("bucket") >= GRAMS).withColumn("bucket", F.col("bucket") - GRAMS)
+        trees = _trees(requests, depth, buckets)
+        sums = (
+            trees.select(F.explode(F.arrays_zip("above", "below")).alias("x"))
+            .groupBy("x.above").agg(F.sum("x.below").alias("below")).toArrow()
         )
+        above = sums.column(0).to_numpy().astype(np.int64)
+        order = np.argsort(above)
+        above, below_sums = above[order], sums.column(1).to_numpy().astype(np.float64)[order]
+        edges = np.searchsorted(above, np.arange(257) << 16)
+
+        def below_leaf(last):
+            out = np.zeros(1 << 16)
+            own = slice(edges[last], edges[last + 1])
+            out[above[own] & 0xFFFF] = below_sums[own]
+            return out.reshape(256, 256)
+
+        shared_top = spark.sparkContext.broadcast(top(near, below_leaf))
+        answers = answers.unionByName(_deep_answers(requests, trees, shared_top, depth, buckets))
+
+    def scores(data, lengths, found):
+        """log10 probability of each text from those of the distinct byte runs, bucket by bucket."""
+        out = np.zeros(len(lengths))
+        if not len(data):
+            return out
+        rows = np.concatenate(([0], np.cumsum(lengths)))
+        grams, order, which = _distinct(data, rows, depth)
+        log_p = np.zeros(len(grams), np.float32)
+        log_p[order[_dealt(grams[order], depth, buckets)[0]]] = np.concatenate(found)
+        some = lengths > 0
+        out[some] = np.add.reduceat(log_p[which], rows[:-1][some], dtype=np.float64)
+        return out
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bucket", kind="stable")
@@ -613,16 +642,8 @@ def score(
         payloads = group["payload"]
         own = np.frombuffer(payloads[at == -1].iloc[0], _OWN).copy()
         if deep:
-            raw = _unpacked(payloads[at == -2].iloc[0], np.uint8).tobytes()
-            offsets = np.frombuffer(raw, np.int64, len(own) + 1)
-            data = np.frombuffer(raw, np.uint8, offset=8 * len(offsets))
-            grams, inverse = np.unique(_grams(data, offsets, depth), return_inverse=True)
-            log_p = np.zeros(len(grams))
-            order, _ = _dealt(grams, depth, buckets)
-            log_p[order] = np.concatenate([_unpacked(x, np.float32) for x in payloads[at >= GRAMS]] or [np.zeros(0)])
-            sums = np.zeros(len(data) + 1)
-            np.cumsum(log_p[inverse], out=sums[1:])
-            own["score"] = np.diff(sums[offsets])
+            data = _unpacked(payloads[at == -2].iloc[0], np.uint8)
+            own["score"] = scores(data, own["bytes"], [_unpacked(x, np.float32) for x in payloads[at >= GRAMS]])
         for payload in payloads[(at >= 0) & (at < GRAMS)]:
             sums = np.frombuffer(payload, _SUMS)
             own["known"][sums["doc"]] += sums["known"]

@@ -459,7 +459,7 @@ def test_tree_equals_recursion(spark):
 @pytest.mark.parametrize("depth", [3, 6])
 def test_deep_tree_equals_recursion(spark, depth, monkeypatch):
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 300)  # several blocks a task
-    monkeypatch.setattr(ctw, "HELD", 200)
+    monkeypatch.setattr(ctw, "HELD", 200)  # counts are summed as they come
     rng = random.Random(4)
     rows = [(d, rng.choice(["", "the same long line of words "]) + "".join(rng.choice("aabcAB é") for _ in range(rng.randrange(40)))) for d in range(30)]
     df = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string").repartition(3)
