@@ -34,6 +34,7 @@ FREQUENT = 1 << 21  # words held by every worker, 16 bytes each
 END = np.uint64(0x5EED)  # stands for the end of a text among the words
 GRAMS = 1 << 30  # added to the bucket of a request for byte runs
 BLOCK_BYTES = 16 << 20  # text of a block whose distinct byte runs are asked for together
+PIECE_BYTES = 1 << 20  # text of a block whose byte runs are told apart at a time
 HELD = 256 << 20  # bytes of counts of a bucket that are held before they are summed
 _BYTE, _EIGHT = np.uint64(255), np.uint64(8)
 _LOG_PI = math.log(math.pi)
@@ -166,25 +167,54 @@ def top(counts, below_leaf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row.ravel(), np.concatenate(fixed).astype(np.float32), np.concatenate(factor).astype(np.float32)
 
 
-def _grams(data: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
-    """For every byte the ``depth`` bytes before it, the nearest highest, and the byte itself lowest."""
-    padded = np.concatenate((np.zeros(7, np.uint8), data))
-    out = np.ndarray((len(data),), "<u8", padded, strides=(1,)) << _EIGHT  # the byte before is highest
+def _grams(data: np.ndarray, rows: np.ndarray, depth: int, start: int = 0, end: int | None = None) -> np.ndarray:
+    """For bytes from ``start`` to ``end`` the ``depth`` bytes before, the nearest highest, and the byte lowest."""
+    own = data[start:end]
+    near = data[max(start - 7, 0) : start]
+    padded = np.concatenate((np.zeros(7 - len(near), np.uint8), near, own))
+    out = np.ndarray((len(own),), "<u8", padded, strides=(1,)) << _EIGHT  # the byte before is highest
     out >>= np.uint64(8 * (7 - depth))
     out &= ~_BYTE
-    out |= data
+    out |= own
     for d in range(depth):  # zeros stand before a text
         at = rows[:-1] + d
-        own = ((1 << 8 * d) - 1) << 8 * (depth + 1 - d) | 255
-        out[at[at < rows[1:]]] &= np.uint64(own)
+        at = at[(at < rows[1:]) & (at >= start) & (at < start + len(own))] - start
+        out[at] &= np.uint64(((1 << 8 * d) - 1) << 8 * (depth + 1 - d) | 255)
     return out
 
 
-def _distinct(data: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct byte runs as first met, their order by value, and for every byte which it ends."""
-    found = pc.dictionary_encode(pa.array(_grams(data, rows, depth)))
-    grams = found.dictionary.to_numpy()
-    return grams, np.argsort(grams), found.indices.to_numpy()
+class Runs:
+    """The distinct byte runs of a block of texts, found piece by piece."""
+
+    def __init__(self, data: np.ndarray, rows: np.ndarray, depth: int):
+        self.rows, self.size = rows, len(data)
+        self.pieces = []
+        for start in range(0, len(data), PIECE_BYTES):
+            found = pc.dictionary_encode(pa.array(_grams(data, rows, depth, start, start + PIECE_BYTES)))
+            self.pieces.append((start, found.indices.to_numpy(), found.dictionary.to_numpy()))
+        self.names = np.unique(np.concatenate([own for _, _, own in self.pieces]))
+
+    def _placed(self):
+        """Pieces: where they start, for every byte its run in the piece, and the runs' places in ``names``."""
+        for start, which, own in self.pieces:
+            yield start, which, np.searchsorted(self.names, own)
+
+    def counts(self, learned: np.ndarray) -> np.ndarray:
+        """How often the rows marked in ``learned`` hold each run."""
+        n = np.zeros(len(self.names), np.int64)
+        marked = np.repeat(learned, np.diff(self.rows))
+        for start, which, at in self._placed():
+            n[at] += np.bincount(which[marked[start : start + len(which)]], minlength=len(at))
+        return n
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each row the sum over its bytes of its runs' ``values``."""
+        out = np.zeros(len(self.rows) - 1)
+        for start, which, at in self._placed():
+            edges = np.clip(self.rows - start, 0, len(which))
+            some = np.flatnonzero(np.diff(edges))
+            out[some] += np.add.reduceat(values[at][which].astype(np.float64), edges[some])
+        return out
 
 
 def _bucket(grams: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -542,9 +572,8 @@ def score(
         """The block's distinct byte runs by bucket, with their counts in documents learned from."""
         if not len(data):
             return
-        grams, order, which = _distinct(data, rows, depth)
-        n = np.bincount(which[np.repeat(learned, np.diff(rows))], minlength=len(grams))
-        entry = _entries(grams[order], n[order])
+        runs = Runs(data, rows, depth)
+        entry = _entries(runs.names, runs.counts(learned))
         order, cuts = _dealt(entry["name"], depth, buckets)
         entry = entry[order]
         for b, start, end in cuts:
@@ -625,16 +654,12 @@ def score(
 
     def scores(data, lengths, found):
         """log10 probability of each text from those of the distinct byte runs, bucket by bucket."""
-        out = np.zeros(len(lengths))
         if not len(data):
-            return out
-        rows = np.concatenate(([0], np.cumsum(lengths)))
-        grams, order, which = _distinct(data, rows, depth)
-        log_p = np.zeros(len(grams), np.float32)
-        log_p[order[_dealt(grams[order], depth, buckets)[0]]] = np.concatenate(found)
-        some = lengths > 0
-        out[some] = np.add.reduceat(log_p[which], rows[:-1][some], dtype=np.float64)
-        return out
+            return np.zeros(len(lengths))
+        runs = Runs(data, np.concatenate(([0], np.cumsum(lengths))), depth)
+        log_p = np.zeros(len(runs.names), np.float32)
+        log_p[_dealt(runs.names, depth, buckets)[0]] = np.concatenate(found)
+        return runs.sums(log_p)
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bucket", kind="stable")
