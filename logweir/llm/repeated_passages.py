@@ -24,9 +24,9 @@ from logweir.llm.shares import partitions, written
 from logweir.session import broadcast_if_small
 
 SHORTEST = 12  # words of the first level, at least, unless the window itself is shorter
-RUN = 24  # windows of a shared passage that are compared as one
-PACK = 65_536  # runs that a task holds to combine equal ones before the shuffle
+PACK = 1 << 20  # windows that a task holds to combine equal ones before the shuffle
 HOT = 10_000  # places of a fingerprint above which they are not gathered in one task
+COMMON = 1 << 22  # repeated windows of such fingerprints that every worker holds, 8 bytes each
 
 
 def levels(window: int) -> list[int]:
@@ -61,8 +61,14 @@ def _alive(w: batches.Words, length: int, window: int, survivors) -> tuple[np.nd
 
 def _survivors(rows: DataFrame, name: str) -> DataFrame:
     """(doc, places, hot) of the (name, doc, place) rows whose name occurs more than once."""
-    counts = rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    found = rows.join(counts, "name").select("doc", "place", (F.col("n") > F.lit(HOT)).alias("hot"))
+    counts = written(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-counts")
+    # Names above HOT are few and marked in passing, so their rows go into no task by name.
+    crowded = counts.where(F.col("n") > HOT).select("name", F.lit(True).alias("hot"))
+    marked = rows.join(broadcast_if_small(crowded), "name", "left")
+    cold = marked.where("hot IS NULL").join(counts.where(F.col("n") <= HOT), "name")
+    found = cold.select("doc", "place", F.lit(False).alias("hot")).unionByName(
+        marked.where("hot").select("doc", "place", "hot")
+    )
     return written(
         found.groupBy("doc").agg(
             F.collect_list("place").alias("places"), F.collect_list("hot").alias("hot")
@@ -109,7 +115,7 @@ def _next_rows(docs: DataFrame, places: DataFrame, length: int, longer: int, win
     return _with_places(docs, places).mapInArrow(emit, "name long, doc long, place int")
 
 
-_CANDIDATES = "name long, doc long, place int, first int, hot boolean, windows binary"
+_CANDIDATES = "name long, doc long, first int, hot boolean, windows binary"
 
 
 def _candidates(docs: DataFrame, places: DataFrame, length: int, window: int) -> DataFrame:
@@ -134,7 +140,6 @@ def _candidates(docs: DataFrame, places: DataFrame, length: int, window: int) ->
                 {
                     "name": batches.signed(names[chosen[starts]]),
                     "doc": part.column("doc").take(pa.array(row)),
-                    "place": (chosen[starts] - w.first[row]).astype(np.int32),
                     "first": (live[starts] - w.first[row]).astype(np.int32),
                     "hot": crowded[chosen[starts]],
                     "windows": pa.array([raw[8 * s : 8 * e] for s, e in zip(starts, ends)], pa.binary()),
@@ -194,55 +199,71 @@ def _repeated(candidates: DataFrame, tasks: int) -> DataFrame:
         .mapInArrow(gathered, shape)
     )
 
-    hot = written(_cut(candidates.where("hot")), "hot-runs")
-    runs = hot.groupBy("windows").agg(F.sum(F.size("places")).alias("n"))
-    again = runs.where("n > 1").select("windows")
-    whole = (
-        hot.join(again, "windows")
-        .select((F.octet_length("windows") / 8).cast("int").alias("size"), F.explode("places").alias("at"))
-        .selectExpr("at.doc", "at.start", "at.start + size AS end")
-    )
-    # Windows of runs that occur once may still occur in other runs, each looked at once.
-    singles = _spread(runs.select(F.lit(0).cast("long").alias("doc"), F.lit(0).alias("start"), "windows"))
-    common = singles.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    once = hot.join(again, "windows", "left_anti").select(F.explode("places").alias("at"), "windows")
-    alone = _spread(once.select("at.doc", "at.start", "windows"))
-    rest = alone.join(common, "window").select("doc", "start", (F.col("start") + 1).alias("end"))
-    return cold.unionByName(whole).unionByName(rest)
-
-
-def _cut(candidates: DataFrame) -> DataFrame:
-    """(windows, places): runs of at most ``RUN`` windows, cut at the same distances from their
-    representative. Equal runs of a task are one row with all their places, ``PACK`` at most.
-    """
-    shape = pa.list_(pa.struct([("doc", pa.int64()), ("start", pa.int32())]))
+    hot = candidates.where("hot").select("doc", "first", "windows")
+    counts = _counted(hot).groupBy("window").agg(F.sum("n").alias("n"))
+    common = written(counts.where("n > 1").select("window"), "common-windows")
+    return cold.unionByName(_marked(hot, common, shape))
 
-    def packed(runs):
-        return pa.RecordBatch.from_pydict(
-            {
-                "windows": pa.array(runs.keys(), pa.binary()),
-                "places": pa.array(runs.values(), shape),
-            }
-        )
 
-    def cut(parts):
-        runs, held = {}, 0
+def _counted(hot: DataFrame) -> DataFrame:
+    """(window, n): how often windows occur, equal ones of a task combined, ``PACK`` at a time."""
+
+    def count(parts):
+        held, size = [], 0
+
+        def flush():
+            window, n = np.unique(np.frombuffer(b"".join(held), np.int64), return_counts=True)
+            return pa.RecordBatch.from_pydict({"window": window, "n": n})
+
         for part in parts:
-            columns = (part.column(c).to_pylist() for c in ("doc", "place", "first", "windows"))
-            for doc, place, first, raw in zip(*columns):
-                at, end = first, first + len(raw) // 8
-                while at < end:
-                    to = min(end, at + (place - at) % RUN + 1)
-                    run = raw[8 * (at - first) : 8 * (to - first)]
-                    runs.setdefault(run, []).append({"doc": doc, "start": at})
-                    at, held = to, held + 1
-                    if held == PACK:
-                        yield packed(runs)
-                        runs, held = {}, 0
+            for blob in part.column("windows"):
+                held.append(blob.as_py())
+                size += len(held[-1]) // 8
+                if size >= PACK:
+                    yield flush()
+                    held, size = [], 0
         if held:
-            yield packed(runs)
+            yield flush()
+
+    return hot.select("windows").mapInArrow(count, "window long, n long")
+
+
+def _marked(hot: DataFrame, common: DataFrame, shape: str) -> DataFrame:
+    """(doc, start, end): runs of windows that are among ``common``.
+
+    These are windows that repeat under a fingerprint with more than ``HOT`` places. Up to ``COMMON``
+    of them go to every worker; more are joined, window by window.
+    """
+    if common.count() > COMMON:
+        rest = _spread(hot.withColumnRenamed("first", "start")).join(common, "window")
+        return rest.select("doc", "start", (F.col("start") + 1).alias("end"))
+    window = common.toArrow().column(0).to_numpy()
+    shared = hot.sparkSession.sparkContext.broadcast(np.sort(window))
+
+    def mark(parts):
+        known = shared.value
+        for part in parts:
+            blobs = part.column("windows").to_pylist()
+            if not blobs or not len(known):
+                continue
+            sizes = np.array([len(b) for b in blobs], np.int64) // 8
+            own = np.frombuffer(b"".join(blobs), np.int64)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            repeats = known[at] == own
+            doc = np.repeat(part.column("doc").to_numpy(), sizes)[repeats]
+            place = batches.gather(part.column("first").to_numpy().astype(np.int64), sizes)[repeats]
+            cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(place) != 1)) + 1
+            starts = np.concatenate(([0], cut)) if len(doc) else cut
+            ends = np.concatenate((cut, [len(doc)])) if len(doc) else cut
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc": doc[starts],
+                    "start": place[starts].astype(np.int32),
+                    "end": (place[ends - 1] + 1).astype(np.int32),
+                }
+            )
 
-    return candidates.mapInArrow(cut, "windows binary, places array<struct<doc: long, start: int>>")
+    return hot.mapInArrow(mark, shape)
 
 
 def _spread(runs: DataFrame) -> DataFrame:

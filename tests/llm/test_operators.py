@@ -379,14 +379,21 @@ def test_exact_copies_edges(spark):
     ]
 
 
-@pytest.mark.parametrize("window,hot", [(35, 10_000), (35, 2), (5, 10_000), (60, 3)])
-def test_repeated_passages(docs, window, hot, monkeypatch):
+@pytest.mark.parametrize("window,hot,common", [(35, 10_000, 9), (35, 2, 0), (35, 2, 1 << 22), (60, 3, 1 << 22)])
+def test_repeated_passages(docs, window, hot, common, monkeypatch):
     monkeypatch.setattr(repeated_passages, "HOT", hot)
+    monkeypatch.setattr(repeated_passages, "COMMON", common)  # at 0 all are joined
+    monkeypatch.setattr(repeated_passages, "PACK", 50)
     got = repeated_passages.without_repeats(docs, window)
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     assert rows_of(got, *columns) == brute.without_repeats(ROWS, window)
 
 
+def test_repeated_passages_of_few_words(docs):
+    got = repeated_passages.without_repeats(docs, 5)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.without_repeats(ROWS, 5)
+
+
 def test_repeated_passages_edges(spark, empty):
     assert repeated_passages.levels(35) == [18, 35]
     assert repeated_passages.levels(100) == [13, 25, 50, 100]
@@ -459,6 +466,7 @@ def test_tree_equals_recursion(spark):
 @pytest.mark.parametrize("depth", [3, 6])
 def test_deep_tree_equals_recursion(spark, depth, monkeypatch):
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 300)  # several blocks a task
+    monkeypatch.setattr(ctw, "PIECE_BYTES", 23)  # texts go on from piece to piece
     monkeypatch.setattr(ctw, "HELD", 200)  # counts are summed as they come
     rng = random.Random(4)
     rows = [(d, rng.choice(["", "the same long line of words "]) + "".join(rng.choice("aabcAB é") for _ in range(rng.randrange(40)))) for d in range(30)]
