@@ -34,7 +34,7 @@ FREQUENT = 1 << 21  # words held by every worker, 16 bytes each
 END = np.uint64(0x5EED)  # stands for the end of a text among the words
 GRAMS = 1 << 30  # added to the bucket of a request for byte runs
 BLOCK_BYTES = 16 << 20  # text of a block whose distinct byte runs are asked for together
-PIECE_BYTES = 1 << 20  # text of a block whose byte runs are told apart at a time
+PIECE_BYTES = 4 << 20  # text of a block whose byte runs are told apart at a time
 HELD = 256 << 20  # bytes of counts of a bucket that are held before they are summed
 _BYTE, _EIGHT = np.uint64(255), np.uint64(8)
 _LOG_PI = math.log(math.pi)
@@ -191,8 +191,13 @@ class Runs:
         self.pieces = []
         for start in range(0, len(data), PIECE_BYTES):
             found = pc.dictionary_encode(pa.array(_grams(data, rows, depth, start, start + PIECE_BYTES)))
-            self.pieces.append((start, found.indices.to_numpy(), found.dictionary.to_numpy()))
-        self.names = np.unique(np.concatenate([own for _, _, own in self.pieces]))
+            own = found.dictionary.to_numpy()
+            order = np.argsort(own)
+            rank = np.empty(len(own), np.int32)
+            rank[order] = np.arange(len(own))
+            self.pieces.append((start, rank[found.indices.to_numpy()], own[order]))
+        names = np.sort(np.concatenate([own for _, _, own in self.pieces]), kind="stable")  # merges sorted pieces
+        self.names = names[np.concatenate(([True], names[1:] != names[:-1]))]
 
     def _placed(self):
         """Pieces: where they start, for every byte its run in the piece, and the runs' places in ``names``."""
