@@ -1,13 +1,15 @@
 """Secret scan with corpus-wide ownership of what it finds.
 
 Three fixed patterns give the base spans. Beyond them, long unbroken tokens that look random are
-candidates; each is hashed, and the number of distinct owners and repositories that hold a hash
-separates examples that many copy from credentials that only one owner has. The latter are added
-as spans of kind ``owned``. Base spans always stay; their ownership is reported beside them.
+candidates; each is hashed, and the numbers of distinct owners and repositories that hold a hash
+separate examples that many copy from credentials that only one owner has. The latter are added
+as spans of kind ``owned``. Base spans always stay; both counts are reported beside every span.
 """
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm import batches
+from logweir.llm.heavy import join_heavy
 from logweir.llm.shares import written
 
 # The patterns of the three base kinds and their least lengths.
@@ -53,10 +56,12 @@ def spans_of(text: str) -> list[tuple[int, int, int, str]]:
     found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     base = sorted(found)
+    starts = [x[0] for x in base]
+    reached = [0, *accumulate((x[2] for x in base), max)]  # end of the first n spans
     extra = [
         (m.start(), 3, m.end(), m[0])
         for m in CANDIDATE.finditer(text)
-        if _random_looking(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)
+        if reached[bisect_left(starts, m.end())] <= m.start() and _random_looking(m[0])
     ]
     return base + extra
 
@@ -67,7 +72,7 @@ def _joined(spans) -> str:
 
 _SCANNED = (
     "row long, doc_id long, owner string, repository string, n_assign long, n_access long, "
-    "n_hex long, base_sha256 string, base string, "
+    "n_hex long, base_sha256 string, "
     "found array<struct<kind:string,start:long,end:long,hash:string>>"
 )
 
@@ -82,7 +87,6 @@ def scan(docs: DataFrame) -> DataFrame:
             for row, doc, owner, repository, text in zip(*ids):
                 spans = spans_of(text or "")
                 base = [x for x in spans if x[1] < 3]
-                shown = _joined(base)
                 out.append(
                     {
                         "row": row,
@@ -92,8 +96,7 @@ def scan(docs: DataFrame) -> DataFrame:
                         "n_assign": sum(x[1] == 0 for x in base),
                         "n_access": sum(x[1] == 1 for x in base),
                         "n_hex": sum(x[1] == 2 for x in base),
-                        "base_sha256": hashlib.sha256(shown.encode()).hexdigest(),
-                        "base": shown,
+                        "base_sha256": hashlib.sha256(_joined(base).encode()).hexdigest(),
                         "found": [
                             {"kind": KINDS[k], "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()}
                             for s, k, e, v in spans
@@ -108,7 +111,7 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("owner", pa.string()), ("repository", pa.string())]
         + [(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")]
-        + [("base_sha256", pa.string()), ("base", pa.string()), ("found", pa.list_(span))]
+        + [("base_sha256", pa.string()), ("found", pa.list_(span))]
     )
     return docs.withColumn("row", F.monotonically_increasing_id()).select(
         "row", "doc_id", "owner", "repository", "text"
@@ -116,30 +119,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, owners, repositories: distinct ones that hold each hash.
+    """hash, owners, repositories, places: distinct ones that hold each hash, and its spans.
 
-    Pairs are made distinct before they are counted, so a hash that everyone holds is as many rows
-    as it has owners, spread by map-side combining.
+    Null owners and repositories are not counted. Spark makes the pairs distinct before it counts
+    them, so a hash that everyone holds is as many rows as it has owners, spread over tasks.
     """
-
-    def distinct(what):
-        return (
-            found.where(F.col(what).isNotNull())
-            .select("hash", what)
-            .distinct()
-            .groupBy("hash")
-            .agg(F.count("*").alias(f"{what}_count"))
-        )
-
-    hashes = found.select("hash").distinct()
-    return (
-        hashes.join(distinct("owner"), "hash", "left")
-        .join(distinct("repository"), "hash", "left")
-        .select(
-            "hash",
-            F.coalesce("owner_count", F.lit(0)).alias("owners"),
-            F.coalesce("repository_count", F.lit(0)).alias("repositories"),
-        )
+    return found.groupBy("hash").agg(
+        F.count_distinct("owner").alias("owners"),
+        F.count_distinct("repository").alias("repositories"),
+        F.count("*").alias("places"),
     )
 
 
@@ -150,13 +138,18 @@ def secrets(
     repository: str = "source",
     doc_id: str = "doc_id",
     copied_from: int = 2,
+    copied_into: int = 5,
 ) -> DataFrame:
     """Per row of ``docs``: counts of the base kinds, digest of the base spans, and all spans.
 
-    A candidate beyond the base becomes a span ``owned`` when fewer than ``copied_from`` distinct
-    owners hold it anywhere in the corpus; ``live_looking`` counts all spans of such values, base
-    ones too, and ``copied`` those that more owners hold. Null texts count as empty; a null owner
-    or repository counts as none; repeated rows stay rows of their own; an empty table gives none.
+    A value counts as copied when ``copied_from`` distinct owners or ``copied_into`` distinct
+    repositories hold it anywhere in the corpus, else as live-looking. A candidate beyond the base
+    becomes a span ``owned`` when it is live-looking. ``span_owners`` and ``span_repositories`` give
+    both counts of each span in the order of ``spans``; ``live_looking`` and ``copied`` count the
+    values of all spans, base ones and copied candidates too.
+
+    Null texts count as empty; a null owner or repository counts as none; repeated rows stay rows
+    of their own; other columns are not read, whatever their names; an empty table gives none.
     """
     scanned = written(
         scan(
@@ -172,39 +165,31 @@ def secrets(
     found = scanned.where(F.size("found") > 0).select(
         "row", "owner", "repository", F.explode("found").alias("f")
     ).select("row", "owner", "repository", "f.*")
-    judged = found.join(ownership(found), "hash").select(
-        "row", "kind", "start", "end", (F.col("owners") < copied_from).alias("live")
+    held = written(ownership(found), "secret-owners")
+    judged = join_heavy(found.drop("owner", "repository"), held, ["hash"], "places").withColumn(
+        "live", (F.col("owners") < copied_from) & (F.col("repositories") < copied_into)
+    )
+    span = F.struct(
+        "start", F.array_position(F.lit(list(KINDS)), F.col("kind")).alias("k"), "end", "kind", "owners", "repositories"
     )
     per_row = judged.groupBy("row").agg(
         F.sum(F.col("live").cast("long")).alias("live_looking"),
         F.sum((~F.col("live")).cast("long")).alias("copied"),
-        F.concat_ws(
-            ",",
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.when(
-                            (F.col("kind") != "owned") | F.col("live"),
-                            F.struct(
-                                "start",
-                                F.array_position(F.lit(list(KINDS)), F.col("kind")).alias("k"),
-                                "end",
-                                "kind",
-                            ),
-                        )
-                    )
-                ),
-                lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
-            ),
-        ).alias("spans"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") != "owned") | F.col("live"), span))).alias("shown"),
     )
+    none = F.array().cast("array<long>")
     return scanned.join(per_row, "row", "left").select(
         "doc_id",
         "n_assign",
         "n_access",
         "n_hex",
         "base_sha256",
-        F.coalesce("spans", F.lit("")).alias("spans"),
+        F.coalesce(
+            F.concat_ws(",", F.transform("shown", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))),
+            F.lit(""),
+        ).alias("spans"),
         F.coalesce("live_looking", F.lit(0)).alias("live_looking"),
         F.coalesce("copied", F.lit(0)).alias("copied"),
+        F.coalesce(F.col("shown.owners"), none).alias("span_owners"),
+        F.coalesce(F.col("shown.repositories"), none).alias("span_repositories"),
     )

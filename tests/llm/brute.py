@@ -95,6 +95,32 @@ def base_secrets(text):
     return count[0], count[1], count[2], hashlib.sha256(shown.encode()).hexdigest()
 
 
+def all_secrets(rows, copied_from=2):
+    """(doc_id, spans, live, copied) of (doc_id, text, owner) rows, comparing every pair of spans."""
+    found, owners = [], {}
+    for d, text, owner in rows:
+        text = text or ""
+        pattern = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+        own = [(m.start(), 0, m.end(), m[1]) for m in re.finditer(pattern, text) if len(m[1]) >= 6]
+        own += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        own += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        more = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}={0,2}", text):
+            v, (s, e) = m[0], m.span()
+            mixed = all(re.search(c, v) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+            bits = -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
+            if mixed and bits >= 3.5 and not any(x[0] < e and s < x[2] for x in own):
+                more.append((s, 3, e, v))
+        found.append((d, sorted(own + more)))
+        for x in own + more:
+            owners.setdefault(x[3], set()).update(set() if owner is None else {owner})
+    kinds = ("assign", "access", "hex", "owned")
+    for d, spans in found:
+        live = [len(owners[x[3]]) < copied_from for x in spans]
+        shown = ",".join(f"{kinds[k]}:{s}:{e}" for (s, k, e, _), l in zip(spans, live) if k < 3 or l)
+        yield d, shown, sum(live), len(live) - sum(live)
+
+
 def unigram(rows):
     train = [(d, t) for d, t in rows if crc_fold(d, 5) != 1]
     count = Counter()

@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logweir.llm import batches, byte_bpe, catalog, ctw, decontaminate, exact_copies, jaccard
 from logweir.llm import language_id, linked, packing, repeated_passages, secret_scan
@@ -441,6 +442,33 @@ def test_secret_ownership(spark):
     }
 
 
+def test_secret_repositories(spark):
+    """Both counts judge: one owner's value in many repositories is copied, in few it is not."""
+    spread, kept, shared = (f"{n}B3dE5gH7jK9mN1pQ3sT5vX7" for n in "acd")
+    rows = [(n, f"{spread} {kept if n < 4 else ''}", "one", f"r{n}") for n in range(5)]
+    rows += [(5, shared, "one", None), (6, f"{shared} password=samesame1", "two", None), (7, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string")
+    got = secret_scan.secrets(df.withColumn("hash", F.lit(1)), owner="owner", repository="repository")
+    have = {r.doc_id: (r.spans, r.live_looking, r.copied, r.span_owners, r.span_repositories) for r in got.collect()}
+    assert have == {
+        **{n: ("owned:25:49", 1, 1, [1], [4]) for n in range(4)}, 4: ("", 0, 1, [], []), 5: ("", 0, 1, [], []),
+        6: ("assign:25:43", 1, 1, [1], [0]), 7: ("", 0, 0, [], []),
+    }
+
+
+def test_secret_spans_equal_plain(spark, monkeypatch):
+    """All spans of random texts, and with every value joined as frequent or as rare."""
+    rng = random.Random(5)
+    parts = ["password=", "x" * 30, "AKIA" + "Q7" * 9, "0f" * 14, "aB3dE5gH7jK9mN1pQ3sT5vX7", "zY9wV7uT5sR3qP1oN9mL7kJ5=="]
+    parts += [" ", " ", ":", "token: ", "é"]
+    rows = [(d, "".join(rng.choice(parts) for _ in range(rng.randrange(12))), f"s{rng.randrange(3)}") for d in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = sorted(brute.all_secrets(rows))
+    for share in (1, 10**9):
+        monkeypatch.setattr("logweir.llm.heavy.SHARE", share)
+        assert rows_of(secret_scan.secrets(df), "doc_id", "spans", "live_looking", "copied") == wanted
+
+
 @pytest.mark.parametrize("frequent", [ctw.FREQUENT, 50])
 def test_scores(docs, frequent, monkeypatch):
     monkeypatch.setattr(ctw, "FREQUENT", frequent)  # few words held: the others are joined

@@ -51,6 +51,10 @@ def test_repeated_passages(spark):
 def test_secrets(spark):
     got = rows_of(catalog.op7_secret_scan(spark, MEDIUM), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
     assert got == [(d, *brute.base_secrets(t)) for d, t in sorted(rows(MEDIUM))]
+    table = pq.read_table(f"{MEDIUM}/documents.parquet", columns=["doc_id", "text", "source"])
+    whole = list(zip(*(c.to_pylist() for c in table.columns)))
+    got = rows_of(catalog.op7_secret_scan(spark, MEDIUM), "doc_id", "spans", "live_looking", "copied")
+    assert got == sorted(brute.all_secrets(whole))
 
 
 def test_scores(spark):
