@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def draw(*columns: str):
+    """A number from 0 to 1 by a hash of the columns, fine enough for shares of any table."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of an id written as text, which deals documents into folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

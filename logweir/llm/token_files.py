@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import batches, byte_bpe
-from logweir.llm.shares import partitions
+from logweir.llm.shares import draw, partitions
 
 BLOCK_BYTES = 512 << 10  # raw bytes of frames per block, at least one document
 DICTIONARY_BYTES = 64 << 10
-SAMPLED_DOCUMENTS = 2_000  # expected number; only the size of frames depends on it
+SAMPLED_DOCUMENTS = 2_000  # at most; only the size of frames depends on them
 SAMPLED_BYTES = 16 << 10  # the dictionary serves short documents and learns from them
 
 BLOCKS = "shard int, block int, dictionary_sha256 string, frames binary"
@@ -40,18 +40,28 @@ def _serialized(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
-def _learned(spark: SparkSession, docs: DataFrame, path: str, width: int) -> bytes:
-    """A dictionary from a sample of short documents, drawn by a hash of the id."""
-    import zstandard
+def _sample(docs: DataFrame) -> DataFrame | None:
+    """(text): at most ``SAMPLED_DOCUMENTS`` distinct short rows, drawn by a hash of id and text.
 
+    Rows equal in both are one, combined in the tasks that draw them, so neither null or repeated
+    ids nor copies make the sample larger. None for an empty table.
+    """
     rows = docs.count()
     if not rows:
+        return None
+    drawn = docs.withColumn("draw", draw("doc_id", "text")).where(
+        (F.col("draw") < min(1.0, SAMPLED_DOCUMENTS / rows)) & (F.octet_length("text") <= SAMPLED_BYTES)
+    )
+    return drawn.distinct().orderBy("draw", "text").limit(SAMPLED_DOCUMENTS).select("text")
+
+
+def _learned(spark: SparkSession, docs: DataFrame, path: str, width: int) -> bytes:
+    """A dictionary from a sample of short documents."""
+    import zstandard
+
+    sample = _sample(docs)
+    if sample is None:
         return b""
-    share = min(1.0, SAMPLED_DOCUMENTS / rows)
-    sample = docs.where(
-        (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-        & (F.octet_length("text") <= SAMPLED_BYTES)
-    ).select("text")
 
     def serialize(parts):
         encode = byte_bpe.encoder(path).encode
@@ -60,7 +70,7 @@ def _learned(spark: SparkSession, docs: DataFrame, path: str, width: int) -> byt
             cut = np.split(ids, np.cumsum(counts)[:-1])
             yield pa.RecordBatch.from_pydict({"raw": [_serialized(x, width) for x in cut]})
 
-    # at most a few thousand documents of at most 16 KiB
+    # at most SAMPLED_DOCUMENTS of at most SAMPLED_BYTES
     raw = [r.raw for r in sample.mapInArrow(serialize, "raw binary").collect() if r.raw]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(raw)).as_bytes()
