@@ -3,10 +3,12 @@
 A text is lower-cased and reduced to letters with single spaces; its byte 1- to 3-grams, hashed
 to ``DIMENSIONS``, weighted by TF-IDF and normalised, are compared by cosine with several centroids per
 language. The centroids come from spherical k-means within each language. A text whose nearest
-centroid is farther than almost all learned texts are from theirs is rejected.
+centroid is farther than almost all labelled texts of its language and length are from theirs is
+rejected.
 
-The classifier is fitted on at most about ``SAMPLED`` labelled documents per language, drawn by
-a hash of the id; every document is classified.
+Document frequencies and the distances to reject at come from all labelled documents. The centroids
+are fitted on about ``SAMPLED`` of them per language, drawn by a hash of id and text; rows equal in
+both count once there. Every document is classified.
 """
 
 from dataclasses import dataclass
@@ -19,15 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm import batches
-from logweir.llm.shares import crc_of_id, written
+from logweir.llm.shares import crc_of_id, draw, written
 
 DIMENSIONS = 4_096
 SAMPLED = 500  # expected labelled documents per language
 CENTROIDS = 3  # per language
 TURNS = 10  # of k-means
 UNKNOWN = "und"
-# A text is rejected when its cosine falls below this part of the lowest percentile of its language.
-REJECTED_BELOW = 0.3
+# A text is rejected when its cosine falls below this part of the lowest percentile of the labelled
+# texts of its language and length, together with as many shorter lengths as make LEAST_TEXTS texts;
+# where all of them are too few, below the lesser part of the percentile of its language.
+REJECTED_BELOW = 0.8
+REJECTED_BELOW_ALL = 0.3
+LEAST_TEXTS = 50
+LENGTHS = 32  # classes by the logarithm of the number of n-grams
+BINS = 1_000  # of a cosine
 
 # Bytes of letters and of characters beyond ASCII stay; all else separates words.
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -107,13 +115,37 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # unit rows
     language: np.ndarray  # of each centroid
-    floor: np.ndarray  # per language, the cosine below which a text is rejected
+    floor: np.ndarray | None = None  # per language and length, the cosine below which a text is rejected
 
-    def nearest(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """Best language of each text and its cosine."""
-        cosine = weighted(counts(column), self.idf) @ self.centroids.T
+    def nearest(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language of each text, its cosine, and the class of the text's length."""
+        count = counts(column)
+        cosine = weighted(count, self.idf) @ self.centroids.T
         best = cosine.argmax(1)
-        return self.language[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
+        length = np.log2(1 + count.sum(1, dtype=np.float64)).astype(np.int64)
+        length = np.minimum(length, LENGTHS - 1)
+        return self.language[best], np.clip(cosine[np.arange(len(best)), best], 0, 1), length
+
+
+def floors(texts: np.ndarray) -> np.ndarray:
+    """Cosines to reject below, from numbers of texts by language, length and bin of the cosine."""
+
+    def lowest(histogram):
+        """Lower edge of the bin that holds the first percentile."""
+        return int(np.searchsorted(np.cumsum(histogram), max(1, 0.01 * histogram.sum()))) / BINS
+
+    out = np.zeros(texts.shape[:2])
+    for language, by_length in enumerate(texts):
+        if not by_length.any():
+            continue
+        for length in range(len(by_length)):
+            held = np.cumsum(by_length[length::-1].sum(1))
+            if held[-1] < LEAST_TEXTS:
+                out[language, length] = REJECTED_BELOW_ALL * lowest(by_length.sum(0))
+            else:
+                first = length - int(np.searchsorted(held, LEAST_TEXTS))
+                out[language, length] = REJECTED_BELOW * lowest(by_length[first : length + 1].sum(0))
+    return out
 
 
 def fit(labelled: DataFrame, sampled: int = SAMPLED) -> Model | None:
@@ -124,8 +156,7 @@ def fit(labelled: DataFrame, sampled: int = SAMPLED) -> Model | None:
     if not sizes:
         return None
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sampled / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.where(draw < share[F.col("lang")])
+    drawn = rows.where(draw("doc_id", "text") < share[F.col("lang")]).distinct()
 
     def count(parts):
         for part in _small(parts):
@@ -137,43 +168,69 @@ def fit(labelled: DataFrame, sampled: int = SAMPLED) -> Model | None:
     found = written(drawn.mapInArrow(count, "lang string, counts binary"), "language-sample")
 
     def frequency(parts):
+        """How many of a task's texts hold each n-gram; under -1, how many texts there are."""
         total, n = np.zeros(DIMENSIONS, np.int64), 0
-        for part in parts:
-            for raw in part.column("counts").to_pylist():
-                total += np.frombuffer(raw, np.float32) > 0
-                n += 1
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "df": [total.tobytes()]})
-
-    # eight rows
-    parts = found.select("counts").repartition(8).mapInArrow(frequency, "n long, df binary").collect()
-    n = sum(p.n for p in parts)
+        for part in _small(parts):
+            own = counts(part.column("text"))[_has_letter(part.column("text"))]
+            total += (own > 0).sum(0)
+            n += len(own)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict(
+            {"gram": np.concatenate(([-1], held)).astype(np.int64), "n": np.concatenate(([n], total[held]))}
+        )
+
+    # a row per dimension
+    grams = rows.select("text").mapInArrow(frequency, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    held = {r.gram: r.n for r in grams.collect()}
+    n = held.pop(-1, 0)
     if not n:
         return None
-    df = sum(np.frombuffer(p.df, np.int64) for p in parts)
+    df = np.zeros(DIMENSIONS, np.int64)
+    df[list(held)] = list(held.values())
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         x = weighted(np.stack([np.frombuffer(r, np.float32) for r in group["counts"]]), idf)
         order = np.lexsort(x.T[:8])  # the same start whatever order the rows come in
         centres = clusters(x[order], CENTROIDS)
-        floor = float(np.percentile((x @ centres.T).max(1), 1)) * REJECTED_BELOW
-        return pd.DataFrame(
-            {"lang": group["lang"].iloc[0], "floor": floor, "centre": [c.tobytes() for c in centres]}
-        )
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres]})
 
     # a few rows per language, from at most about SAMPLED each
-    shape = "lang string, floor double, centre binary"
-    got = found.groupBy("lang").applyInPandas(cluster, shape).collect()
+    got = found.groupBy("lang").applyInPandas(cluster, "lang string, centre binary").collect()
     languages = sorted({r.lang for r in got})
     got = sorted(got, key=lambda r: (r.lang, bytes(r.centre)))
-    floors = {r.lang: r.floor for r in got}
-    return Model(
+    model = Model(
         languages,
         idf,
         np.stack([np.frombuffer(r.centre, np.float32) for r in got]),
         np.array([languages.index(r.lang) for r in got]),
-        np.array([floors[x] for x in languages]),
     )
+    model.floor = floors(_cosines(rows, model))
+    return model
+
+
+def _cosines(rows: DataFrame, model: Model) -> np.ndarray:
+    """Numbers of texts of ``rows`` by predicted language, length and bin of the cosine."""
+    shape = (len(model.languages), LENGTHS, BINS + 1)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def measure(parts):
+        total = np.zeros(shape, np.int64)
+        for part in _small(parts):
+            column = part.column("text")
+            column = column.filter(pa.array(_has_letter(column)))
+            if len(column):
+                best, cosine, length = shared.value.nearest(column)
+                np.add.at(total, (best, length, (cosine * BINS).astype(np.int64)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at, "n": total.ravel()[at]})
+
+    texts = np.zeros(shape, np.int64)
+    # at most a row per cell
+    summed = rows.select("text").mapInArrow(measure, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    for r in summed.collect():
+        texts.ravel()[r["at"]] = r.n
+    return texts
 
 
 def predict(
@@ -199,13 +256,14 @@ def predict(
                 has = _has_letter(column)
                 if own is None:
                     has[:] = False
-                    best, cosine = np.zeros(len(has), np.int64), np.zeros(len(has))
+                    best = length = np.zeros(len(has), np.int64)
+                    cosine = np.zeros(len(has))
                 else:
-                    best, cosine = own.nearest(column)
-                for h, b, c in zip(has.tolist(), best.tolist(), cosine.tolist()):
+                    best, cosine, length = own.nearest(column)
+                for h, b, c, n in zip(has.tolist(), best.tolist(), cosine.tolist(), length.tolist()):
                     labels.append(own.languages[b] if h else UNKNOWN)
                     scores.append(c if h else 0.0)
-                    rejected.append(not h or c < own.floor[b])
+                    rejected.append(not h or c < own.floor[b, n])
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(rejected, pa.bool_())],

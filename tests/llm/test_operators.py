@@ -113,6 +113,15 @@ def test_token_files_round_trip(spark, docs, monkeypatch):
     assert Tokenizer.from_file(path).decode(ids[:-1]) == dict(ROWS)[few[0].doc_id]
 
 
+def test_sample_of_the_dictionary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLED_DOCUMENTS", 200)
+    rows = spark.range(20_000).selectExpr("CAST(null AS long) AS doc_id", "CAST(id AS string) AS text")
+    assert 100 < token_files._sample(rows).count() <= 200
+    copies = rows.selectExpr("doc_id", "if(CAST(text AS int) % 3 = 0, 'copy', text) AS text")
+    assert 50 < token_files._sample(copies).count() <= 200
+    assert token_files._sample(rows.limit(0)) is None
+
+
 def test_token_files_edges(spark, docs, empty):
     path = catalog.tokenizer("byte_bpe_50k.json")
     folder = scratch_path(spark, "token-files")
@@ -289,6 +298,25 @@ def test_components(spark):
     assert linked.components(none).count() == 0
 
 
+def test_contracted_edges_connect_the_same():
+    rng = random.Random(5)
+    for nodes, edges in ((30, 12), (500, 400), (500, 900), (2, 50)):
+        a, b = ([rng.randrange(nodes) for _ in range(edges)] for _ in range(2))
+        least = {n: n for n in [*a, *b]}
+        for _ in range(nodes):
+            for x, y in zip(a, b):
+                least[x] = least[y] = min(least[x], least[y])
+        got = dict(zip(*(c.tolist() for c in linked.contracted(np.array(a), np.array(b)))))
+        assert got == {n: m for n, m in least.items() if n != m}
+
+
+def test_components_of_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(linked, "CHUNK", 3)
+    edges = [(n, n + 1) for n in range(40)] + [(90, n) for n in range(91, 99)]
+    got = rows_of(linked.components(spark.createDataFrame(edges, "a long, b long")), "node", "component")
+    assert got == [(n, 0) for n in range(41)] + [(n, 90) for n in range(90, 99)]
+
+
 def tiled_plainly(document, item, least):
     """Greedy string tiling by comparing all places."""
     free_d, free_i, out = [True] * len(document), [True] * len(item), 0
@@ -550,6 +578,33 @@ def test_languages(spark, empty):
     assert {r.lang_pred for r in language_id.identify(bare).collect()} == {"und"}
 
 
+def test_floors_of_lengths():
+    """Each floor against a plain reading: its length and as many shorter ones as make enough texts."""
+    rng = np.random.default_rng(3)
+    texts = np.zeros((3, language_id.LENGTHS, language_id.BINS + 1), np.int64)
+    drawn = []
+    for language, length, n in [(0, 4, 40), (0, 8, 60), (0, 9, 10), (0, 12, 500), (1, 6, 9)]:
+        for b in rng.integers(300, 1_000, n).tolist():
+            drawn.append((language, length, b))
+            texts[language, length, b] += 1
+
+    def percentile(bins):
+        return sorted(bins)[max(1, math.ceil(0.01 * len(bins))) - 1] / language_id.BINS
+
+    got = language_id.floors(texts)
+    for language in range(2):
+        for length in range(language_id.LENGTHS):
+            for first in range(length, -1, -1):
+                near = [b for x, n, b in drawn if x == language and first <= n <= length]
+                if len(near) >= language_id.LEAST_TEXTS:
+                    expected = 0.8 * percentile(near)
+                    break
+            else:
+                expected = 0.3 * percentile([b for x, _, b in drawn if x == language])
+            assert got[language, length] == pytest.approx(expected)
+    assert not got[2].any()
+
+
 def check_packed(rows, got, library, capacity):
     lengths = {}
     for d, t in rows:

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from logweir.llm import catalog
+from logweir.llm import catalog, language_id
 from tests.compare import connect
 from tests.llm import brute
 from tests.llm.test_operators import check_packed, rows_of
@@ -80,6 +80,21 @@ def test_languages_held_out(spark):
     assert sum(r.rejected for r in got) / len(got) < 0.01
 
 
+def test_unknown_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    model = language_id.fit(docs)
+    rng = random.Random(6)
+    finnish = "kun ihmiset kävelivät järven rannalla he näkivät veneen joka oli täynnä kalaa ja vihanneksia".split()
+    welsh = "mae hi'n bwrw glaw heddiw ac rydym ni wedi cyrraedd yr ysgol yn hwyr iawn eto".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    odd = [" ".join(rng.choice(kind) for _ in range(200)) for kind in (finnish, welsh)]
+    odd += ["".join(rng.choice(letters) for _ in range(1_500)), "\n".join("".join(rng.choice(letters) for _ in range(76)) for _ in range(20))]
+    frame = spark.createDataFrame([(t,) for t in odd], "text string")
+    assert [r.rejected for r in language_id.predict(frame, model).collect()] == [True] * 4
+    judged = language_id.predict(docs, model, keep=["doc_id"])
+    assert judged.where("rejected AND lang_pred <> 'und'").count() <= 0.005 * docs.count()
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
