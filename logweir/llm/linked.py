@@ -58,12 +58,14 @@ def _settled(now: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node in them.
 
-    Tasks first contract the edges they hold. Each round then joins neighbours to the smallest
-    neighbour, first the larger ones and then the smaller ones, until all edges are stars; rounds
-    grow with the logarithm of the longest path. Minima are combined before the shuffle.
+    Tasks first contract the edges they hold, which leaves a node at most one edge a chunk, and then
+    those of the nodes dealt to them. Each round joins neighbours to the smallest neighbour,
+    first the larger ones and then the smaller ones, until all edges are stars; rounds grow with the
+    logarithm of the longest path. Minima are combined before the shuffle.
     """
     ends = edges.where("a <> b").selectExpr("CAST(a AS long) AS a", "CAST(b AS long) AS b")
-    now = written(ends.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    own = ends.mapInArrow(_contract, "a long, b long").repartition("a")
+    now = written(own.mapInArrow(_contract, "a long, b long").distinct(), "edges")
     while not _settled(now):
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
