@@ -1299,6 +1299,29 @@ def _(spark, sf_dir):
     return _log_columns(tables.read_logs(spark, path))
 
 
+# Folders of projects that a task writes, and one lists; more groups than Spark lists on the driver.
+GROUP_PROJECTS = 256
+LEAST_GROUPS = 64
+# Without native code, a local file system starts four processes for the rights of a file that has a
+# checksum file beside it, else one. Other file systems do not read these options.
+NO_CHECKSUMS = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
+
+def _write_projects(projects: DataFrame, path: str) -> None:
+    """Text files of (value, project), one folder per project.
+
+    The folders are dealt into groups, a folder per writing task, which a commit moves whole. The number
+    of groups is given, as adaptive execution would leave one task for texts of so few bytes.
+    """
+    groups = max(LEAST_GROUPS, -(-projects.count() // GROUP_PROJECTS))
+    dealt = projects.repartition(groups, "project").withColumn("group", F.spark_partition_id())
+    files = dealt.write.options(**NO_CHECKSUMS).option("maxRecordsPerFile", 1)
+    files.partitionBy("group", "project").text(path)
+
+
 @query(
     "compose_files_scan",
     f"WITH {sql.COMPOSE} SELECT count(*) AS files, sum(len(kinds)) AS services FROM projects",
@@ -1309,10 +1332,13 @@ def _(spark, sf_dir):
     found = views.compose_files(views.read_events(spark, sf_dir))
     own = found.where("path RLIKE '/app-[0-9]+/docker-compose.yml$'")
     projects = own.selectExpr("content AS value", "regexp_extract(path, '(app-[0-9]+)/', 1) AS project")
-    projects.repartition("project").write.partitionBy("project").option("maxRecordsPerFile", 1).text(path)
+    _write_projects(projects, path)
     files = tables.read_compose_files(spark, [path], names="part-*.txt")
     files = files.withColumn("path", F.regexp_replace("path", "part-[^/]*$", "docker-compose.yml"))
-    found = stacks.compose_stacks(files)
+    # stacks are found by several passes, and each text file is opened once
+    read = scratch_path(spark, "compose-read")
+    files.write.parquet(read)
+    found = stacks.compose_stacks(spark.read.schema(files.schema).parquet(read))
     return found.agg(F.count("*").alias("files"), F.expr("sum(bigint(size(containers))) AS services"))
 
 

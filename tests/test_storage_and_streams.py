@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logweir import schemas
 from logweir.operators import alerts, logs, metrics, patterns
+from logweir.plans import catalog
 from logweir.sources import event_views as views
 from logweir.sources import exports, tables
 from logweir.streaming import jobs
@@ -144,6 +145,28 @@ def test_compose_files_are_found(spark, tmp_path):
     }
 
 
+def test_compose_files_are_dealt_to_groups(spark, tmp_path):
+    """Many tasks write, and adaptive execution does not make them one; each project has one file."""
+    texts = spark.range(300).selectExpr("concat('services:', id) AS value", "concat('app-', id) AS project")
+    catalog._write_projects(texts, str(tmp_path / "out"))
+    groups = [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+    assert 32 < len(groups) <= catalog.LEAST_GROUPS
+    held = [p for g in groups for p in g.iterdir() if p.is_dir()]
+    assert sorted(p.name for p in held) == sorted(f"project=app-{n}" for n in range(300))
+    assert all(len(list(p.iterdir())) == 1 for p in held)  # no checksum file either
+    found = tables.read_compose_files(spark, [str(tmp_path / "out")], names="part-*.txt").collect()
+    assert sorted(r["content"] for r in found) == sorted(f"services:{n}\n" for n in range(300))
+
+
+def test_each_compose_file_is_opened_once(spark, tmp_path):
+    """Stacks take several passes; the scan's plan has none over text files."""
+    rows = [(n, dt.datetime(2024, 1, 1), n % 40, "view", 1.0, None) for n in range(80)]
+    spark.createDataFrame(rows, views.EVENTS).write.parquet(str(tmp_path / "events.parquet"))
+    scan = catalog.CATALOG["compose_files_scan"].run(spark, str(tmp_path))
+    assert "FileScan text" not in plan(scan)
+    assert scan.collect() == [(40, 40)]
+
+
 ONCE = {"availableNow": True}
 
 
