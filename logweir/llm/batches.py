@@ -162,6 +162,25 @@ def byte_ranges_named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return Rolling(_BYTE_VALUES[data], _BASE).of(starts, ends)
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def short_ranges_named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of byte ranges most of which have at most 16 bytes: those are read as two numbers."""
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    read = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    lengths = ends - starts
+    first = read[starts] & _MASKS[np.minimum(lengths, 8)]
+    second = read[np.minimum(starts + 8, len(data))] & _MASKS[np.clip(lengths - 8, 0, 8)]
+    names = mix(mix(first ^ (lengths.astype(np.uint64) * _U(_BASE))) + second)
+    long = np.flatnonzero(lengths > 16)
+    if len(long):
+        sizes = lengths[long]
+        to = np.cumsum(sizes)
+        names[long] = byte_ranges_named(data[gather(starts[long], sizes)], to - sizes, to)
+    return names
+
+
 def windows(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts (as word numbers) and fingerprints of all windows of ``length`` words in a row."""
     if len(w.names) < length:

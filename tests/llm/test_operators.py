@@ -96,6 +96,44 @@ def test_encoder_equals_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == wanted
 
 
+def test_encoder_cuts_where_the_library_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), byte_bpe.Encoder(path)
+    parts = ["a", "Zo", "é", "×", "÷", "ß", "\u0301", "…", "7", "\n", "\n", "\r", " ", " ", "\t", "\u00a0", "\u2028", "'", "'s", "'ll"]
+    parts += [".", ",", "***", "<", "|", ">", "<|endoftext|>", "中", "\x1c", "\x7f", "a" * 20, "don't.\nÀ"]
+    chosen = np.random.default_rng(5)
+    texts = ["".join(chosen.choice(parts, size=n)) for n in chosen.integers(0, 25, size=4_000)]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for room in (1_000_000, 50):  # the second forgets at each slice
+        monkeypatch.setattr(byte_bpe, "CACHED_CHUNKS", room)
+        own.forget()
+        for at in range(0, len(texts), 400):
+            ids, counts = own.encode(pa.array(texts[at : at + 400]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == wanted[at : at + 400]
+
+
+def test_encoder_learns_words_apart_from_punctuation():
+    """Other punctuation or a line before a known word brings no new chunk of it."""
+    own = byte_bpe.Encoder(catalog.tokenizer("byte_bpe_50k.json"))
+    own.encode(pa.array(["une chose,", "Belle chose.\nBelle é.\nÀ"]))
+    held = len(own.firsts)
+    own.encode(pa.array(["une chose.\nBelle chose, é.\nÀ"]))
+    assert len(own.firsts) == held
+
+
+def test_short_ranges_are_told_apart():
+    texts = [bytes(x) for n in range(4) for x in np.ndindex(*(3,) * n)] + [b"x" * n for n in range(1, 40)]
+    texts += [b"abcdefgh" + bytes([n]) * k for n in range(9) for k in (1, 8, 9)]
+    texts = [t for t in dict.fromkeys(texts) if t]
+    data = np.frombuffer(b"".join(texts) * 2, np.uint8)
+    ends = np.cumsum([len(t) for t in texts * 2])
+    names = batches.short_ranges_named(data, np.concatenate(([0], ends[:-1])), ends)
+    assert len(set(names.tolist())) == len(texts)
+    assert names[: len(texts)].tolist() == names[len(texts) :].tolist()
+
+
 def test_token_files_round_trip(spark, docs, monkeypatch):
     from tokenizers import Tokenizer
 
