@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm import batches
-from logweir.llm.linked import components
+from logweir.llm.linked import components, contract
 from logweir.llm.shares import partitions, written
 from logweir.session import broadcast_if_small
 
@@ -334,9 +334,9 @@ def _families(grouped: DataFrame, described: DataFrame, tasks: int) -> DataFrame
         kept.select("doc", "name")
         .repartition(tasks, "name")
         .sortWithinPartitions("name", "doc")
-        .mapInArrow(stars, "a long, b long")
+        .mapInArrow(lambda parts: contract(stars(parts)), "a long, b long")
     )
-    strung = components(edges).selectExpr("node AS doc", "component AS family")
+    strung = components(edges, within=True).selectExpr("node AS doc", "component AS family")
     return described.select("doc", "one").join(strung, "doc").select("one", "family").distinct()
 
 

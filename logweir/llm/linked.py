@@ -29,7 +29,7 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _contract(parts):
+def contract(parts):
     """The edges of a task as stars around their smallest nodes, ``CHUNK`` edges at a time."""
     held, rows = [], 0
 
@@ -55,17 +55,19 @@ def _settled(now: DataFrame) -> bool:
     return not nodes.where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, within: bool = False) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node in them.
 
     Tasks first contract the edges they hold, which leaves a node at most one edge a chunk, and then
     those of the nodes dealt to them. Each round joins neighbours to the smallest neighbour,
     first the larger ones and then the smaller ones, until all edges are stars; rounds grow with the
-    logarithm of the longest path. Minima are combined before the shuffle.
+    logarithm of the longest path. Minima are combined before the shuffle. With ``within`` the tasks that
+    made the edges have contracted them (by :func:`contract`): a task that runs two Python functions one
+    after the other holds two Python workers.
     """
     ends = edges.where("a <> b").selectExpr("CAST(a AS long) AS a", "CAST(b AS long) AS b")
-    own = ends.mapInArrow(_contract, "a long, b long").repartition("a")
-    now = written(own.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    own = (ends if within else ends.mapInArrow(contract, "a long, b long")).repartition("a")
+    now = written(own.mapInArrow(contract, "a long, b long").distinct(), "edges")
     while not _settled(now):
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))

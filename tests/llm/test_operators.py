@@ -348,6 +348,42 @@ def test_contracted_edges_connect_the_same():
         assert got == {n: m for n, m in least.items() if n != m}
 
 
+def piled(plan):
+    """Python nodes of a plan that take rows from another one in the same stage."""
+    above, out = [], []
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        above = [a for a in above if a[0] < depth]
+        python = "InArrow" in node.split(" ")[0] or "InPandas" in node.split(" ")[0]
+        if python:
+            stage = []
+            for _, name, kind in reversed(above):
+                if "Exchange" in name:
+                    break
+                stage.append(kind)
+            out += [node] * any(stage)
+        above.append((depth, node.split(" ")[0], python))
+    return out
+
+
+def test_near_copies_hold_one_python_worker_a_task(docs, monkeypatch):
+    """Two Python functions in one stage take two workers a task, which stay with the executor."""
+    plans, kept = [], {}
+
+    def write(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept["written"](df, name)
+
+    for module in (jaccard, linked):
+        kept["written"] = module.written
+        monkeypatch.setattr(module, "written", write)
+    out = jaccard.near_copies(docs, 3, Fraction(4, 5))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInArrow" in p for p in plans) > 3
+    assert [piled(p) for p in plans if piled(p)] == []
+
+
 def test_components_of_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(linked, "CHUNK", 3)
     edges = [(n, n + 1) for n in range(40)] + [(90, n) for n in range(91, 99)]
